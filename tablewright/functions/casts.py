@@ -16,7 +16,7 @@ from tablewright import types as t
 NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|nan|inf|infinity)\s*$"
 WHOLE = r"^\s*[+-]?\d+\s*$"
 DAY = r"^\s*\d{4}[-/]\d{1,2}[-/]\d{1,2}\s*$"
-DAY_THEN_ANYTHING = r"^\s*\d{4}-\d{1,2}-\d{1,2}"
+DAY_THEN_ANYTHING = r"^\s*\d{4}[-/]\d{1,2}[-/]\d{1,2}"
 MOMENT = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?.*)?\s*$"
 TRUE_FALSE = r"(?i)^\s*(true|false)\s*$"
 
@@ -25,6 +25,10 @@ def _gated(value: Column, pattern: str, cast: Column) -> Column:
     return F.when(value.rlike(pattern), cast)
 
 
+def _dashed(value: Column) -> Column:
+    return F.translate(F.trim(value), "/", "-")
+
+
 def to_number(value: Column) -> Column:
     return _gated(value, NUMBER, F.trim(value).try_cast("double"))
 
@@ -36,11 +40,11 @@ def to_whole(value: Column) -> Column:
 
 
 def to_day(value: Column) -> Column:
-    return _gated(value, DAY_THEN_ANYTHING, F.trim(value).try_cast("date"))
+    return _gated(value, DAY_THEN_ANYTHING, _dashed(value).try_cast("date"))
 
 
 def to_moment(value: Column) -> Column:
-    return _gated(value, DAY_THEN_ANYTHING, F.trim(value).try_cast("timestamp_ntz"))
+    return _gated(value, DAY_THEN_ANYTHING, _dashed(value).try_cast("timestamp_ntz"))
 
 
 def lenient(value: Column, kind: str) -> Column:
@@ -67,7 +71,7 @@ def strict(value: Column, kind: str) -> Column:
     if kind == t.BOOLEAN:
         return _gated(value, TRUE_FALSE, F.trim(value).try_cast("boolean"))
     if kind == t.DATE:
-        return _gated(value, DAY, F.translate(F.trim(value), "/", "-").try_cast("date"))
+        return _gated(value, DAY, _dashed(value).try_cast("date"))
     if kind == t.DATETIME:
         return _gated(value, MOMENT, F.trim(value).try_cast("timestamp_ntz"))
     return value
