@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.session import materialise
@@ -22,64 +22,67 @@ def running_totals(
     order: Sequence[str],
     sums: Sequence[str] = (),
     maxes: Sequence[str] = (),
+    with_totals: bool = False,
 ) -> DataFrame:
     """``df`` plus ``run_<c>`` for each summed or maxed column, inclusive.
 
-    (keys, order) must be unique per row; aggregate first if it is not.  The
-    laid-out rows are written once because two evaluations of a range
+    (keys, order) must be unique per row; aggregate first if it is not.  With
+    ``with_totals`` each row also learns ``total_<c>``, its key's full sum.
+    The laid-out rows are written once because two evaluations of a range
     partitioning may cut at different places.
     """
-    keyed = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
     placed = df.repartitionByRange(*[F.col(c) for c in (*keys, *order)])
     placed = materialise(placed.withColumn("_slice", F.spark_partition_id()), "ordered")
+    key = f"struct({', '.join(keys) if keys else '0 AS everything'})"
 
-    inside = (
-        Window.partitionBy("_slice", *keys)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    local = placed.select(
-        "*",
-        *[F.sum(c).over(inside).alias(f"run_{c}") for c in sums],
-        *[F.max(c).over(inside).alias(f"run_{c}") for c in maxes],
+    window = Window.partitionBy("_slice", *keys).orderBy(*order)
+    inside = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = placed.withColumns(
+        {f"run_{c}": F.sum(c).over(inside) for c in sums} | {f"run_{c}": F.max(c).over(inside) for c in maxes}
     )
 
-    # One row per slice: its first and last key, and the totals of the last.
-    at = F.struct(keyed.alias("k"), *[F.col(c) for c in order])
-    carried = [f"run_{c}" for c in (*sums, *maxes)]
-    slices = local.groupBy("_slice").agg(
-        F.min(keyed).alias("first_key"),
-        F.max(keyed).alias("last_key"),
-        F.max_by(F.struct(*carried), at).alias("tail"),
+    carry = _carried(placed, key, sums, maxes)
+    joined = local.join(F.broadcast(carry), "_slice", "left")  # one row per slice
+    continues = f"{key} <=> first_key"
+    out = list(df.columns)
+    for c in sums:
+        out.append(f"CASE WHEN {continues} AND off_{c} IS NOT NULL THEN coalesce(run_{c} + off_{c}, off_{c}) ELSE run_{c} END AS run_{c}")
+    for c in maxes:
+        out.append(f"CASE WHEN {continues} THEN greatest(run_{c}, off_{c}) ELSE run_{c} END AS run_{c}")
+    if not with_totals:
+        return joined.selectExpr(*out)
+    totals = [f"total_{c}" for c in sums]
+    if keys:
+        whole = placed.groupBy(*keys).agg(*[F.sum(c).alias(f"total_{c}") for c in sums])
+        return joined.selectExpr(*out).join(whole, list(keys)).select(*df.columns, *[f"run_{c}" for c in (*sums, *maxes)], *totals)
+    whole = placed.agg(F.lit(True).alias("first_part"), *[F.sum(c).alias(f"total_{c}") for c in sums])
+    return joined.withColumn("first_part", F.lit(True)).join(F.broadcast(whole), "first_part").selectExpr(*out, *totals)
+
+
+def _carried(placed: DataFrame, key: str, sums: Sequence[str], maxes: Sequence[str]) -> DataFrame:
+    """What each slice's first key already collected in the slices before it."""
+    ends = placed.groupBy("_slice").agg(
+        F.expr(f"min({key})").alias("first_key"), F.expr(f"max({key})").alias("last_key")
     )
-    before = (
-        Window.partitionBy("last_key")
-        .orderBy("_slice")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tails = (
+        placed.join(F.broadcast(ends), "_slice")  # one row per slice
+        .filter(f"{key} <=> last_key")
+        .groupBy("_slice", "first_key", "last_key")
+        .agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in maxes])
     )
-    summed = [F.sum(f"tail.run_{c}").over(before).alias(f"off_{c}") for c in sums]
-    maxed = [F.max(f"tail.run_{c}").over(before).alias(f"off_{c}") for c in maxes]
-    tails = slices.select("_slice", "first_key", "last_key", *summed, *maxed)
-    # bounded: one row per slice, so this window and broadcast stay small
+    # bounded: one row per slice, so these windows stay small
+    same = Window.partitionBy("last_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     step = Window.orderBy("_slice")
-    offsets = [f"off_{c}" for c in (*sums, *maxes)]
-    carry = tails.select(
-        "_slice",
-        "first_key",
-        (F.lag("last_key").over(step) == F.col("first_key")).alias("continues"),
-        *[F.lag(c).over(step).alias(c) for c in offsets],
-    ).filter("continues")
-
-    joined = local.join(F.broadcast(carry.drop("continues")), "_slice", "left")
-    carries = F.coalesce(keyed == F.col("first_key"), F.lit(False))
-
-    def corrected(c: str, combine) -> Column:
-        run, off = F.col(f"run_{c}"), F.col(f"off_{c}")
-        both = F.when(carries & off.isNotNull(), combine(run, off)).otherwise(run)
-        return both.alias(f"run_{c}")
-
-    return joined.select(
-        *df.columns,
-        *[corrected(c, lambda r, o: F.coalesce(r + o, o)) for c in sums],
-        *[corrected(c, lambda r, o: F.greatest(r, o)) for c in maxes],
+    so_far = tails.select(
+        "_slice", "first_key", "last_key",
+        *[F.sum(c).over(same).alias(f"off_{c}") for c in sums],
+        *[F.max(c).over(same).alias(f"off_{c}") for c in maxes],
+    )
+    return (
+        so_far.select(
+            "_slice", "first_key", F.lag("last_key").over(step).alias("before"),
+            *[F.lag(f"off_{c}").over(step).alias(f"off_{c}") for c in (*sums, *maxes)],
+        )
+        .filter("before <=> first_key")
+        .drop("before")
     )

@@ -18,46 +18,45 @@ from tablewright import types as t
 NATIVE = ("whole", "real", "txt")
 
 
-def _parts(name: str, dt: T.DataType):
-    """One value as (whole, real, txt); the unused parts stay null."""
-    nothing = (F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.lit(None).cast("string"))
+def _cells(number: int, name: str, dt: T.DataType) -> str:
+    """One value as (column number, whole, real, txt); unused parts are null."""
+    c = t.quoted(name)
     if isinstance(dt, T.IntegralType):
-        return (t.column(name).cast("bigint"), *nothing[1:])
+        return f"{number}, CAST({c} AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS STRING)"
     if isinstance(dt, (T.FloatType, T.DoubleType)):
-        return (nothing[0], t.column(name).cast("double"), nothing[2])
+        return f"{number}, CAST(NULL AS BIGINT), CAST({c} AS DOUBLE), CAST(NULL AS STRING)"
     if isinstance(dt, T.DecimalType):
-        return (nothing[0], t.column(name).cast("double"), t.column(name).cast("string"))
-    return (*nothing[:2], t.as_text(name, dt))
+        return f"{number}, CAST(NULL AS BIGINT), CAST({c} AS DOUBLE), CAST({c} AS STRING)"
+    return f"{number}, CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), {t.text_sql(name, dt)}"
 
 
-def labelled(df: DataFrame, names: Sequence[str]):
-    """Column number -> column name, as a lookup expression."""
-    return F.element_at(F.array(*[F.lit(n) for n in names]), F.col("col_no") + 1)
+def text_literal(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def count_values(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """(column_name, whole, real, txt, n) over the non-null values."""
     names = list(names if names is not None else df.columns)
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    cells = []
-    for i, name in enumerate(names):
-        cells += [F.lit(i), *_parts(name, kinds[name])]
-    long = df.select(F.stack(F.lit(len(names)), *cells).alias("col_no", *NATIVE))
-    filled = long.filter(
-        F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("txt").isNotNull()
+    cells = ", ".join(_cells(i, name, kinds[name]) for i, name in enumerate(names))
+    labels = ", ".join(text_literal(n) for n in names)
+    return (
+        df.selectExpr(f"stack({len(names)}, {cells}) AS (col_no, whole, real, txt)")
+        .filter("whole IS NOT NULL OR real IS NOT NULL OR txt IS NOT NULL")
+        .groupBy("col_no", *NATIVE)
+        .agg(F.count("*").alias("n"))
+        .selectExpr(f"array({labels})[col_no] AS column_name", *NATIVE, "n")
     )
-    grouped = filled.groupBy("col_no", *NATIVE).agg(F.count("*").alias("n"))
-    return grouped.select(labelled(df, names).alias("column_name"), *NATIVE, "n")
 
 
 def shown():
     """The value as text."""
-    return F.coalesce(F.col("txt"), F.col("whole").cast("string"), F.col("real").cast("string"))
+    return F.expr("coalesce(txt, CAST(whole AS STRING), CAST(real AS STRING))")
 
 
 def number():
     """The value as a double, null for text."""
-    return F.coalesce(F.col("real"), F.col("whole").cast("double"))
+    return F.expr("coalesce(real, CAST(whole AS DOUBLE))")
 
 
 def value_counts(df: DataFrame, name: str) -> DataFrame:

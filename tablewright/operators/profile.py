@@ -38,37 +38,20 @@ def text_columns(df: DataFrame) -> list[str]:
 
 def column_facts(df: DataFrame) -> DataFrame:
     """Row count, nulls and numeric range per column, from one aggregate."""
-    fields = df.schema.fields
-    aggs = [F.count("*").alias("rows")]
-    for i, f in enumerate(fields):
-        aggs.append(F.count(t.column(f.name)).alias(f"c{i}"))
-        if t.domain_type(f.dataType) in t.NUMERIC:
-            aggs += [
-                F.min(t.column(f.name)).cast("double").alias(f"lo{i}"),
-                F.max(t.column(f.name)).cast("double").alias(f"hi{i}"),
-            ]
-    one = df.agg(*aggs)
-    cells = []
-    for i, f in enumerate(fields):
-        kind = t.domain_type(f.dataType)
-        numeric = kind in t.NUMERIC
-        none = F.lit(None).cast("double")
-        cells += [
-            F.lit(f.name),
-            F.lit(i),
-            F.lit(kind),
-            F.lit(t.is_nested(f.dataType)),
-            F.col("rows"),
-            F.col("rows") - F.col(f"c{i}"),
-            F.col(f"lo{i}") if numeric else none,
-            F.col(f"hi{i}") if numeric else none,
-        ]
-    return one.select(
-        F.stack(F.lit(len(fields)), *cells).alias(
-            "column_name", "position", "inferred_type", "is_nested",
-            "row_count", "null_count", "minimum", "maximum",
+    aggs, cells = ["count(*) AS row_count"], []
+    for i, f in enumerate(df.schema.fields):
+        c, kind = t.quoted(f.name), t.domain_type(f.dataType)
+        aggs.append(f"count({c}) AS c{i}")
+        span = "CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)"
+        if kind in t.NUMERIC:
+            aggs += [f"CAST(min({c}) AS DOUBLE) AS lo{i}", f"CAST(max({c}) AS DOUBLE) AS hi{i}"]
+            span = f"lo{i}, hi{i}"
+        nested = str(t.is_nested(f.dataType)).lower()
+        cells.append(
+            f"{counts.text_literal(f.name)}, {i}, '{kind}', {nested}, row_count, row_count - c{i}, {span}"
         )
-    )
+    names = "column_name, position, inferred_type, is_nested, row_count, null_count, minimum, maximum"
+    return df.selectExpr(*aggs).selectExpr(f"stack({len(cells)}, {', '.join(cells)}) AS ({names})")
 
 
 def null_rate() -> Column:
@@ -105,25 +88,20 @@ def quantiles(vc: DataFrame, ps: Sequence[float] = QUANTILES) -> DataFrame:
     task.  Instead the values get global ranks from running totals, and the
     rows at the wanted ranks are picked out.
     """
-    numeric = vc.select("column_name", counts.number().alias("v"), "n").filter("v is not null")
-    numeric = numeric.groupBy("column_name", "v").agg(F.sum("n").alias("n"))
-    ranked = running_totals(numeric, ["column_name"], ["v"], ["n"])
-    totals = ranked.groupBy("column_name").agg(F.max("run_n").alias("total"))
-    placed = ranked.join(F.broadcast(totals), "column_name")  # one row per column
+    numeric = vc.select("column_name", counts.number().alias("v"), "whole", "txt", "n").filter("v IS NOT NULL")
+    # distinct values may round to one double; the rest of the order tells them apart
+    ranked = running_totals(numeric, ["column_name"], ["v", "whole", "txt"], ["n"], with_totals=True)
     picks = []
     for i, p in enumerate(ps):
-        at = F.lit(float(p)) * (F.col("total") - 1)
-        for end, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            holds = (F.col("run_n") - F.col("n") <= rank) & (rank < F.col("run_n"))
-            picks.append(F.max(F.when(holds, F.col("v"))).alias(f"{end}{i}"))
-    picked = placed.groupBy("column_name", "total").agg(*picks)
-    out = []
-    for i, p in enumerate(ps):
-        at = F.lit(float(p)) * (F.col("total") - 1)
-        step = at - F.floor(at)
-        lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
-        out.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * step))
-    return picked.select("column_name", F.array(*out).alias("quantiles"))
+        at = f"{float(p)} * (total_n - 1)"
+        picks.append(F.expr(f"max(CASE WHEN run_n - n <= floor({at}) AND floor({at}) < run_n THEN v END)").alias(f"lo{i}"))
+        picks.append(F.expr(f"max(CASE WHEN run_n - n <= ceil({at}) AND ceil({at}) < run_n THEN v END)").alias(f"hi{i}"))
+    picked = ranked.groupBy("column_name", "total_n").agg(*picks)
+    cuts = [
+        f"IF(lo{i} = hi{i}, lo{i}, lo{i} + (hi{i} - lo{i}) * ({float(p)} * (total_n - 1) - floor({float(p)} * (total_n - 1))))"
+        for i, p in enumerate(ps)
+    ]
+    return picked.selectExpr("column_name", f"array({', '.join(cuts)}) AS quantiles")
 
 
 def histogram(vc: DataFrame, facts: DataFrame) -> DataFrame:

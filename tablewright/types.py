@@ -62,13 +62,17 @@ def column(name: str) -> Column:
     return F.col(quoted(name))
 
 
-def as_text(name: str, dt: T.DataType) -> Column:
+def text_sql(name: str, dt: T.DataType) -> str:
     """The text rendering used wherever a value is shown or grouped as text."""
     if is_nested(dt):
-        return F.to_json(column(name))
+        return f"to_json({quoted(name)})"
     if isinstance(dt, T.BinaryType):
-        return F.hex(column(name))
-    return column(name).cast("string")
+        return f"hex({quoted(name)})"
+    return f"CAST({quoted(name)} AS STRING)"
+
+
+def as_text(name: str, dt: T.DataType) -> Column:
+    return F.expr(text_sql(name, dt))
 
 
 def flatten_nested(df: DataFrame) -> tuple[DataFrame, list[str]]:
