@@ -6,7 +6,7 @@ import importlib
 
 from tablewright.suite.registry import Suite
 
-SUBJECTS = ("profiles",)
+SUBJECTS = ("querying", "profiles", "linking")
 
 
 def all_queries() -> Suite:
