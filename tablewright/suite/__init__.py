@@ -6,7 +6,7 @@ import importlib
 
 from tablewright.suite.registry import Suite
 
-SUBJECTS = ("querying", "profiles", "linking")
+SUBJECTS = ("querying", "profiles", "linking", "files", "training", "models")
 
 
 def all_queries() -> Suite:
