@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.session import materialise
@@ -35,10 +35,11 @@ def running_totals(
     placed = materialise(placed.withColumn("_slice", F.spark_partition_id()), "ordered")
     key = f"struct({', '.join(keys) if keys else '0 AS everything'})"
 
-    window = Window.partitionBy("_slice", *keys).orderBy(*order)
-    inside = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = placed.withColumns(
-        {f"run_{c}": F.sum(c).over(inside) for c in sums} | {f"run_{c}": F.max(c).over(inside) for c in maxes}
+    over = f"OVER (PARTITION BY {', '.join(['_slice', *keys])} ORDER BY {', '.join(order)} ROWS UNBOUNDED PRECEDING)"
+    local = placed.selectExpr(
+        "*",
+        *[f"sum({c}) {over} AS run_{c}" for c in sums],
+        *[f"max({c}) {over} AS run_{c}" for c in maxes],
     )
 
     carry = _carried(placed, key, sums, maxes)
@@ -71,18 +72,15 @@ def _carried(placed: DataFrame, key: str, sums: Sequence[str], maxes: Sequence[s
         .agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in maxes])
     )
     # bounded: one row per slice, so these windows stay small
-    same = Window.partitionBy("last_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    step = Window.orderBy("_slice")
-    so_far = tails.select(
+    same = "OVER (PARTITION BY last_key ORDER BY _slice ROWS UNBOUNDED PRECEDING)"
+    step = "OVER (ORDER BY _slice)"
+    so_far = tails.selectExpr(
         "_slice", "first_key", "last_key",
-        *[F.sum(c).over(same).alias(f"off_{c}") for c in sums],
-        *[F.max(c).over(same).alias(f"off_{c}") for c in maxes],
+        *[f"sum({c}) {same} AS off_{c}" for c in sums],
+        *[f"max({c}) {same} AS off_{c}" for c in maxes],
     )
-    return (
-        so_far.select(
-            "_slice", "first_key", F.lag("last_key").over(step).alias("before"),
-            *[F.lag(f"off_{c}").over(step).alias(f"off_{c}") for c in (*sums, *maxes)],
-        )
-        .filter("before <=> first_key")
-        .drop("before")
+    before = so_far.selectExpr(
+        "_slice", "first_key", f"lag(last_key) {step} AS before",
+        *[f"lag(off_{c}) {step} AS off_{c}" for c in (*sums, *maxes)],
     )
+    return before.filter("before <=> first_key").drop("before")

@@ -47,7 +47,8 @@ QUARTERS = ("1996-01-01", "2000-10-01", 3)
 
 
 def frames_of(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return rel.build_inputs(SPEC, shop(spark, sf_dir, "customers", "sales", "line_items"))
+    shaped = shop(spark, sf_dir, "customers", "sales", "line_items")
+    return {n: rel.cast_declared(shaped[n], table) for n, table in SPEC.tables.items()}
 
 
 def accounts(frames: dict[str, DataFrame]) -> DataFrame:
@@ -312,9 +313,9 @@ def neighbors_last_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT g.customer_id, g.as_of, coalesce(a.n, 0) AS sales, a.total, coalesce(a.n, 0) AS owners, "
     "CASE WHEN a.n > 0 THEN c.balance END AS balance, coalesce(b.n, 0) AS lines, b.price, b.quantity FROM (SELECT DISTINCT * FROM grid) g "
     "JOIN customers c USING (customer_id) "
-    "LEFT JOIN (SELECT customer_id, as_of, count(*) AS n, round(avg(total), 2) AS total FROM one GROUP BY 1, 2) a "
+    "LEFT JOIN (SELECT customer_id, as_of, count(*) AS n, round(avg(total), 8) AS total FROM one GROUP BY 1, 2) a "
     "ON a.customer_id = g.customer_id AND a.as_of = g.as_of "
-    "LEFT JOIN (SELECT customer_id, as_of, count(*) AS n, round(avg(price), 2) AS price, round(avg(quantity), 2) AS quantity FROM two GROUP BY 1, 2) b "
+    "LEFT JOIN (SELECT customer_id, as_of, count(*) AS n, round(avg(price), 8) AS price, round(avg(quantity), 8) AS quantity FROM two GROUP BY 1, 2) b "
     "ON b.customer_id = g.customer_id AND b.as_of = g.as_of",
 )
 def graph_mean_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,10 +324,10 @@ def graph_mean_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     one, lines, owner = "hop_sales_customer_id", "hop_sales_customer_id_line_items_sale_id", "hop_sales_customer_id_customers_customer_id"
     return df.select(
         "customer_id", "as_of",
-        F.col(f"{one}_1_rows").alias("sales"), F.round(f"{one}_1_mean_total", 2).alias("total"),
-        F.col(f"{owner}_2_rows").alias("owners"), F.round(f"{owner}_2_mean_balance", 2).alias("balance"),
-        F.col(f"{lines}_2_rows").alias("lines"), F.round(f"{lines}_2_mean_price", 2).alias("price"),
-        F.round(f"{lines}_2_mean_quantity", 2).alias("quantity"),
+        F.col(f"{one}_1_rows").alias("sales"), F.round(f"{one}_1_mean_total", 8).alias("total"),
+        F.col(f"{owner}_2_rows").alias("owners"), F.round(f"{owner}_2_mean_balance", 8).alias("balance"),
+        F.col(f"{lines}_2_rows").alias("lines"), F.round(f"{lines}_2_mean_price", 8).alias("price"),
+        F.round(f"{lines}_2_mean_quantity", 8).alias("quantity"),
     )
 
 
@@ -393,5 +394,5 @@ def derive_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges come from links found in the data, then hold on the typed tables."""
     frames = shop(spark, sf_dir, "customers", "sales", "line_items")
     derived = rel.derive_spec("shop", frames, links.discover(frames), {"sales": "sale_date", "line_items": "ship_date"}, VAL, TEST)
-    built = {n: rel.cast_declared(frames[n], table) for n, table in derived.tables.items()}
+    built = rel.build_inputs(derived, frames)
     return links.orphans(built, rel.foreign_keys(derived))
