@@ -103,7 +103,7 @@ def train(
         "actual", F.stack(F.lit(2), F.lit("linear"), F.col("linear"), F.lit("gbm"), F.col("gbm")).alias("model", "predicted")
     )
     scores = evaluate.regression_scores(long, F.col("actual"), F.col("predicted"), ["model"])
-    predictions = both.select(*row_key, "actual", F.round("gbm", 2).alias("predicted"), "is_holdout")
+    predictions = both.select(*row_key, "actual", F.bround("gbm", 2).alias("predicted"), "is_holdout")
     return Regression(scores, prepare.importances(boosted, ready, features), predictions, chosen)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ def read_json(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
     reader = spark.read.option("mode", "FAILFAST").option("multiLine", not _is_one_per_line(spark, path))
     try:
         df = reader.json(path)
-    except PySparkException as bad:
+    except (PySparkException, Py4JJavaError) as bad:  # schema inference reads the file
         raise MalformedFileError("The JSON file could not be read.") from bad
     flat, nested = t.flatten_nested(df)
     plain = flat.select(*[t.column(c) for c in flat.columns if c not in nested])
