@@ -6,6 +6,7 @@ Two inputs feed every fact: one plain aggregate in native types
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,6 +27,9 @@ TOP_VALUES = 10
 LOW_CARDINALITY = 25
 MAJORITY = 0.5
 NARROWER = (t.INTEGER, t.DECIMAL, t.BOOLEAN, t.DATE, t.DATETIME)
+# how far a bracket reaches to each side, as a share of rows, and the sketch's size
+BRACKET = 0.002
+SKETCH = 2000
 RELEASED_SAMPLES = 5
 RELEASED_LENGTH = 200
 
@@ -81,27 +85,89 @@ def top_values(vc: DataFrame, k: int = TOP_VALUES) -> DataFrame:
     return shown.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)
 
 
-def quantiles(vc: DataFrame, ps: Sequence[float] = QUANTILES) -> DataFrame:
-    """Exact interpolated quantiles of every numeric column.
+def quantiles(df: DataFrame, ps: Sequence[float] = QUANTILES) -> DataFrame:
+    """Exact interpolated quantiles of every numeric column of ``df``.
 
     The aggregate ``percentile`` would hold a column's distinct values in one
-    task.  Instead the values get global ranks from running totals, and the
-    rows at the wanted ranks are picked out.
+    task, and sorting everything moves the whole table.  A sketch first
+    brackets each quantile, an exact count proves that the bracket holds the
+    wanted ranks, and only the rows inside are ranked.  A bracket that does not
+    hold is opened to the whole column, so the sketch never decides a result.
     """
-    numeric = vc.select("column_name", counts.number().alias("v"), "whole", "txt", "n").filter("v IS NOT NULL")
-    # distinct values may round to one double; the rest of the order tells them apart
-    ranked = running_totals(numeric, ["column_name"], ["v", "whole", "txt"], ["n"], with_totals=True)
-    picks = []
-    for i, p in enumerate(ps):
-        at = f"{float(p)} * (total_n - 1)"
-        picks.append(F.expr(f"max(CASE WHEN run_n - n <= floor({at}) AND floor({at}) < run_n THEN v END)").alias(f"lo{i}"))
-        picks.append(F.expr(f"max(CASE WHEN run_n - n <= ceil({at}) AND ceil({at}) < run_n THEN v END)").alias(f"hi{i}"))
-    picked = ranked.groupBy("column_name", "total_n").agg(*picks)
-    cuts = [
-        f"IF(lo{i} = hi{i}, lo{i}, lo{i} + (hi{i} - lo{i}) * ({float(p)} * (total_n - 1) - floor({float(p)} * (total_n - 1))))"
-        for i, p in enumerate(ps)
-    ]
-    return picked.selectExpr("column_name", f"array({', '.join(cuts)}) AS quantiles")
+    names = [f.name for f in df.schema.fields if t.domain_type(f.dataType) in t.NUMERIC]
+    numbers = df.select(*[t.column(n).cast("double").alias(f"v{i}") for i, n in enumerate(names)])
+    brackets = _brackets(numbers, ps)
+    if not brackets:
+        return df.sparkSession.createDataFrame([], "column_name string, quantiles array<double>")
+    # one row per column and quantile travels to the tasks
+    wanted = df.sparkSession.createDataFrame(
+        brackets, "col_no int, q int, lo double, hi double, skipped bigint, first bigint, second bigint, step double"
+    )
+    # values outside every bracket of their column go before anything is stacked
+    cells = ", ".join(f"{i}, {_inside_any(f'v{i}', [b for b in brackets if b[0] == i])}" for i in range(len(names)))
+    inside = (
+        numbers.selectExpr(f"stack({len(names)}, {cells}) AS (col_no, v)")
+        .filter("v IS NOT NULL")
+        .join(F.broadcast(wanted.select("col_no", "q", "lo", "hi")), "col_no")
+        .filter("(lo IS NULL OR v >= lo) AND (hi IS NULL OR v <= hi)")
+        .groupBy("col_no", "q", "v")
+        .agg(F.count("*").alias("n"))
+    )
+    ranked = running_totals(inside, ["col_no", "q"], ["v"], ["n"]).join(F.broadcast(wanted), ["col_no", "q"])
+    picked = ranked.groupBy("col_no", "q", "step").agg(
+        F.expr("max(CASE WHEN skipped + run_n - n <= first AND first < skipped + run_n THEN v END)").alias("below"),
+        F.expr("max(CASE WHEN skipped + run_n - n <= second AND second < skipped + run_n THEN v END)").alias("above"),
+    )
+    value = F.expr("struct(q, IF(below = above, below, below + (above - below) * step) AS v)")
+    listed = picked.groupBy("col_no").agg(F.sort_array(F.collect_list(value)).alias("found"))  # one entry per quantile
+    labels = ", ".join(counts.text_literal(n) for n in names)
+    return listed.selectExpr(f"array({labels})[col_no] AS column_name", "transform(found, x -> x.v) AS quantiles")
+
+
+def _double(x: float) -> str:
+    return f"CAST('{x!r}' AS DOUBLE)"
+
+
+def _inside_any(c: str, brackets: Sequence[tuple]) -> str:
+    """The value if some bracket holds it, else null."""
+    if any(lo is None for _, _, lo, *_ in brackets):
+        return c
+    held = [f"{c} BETWEEN {_double(lo)} AND {_double(hi)}" for _, _, lo, hi, *_ in brackets]
+    return f"IF({' OR '.join(held) or 'false'}, {c}, NULL)"
+
+
+def _brackets(numbers: DataFrame, ps: Sequence[float]) -> list[tuple]:
+    """(column, quantile, lo, hi, rows below lo, two ranks, step) for each quantile.
+
+    Two aggregates with one row each; only those rows reach the driver.
+    """
+    names = numbers.columns
+    if not names:
+        return []
+    near = [x for p in ps for x in (max(p - BRACKET, 0.0), min(p + BRACKET, 1.0))]
+    sketched = numbers.agg(
+        *[F.percentile_approx(F.nullif(F.col(c), F.lit(float("nan"))), near, SKETCH).alias(c) for c in names]
+    ).first()
+    exact = []
+    for c in names:
+        exact.append(f"count({c}) AS {c}_n")
+        for q in range(len(ps) if sketched[c] else 0):
+            lo, hi = (_double(x) for x in sketched[c][2 * q : 2 * q + 2])
+            exact += [f"count_if({c} < {lo}) AS {c}_{q}_lt", f"count_if({c} <= {hi}) AS {c}_{q}_le"]
+    counted = numbers.selectExpr(*exact).first()
+    out = []
+    for i, c in enumerate(names):
+        total = counted[f"{c}_n"]
+        for q, p in enumerate(ps if total else ()):
+            at = p * (total - 1)
+            first, second = math.floor(at), math.ceil(at)
+            lo = hi = None
+            skipped = 0
+            if sketched[c] and counted[f"{c}_{q}_lt"] <= first and second < counted[f"{c}_{q}_le"]:
+                lo, hi = sketched[c][2 * q : 2 * q + 2]
+                skipped = counted[f"{c}_{q}_lt"]
+            out.append((i, q, lo, hi, skipped, first, second, at - first))
+    return out
 
 
 def histogram(vc: DataFrame, facts: DataFrame) -> DataFrame:
@@ -192,7 +258,7 @@ def profile(df: DataFrame, sample_cap: int = SAMPLE_CAP) -> DataFrame:
     shown = listed(samples(vc, sample_cap), "position", F.col("sample"), "samples")
     out = facts
     # every side here is one row per column
-    for part in (quantiles(vc), shown, bins, tops, mixed.select("column_name", "dominant_type"), off):
+    for part in (quantiles(df), shown, bins, tops, mixed.select("column_name", "dominant_type"), off):
         out = out.join(F.broadcast(part), "column_name", "left")
     none = F.array().cast("array<string>")
     return out.select(

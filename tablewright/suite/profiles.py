@@ -80,7 +80,7 @@ def _quantile_sql(n: str, c: str, k: str) -> str:
 @suite.query("profile_quantiles", _union_sql(PROFILED, _quantile_sql, t.NUMERIC))
 def profile_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     def one(df: DataFrame) -> DataFrame:
-        q = profile.quantiles(counts.count_values(df, _numeric(df)))
+        q = profile.quantiles(df)
         return q.select("column_name", *[F.round(F.col("quantiles")[i], 4).alias(n) for i, n in enumerate(("q25", "q50", "q75"))])
 
     return _stacked(shop(spark, sf_dir, *PROFILED), one)

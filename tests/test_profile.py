@@ -87,11 +87,27 @@ def test_quantiles_with_a_hot_value(many_slices):
     rng = np.random.default_rng(3)
     values = np.concatenate([np.full(5000, 7.0), rng.normal(0, 100, 10000)])
     df = many_slices.createDataFrame([(float(v), float(-v)) for v in values], "a double, b double")
-    found = by_column(profile.quantiles(counts.count_values(df), (0.0, 0.1, 0.5, 0.99, 1.0)))
+    found = by_column(profile.quantiles(df, (0.0, 0.1, 0.5, 0.99, 1.0)))
     np.testing.assert_allclose(found["a"]["quantiles"], np.quantile(values, [0, 0.1, 0.5, 0.99, 1]), rtol=1e-12)
     np.testing.assert_allclose(found["b"]["quantiles"], np.quantile(-values, [0, 0.1, 0.5, 0.99, 1]), rtol=1e-12)
 
 
+def test_quantiles_do_not_depend_on_the_sketch(spark, monkeypatch):
+    values = [float(i % 97) ** 3 for i in range(2000)]
+    df = spark.createDataFrame([(v,) for v in values], "a double")
+    monkeypatch.setattr(profile, "SKETCH", 2)  # far too coarse: brackets miss and are opened
+    monkeypatch.setattr(profile, "BRACKET", 0.0)
+    (row,) = profile.quantiles(df, (0.1, 0.37, 0.9)).collect()
+    np.testing.assert_allclose(row["quantiles"], np.quantile(values, [0.1, 0.37, 0.9]), rtol=1e-12)
+
+
+def test_quantiles_of_empty_and_odd_columns(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(None, 1.0, nan), (None, nan, nan), (None, 3.0, nan)], "a double, b double, c double")
+    found = {c: r["quantiles"] for c, r in by_column(profile.quantiles(df, (0.0, 0.5))).items()}
+    assert found["b"] == [1.0, 3.0] and "a" not in found and all(np.isnan(found["c"]))
+
+
 def test_value_counts_leave_nulls_out(spark):
     df = spark.createDataFrame([("a",), ("a",), (None,), ("b",)], "x string")
     assert rows(counts.value_counts(df, "x")) == [("a", 2), ("b", 1)]
