@@ -182,6 +182,9 @@ class Standardisation:
             raise UnknownRuleError(rule_id)
         del self.decisions[name]
 
+    def approved(self) -> dict[str, dict[str, str]]:
+        """What a dataset store keeps: column -> raw -> canonical."""
+        return {c: d["mapping"] for c, d in self.decisions.items() if d["status"] == "approved"}
+
     def view(self) -> DataFrame:
-        active = {c: d["mapping"] for c, d in self.decisions.items() if d["status"] == "approved"}
-        return apply_mappings(self.stored, active)
+        return apply_mappings(self.stored, self.approved())

@@ -41,7 +41,7 @@ def _guarded(name: str, sql: str, oracle: str | None = None) -> None:
 _guarded(
     "revenue_by_segment",
     "SELECT c_mktsegment AS segment, count(DISTINCT o_orderkey) AS orders, "
-    "CAST(round(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))), 2) AS DOUBLE) AS revenue "
+    "round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue "
     "FROM q_customer JOIN q_orders ON o_custkey = c_custkey JOIN q_lineitem ON l_orderkey = o_orderkey "
     "GROUP BY c_mktsegment ORDER BY segment",
 )

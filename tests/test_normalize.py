@@ -94,3 +94,17 @@ def test_mapping_table_equals_literal_mapping(spark, sales):
     groups = normalize.variant_groups(sales)
     by_join = normalize.apply_mapping_table(sales, "region", normalize.mapping(groups))
     assert totals(by_join) == [("East", 60), ("West", 90)]
+
+
+def test_approved_mappings_outlive_the_session(spark, sales, tmp_path):
+    from tablewright.sources.store import DatasetStore
+
+    store = DatasetStore(spark, str(tmp_path))
+    store.write("sales", sales)
+    work = normalize.Standardisation(store.read("sales"))
+    work.approve("norm:region")
+    store.set_mappings("sales", work.approved())
+    again = DatasetStore(spark, str(tmp_path))
+    assert totals(again.read("sales")) == [("East", 60), ("West", 90)]
+    again.set_mappings("sales", {})
+    assert again.read("sales").select("region").distinct().count() == 4

@@ -38,6 +38,20 @@ def test_running_totals_across_slices(many_slices, keys):
         assert found[(k, o)]["total_n"] == total[k if keys else ""]
 
 
+def test_a_hot_key_is_spread_over_slices(many_slices, monkeypatch):
+    from tablewright.functions import prefix
+
+    kept = []
+    keep = prefix.materialise
+    monkeypatch.setattr(prefix, "materialise", lambda df, label: kept.append(keep(df, label)) or kept[-1])
+    df = many_slices.range(40000).selectExpr("IF(id % 3 = 0, 'hot', concat('k', id % 101)) AS k", "id AS o", "1L AS n")
+    last = running_totals(df, ["k"], ["o"], ["n"]).groupBy("k").agg(F.max("run_n").alias("n"))
+    assert last.filter("k = 'hot'").first()["n"] == 13334
+    sizes = [r["count"] for r in kept[0].groupBy("_slice").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 40000 / 8 * 1.6
+    assert kept[0].filter("k = 'hot'").select("_slice").distinct().count() >= 3
+
+
 # ---- a miniature bank ----------------------------------------------------------
 @pytest.fixture
 def bank(spark):
