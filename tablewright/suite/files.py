@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright import types as t
+from tablewright.operators import profile
 from tablewright.relational import spec as rel
 from tablewright.session import scratch_path
 from tablewright.sources import delimited, json_records
@@ -188,3 +189,44 @@ def predictions_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
         store.save_predictions("sales_predictions", predicted, "flat", version)
     assert [c for c, _ in t.schema_of(store.read("sales_predictions"))] == ["sale_id", "predicted", "model", "model_version"]
     return store.read("sales_predictions")
+
+
+# ---- whole jobs the baseline names ----------------------------------------------
+_INGESTED = {
+    "order_id": "integer", "part_id": "integer", "quantity": "decimal", "price": "decimal",
+    "return_flag": "text", "ship_date": "date",
+}
+
+
+@suite.query(
+    "ingest_profile",
+    with_shop("line_items") + " " + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, '{k}' AS inferred_type, count(*) AS row_count, count(DISTINCT {c}) AS distinct_count, "
+        + (f"round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 4)" if k in t.NUMERIC else "CAST(NULL AS DOUBLE)")
+        + f" AS median FROM line_items"
+        for c, k in _INGESTED.items()
+    ),
+)
+def ingest_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A delimited file becomes a typed dataset and is profiled."""
+    folder = scratch_path(spark, "ingest")
+    _written_csv(shop(spark, sf_dir, "line_items")["line_items"].select(*_INGESTED), f"{folder}/lines.csv")
+    store = DatasetStore(spark, f"{folder}/store")
+    found = profile.profile(store.read(store.ingest(f"{folder}/lines.csv")))
+    return found.select(
+        "column_name", "inferred_type", "row_count", "distinct_count", F.round(F.get("quantiles", F.lit(1)), 4).alias("median")
+    )
+
+
+@suite.query(
+    "export_lines",
+    "SELECT l_returnflag AS return_flag, count(*) AS n, CAST(sum(l_quantity) AS DOUBLE) AS quantity, count(l_shipdate) AS shipped FROM lineitem GROUP BY 1",
+)
+def export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The widest table exported in full and read back."""
+    path = scratch_path(spark, "export") + ".csv"
+    export(given(spark, sf_dir, "lineitem"), "csv", path)
+    back = spark.read.option("header", True).csv(path)
+    return back.groupBy(F.col("l_returnflag").alias("return_flag")).agg(
+        F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("double")).alias("quantity"), F.count("l_shipdate").alias("shipped")
+    )

@@ -11,7 +11,7 @@ from check_suite import TABLES, rows_of
 
 SF = os.environ.get("TABLEWRIGHT_SF", "/root/testdata/sf0.001")
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-SLOW = {"train_regression", "regression_predictions", "train_relational", "relational_predictions", "shuffled_canary"}
+SLOW = {"train_regression", "regression_predictions", "regression_importances", "train_relational", "relational_predictions", "shuffled_canary"}
 
 
 @pytest.fixture(scope="module")
