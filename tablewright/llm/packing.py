@@ -12,6 +12,7 @@ goes; the pieces are numbered and placed by Spark.
 from __future__ import annotations
 
 import base64
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +28,7 @@ from tablewright.session import materialise
 BATCH_BYTES = 8 << 20
 
 
+@functools.cache
 def encoder(ranks: str):
     """Byte-pair encoder over a rank file, with its end-of-text string as a special token.
 
