@@ -9,6 +9,7 @@ bounded memory of counts holds it.
 
 from __future__ import annotations
 
+import functools
 import os
 from collections.abc import Iterator
 
@@ -18,8 +19,31 @@ from pyspark.sql import DataFrame
 
 from tablewright.llm.text import raw_texts, slices
 
-#: Counts a task remembers before it starts anew; bounds its memory, not its results.
-REMEMBERED = 300_000
+#: Counts in each of the two generations that a worker remembers; bounds its memory, not its results.
+REMEMBERED = 400_000
+
+
+class Remembered:
+    """Counts by key in two generations: what is asked for moves to the young one, the old one is dropped when that is full."""
+
+    def __init__(self) -> None:
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def missing(self, keys) -> list:
+        """Those of ``keys`` without a count; the others are in ``young`` from now on."""
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        new = []
+        for k in keys:
+            if k not in self.young:
+                n = self.old.get(k)
+                if n is None:
+                    new.append(k)
+                else:
+                    self.young[k] = n
+        return new
+
 
 # The pre-tokenisation pattern of the vocabulary file, and the
 # characters for which lower-casing and composition are plain (tested one by one).
@@ -47,7 +71,8 @@ class WholeTokenCounter:
         self.whole = self._proven()
         self.split = regex.compile(PRE_TOKEN).findall
         self.plain = regex.compile(PLAIN).fullmatch
-        self.counts: dict[bytes, int] = {}
+        self.parts = Remembered()
+        self.merges = Remembered()
 
     def _proven(self) -> frozenset[str]:
         """Lower-case strings, each one pre-token, whose encoding alone is one token."""
@@ -68,34 +93,35 @@ class WholeTokenCounter:
 
     def learn(self, parts: set[bytes]) -> None:
         """Make sure every part has its count."""
-        if len(self.counts) > REMEMBERED:
-            self.counts = {}
-        new = [p for p in parts if p not in self.counts]
-        rest: dict[str, int] = {}
-        split_parts: list[tuple[bytes, int, list[str]]] = []
-        for part in new:
+        rest: set[str] = set()
+        open_parts: list[tuple[bytes, int, list[str]]] = []
+        for part in self.parts.missing(parts):
             text = part.decode()
             if self.plain(text) and "<|" not in text:
                 pieces = self.split(text.lower())
                 others = [p for p in pieces if p not in self.whole]
-                split_parts.append((part, len(pieces) - len(others), others))
             else:
-                others = [text]
-                split_parts.append((part, 0, others))
-            for p in others:
-                rest[p] = 0
-        names = list(rest)
-        rest.update(zip(names, self._merged(names)))
-        for part, ones, others in split_parts:
-            self.counts[part] = ones + sum(rest[p] for p in others)
+                pieces = others = [text]
+            open_parts.append((part, len(pieces) - len(others), others))
+            rest.update(others)
+        names = self.merges.missing(rest)
+        merges = self.merges.young
+        merges.update(zip(names, self._merged(names)))
+        self.parts.young.update((part, ones + sum(merges[p] for p in others)) for part, ones, others in open_parts)
 
     def count(self, raws: list[bytes]) -> list[int]:
         parts = [r.split() for r in raws]
         self.learn(set().union(*parts))
-        get = self.counts.__getitem__
+        get = self.parts.young.__getitem__
         return [sum(map(get, p)) for p in parts]
 
 
+@functools.cache
+def _counter(vocabulary: str) -> WholeTokenCounter:
+    """One per worker process: the proof and the remembered counts serve all its tasks."""
+    return WholeTokenCounter(vocabulary)
+
+
 def token_counts(docs: DataFrame, vocabulary: str, limit: int, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``id_column, n_bytes, n_tokens, over_limit``, one row per row of ``docs``.
 
@@ -105,7 +131,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int, id_column: str =
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = WholeTokenCounter(vocabulary)
+        counter = _counter(vocabulary)
         for batch in slices(batches):
             raws = raw_texts(batch.column(1))
             counts = counter.count(raws)
