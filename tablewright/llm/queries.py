@@ -10,6 +10,7 @@ from tablewright.llm import (
     chat,
     decontaminate,
     language_id,
+    lm_scoring,
     packing,
     quality,
     token_counts,
@@ -22,6 +23,13 @@ from tablewright.suite.registry import Suite
 suite = Suite()
 
 
+@suite.query("op1_suffix_tree_scores")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_remainder("doc_id", 7) == 2, F.lit(False))
+    return lm_scoring.score_texts(docs, train=~held_out).withColumn("held_out", held_out)
+
+
 @suite.query("op3_token_counts")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
