@@ -101,11 +101,14 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     leaves = state.filter("root IS NOT NULL").join(answered, ["conv", "msg"], "left_anti")
     best = Window.partitionBy("conv", "root").orderBy(F.expr("total / depth").desc(), "msg")
     chosen = leaves.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= branches)
-    path = chosen.selectExpr("conv", "msg AS leaf", "rank", "depth", "msg")
+    path = chosen.selectExpr("conv", "msg AS leaf", "rank", "msg")
     for jump in reversed(jumps):  # highest power first: every ancestor is met once
-        path = path.unionByName(path.join(jump, ["conv", "msg"]).selectExpr("conv", "leaf", "rank", "depth", "up AS msg"))
+        both = F.filter(F.array("msg", "up"), lambda x: x.isNotNull())
+        path = materialise(
+            path.join(jump, ["conv", "msg"], "left").select("conv", "leaf", "rank", F.explode(both).alias("msg")), "paths"
+        )
     deep = state.selectExpr("conv", "msg", "depth AS position")
-    return path.drop("depth").join(deep, ["conv", "msg"]).join(rows, ["conv", "msg"]).select(
+    return path.join(deep, ["conv", "msg"]).join(rows, ["conv", "msg"]).select(
         "conv_id", "conv", "leaf", "rank", "position", "role", "text"
     )
 
