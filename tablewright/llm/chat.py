@@ -67,13 +67,10 @@ def _climb(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             return state, jumps
         jumps.append(open_rows.select("conv", "msg", "up"))
         above = state.selectExpr("conv AS a_conv", "msg AS a_msg", "up AS a_up", "root AS a_root", "depth AS a_depth", "total AS a_total")
-        state = materialise(
-            state.join(above, F.expr("conv = a_conv AND up = a_msg"), "left").selectExpr(
-                "conv", "msg", "a_up AS up", "coalesce(root, a_root) AS root",
-                "depth + coalesce(a_depth, 0) AS depth", "total + coalesce(a_total, 0) AS total",
-            ),
-            "replies",
+        climbed = open_rows.join(above, F.expr("conv = a_conv AND up = a_msg")).selectExpr(
+            "conv", "msg", "a_up AS up", "coalesce(root, a_root) AS root", "depth + a_depth AS depth", "total + a_total AS total"
         )
+        state = materialise(state.filter("up IS NULL").unionByName(climbed), "replies")
 
 
 def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
@@ -103,10 +100,8 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     chosen = leaves.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= branches)
     path = chosen.selectExpr("conv", "msg AS leaf", "rank", "msg")
     for jump in reversed(jumps):  # highest power first: every ancestor is met once
-        both = F.filter(F.array("msg", "up"), lambda x: x.isNotNull())
-        path = materialise(
-            path.join(jump, ["conv", "msg"], "left").select("conv", "leaf", "rank", F.explode(both).alias("msg")), "paths"
-        )
+        higher = path.join(jump, ["conv", "msg"]).selectExpr("conv", "leaf", "rank", "up AS msg")
+        path = materialise(path.unionByName(higher), "paths")
     deep = state.selectExpr("conv", "msg", "depth AS position")
     return path.join(deep, ["conv", "msg"]).join(rows, ["conv", "msg"]).select(
         "conv_id", "conv", "leaf", "rank", "position", "role", "text"

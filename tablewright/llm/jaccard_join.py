@@ -265,7 +265,9 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
         .join(joined, "node", "left")
         .select("id", "n", F.coalesce("label", "node").alias("component"))
     )
-    smallest = named.filter("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("least"))
+    named = materialise(named, "components")
+    # written first, so that the join below reads plain shuffles, which Spark splits where a component is large
+    smallest = materialise(named.filter("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("least")), "least-ids")
     return named.join(smallest, "component", "left").select(
         F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id")
     )
