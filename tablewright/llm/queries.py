@@ -11,6 +11,7 @@ from tablewright.llm import (
     decontaminate,
     jaccard_join,
     language_id,
+    line_dedup,
     lm_scoring,
     packing,
     quality,
@@ -31,6 +32,30 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_texts(docs, train=~held_out).withColumn("held_out", held_out)
 
 
+@suite.query("op2_line_dedup", sql="""
+WITH lines AS (
+  SELECT doc_id, line, value, CASE WHEN len(list_filter(w, lambda x: x <> '')) >= 8 THEN list_sort(list_filter(w, lambda x: x <> '')) END AS w
+  FROM (SELECT doc_id, unnest(v) AS value, generate_subscripts(v, 1) AS line, list_distinct(string_split(unnest(v), ' ')) AS w
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS v FROM documents))
+), sets AS (
+  SELECT w, len(w) AS n, min((doc_id, line)) AS at FROM lines WHERE w IS NOT NULL GROUP BY w
+), gone AS (
+  SELECT DISTINCT x.w FROM sets x JOIN sets y
+  ON y.at < x.at AND x.n * 100 >= y.n * 90 AND y.n * 100 >= x.n * 90
+  AND 100 * len(list_intersect(x.w, y.w)) >= 90 * (x.n + y.n - len(list_intersect(x.w, y.w)))
+), marked AS (
+  SELECT doc_id, line, value, coalesce(l.w IN (SELECT w FROM gone) OR (doc_id, line) > s.at, false) AS cut
+  FROM lines l LEFT JOIN sets s USING (w)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (cut) AS n_removed,
+       sha256(coalesce(string_agg(value, chr(10) ORDER BY line) FILTER (NOT cut), '')) AS text_sha256
+FROM marked GROUP BY doc_id
+""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.line_dedup(docs).withColumn("text_sha256", F.sha2("text", 256)).drop("text")
+
+
 @suite.query("op3_token_counts")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
