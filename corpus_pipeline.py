@@ -1,3 +1,79 @@
-"""Placeholder, replaced below."""
+"""From raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir), works on everything the stage before kept, and
+returns a DataFrame; all but the last return the columns of ``documents``.  A stage whose
+text changes also renews ``n_chars``.  Between stages the rows are written and read again.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tablewright.llm import decontaminate, jaccard_join, line_dedup, packing, quality
+from tablewright.llm.text import table
+from tablewright.session import materialise
 from tablewright.suite.registry import Suite
+
 suite = Suite()
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality.quality_rules(docs).filter("kept").select(*docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later matching lines go; a document goes with them if no line long enough to be compared is left of it."""
+    done = line_dedup.line_dedup(docs)
+    least = line_dedup.LEAST_WORDS
+    left = F.expr(f"exists(split(text, '\\n'), l -> size(array_distinct(filter(split(l, ' '), w -> w <> ''))) >= {least})")
+    return _renewed(done.filter((F.col("n_removed") == 0) | left), docs)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays; wordless documents link with nothing."""
+    found = materialise(jaccard_join.jaccard_components(docs), "near-duplicates")
+    stays = found.filter("doc_id <=> component_id OR n_shingles = 0").select(F.col("doc_id").alias("_id"))
+    repeated = stays.groupBy("_id").agg(F.count("*").alias("rows")).filter("rows > 1").limit(1).collect()
+    if repeated:  # rows that repeat an id are one document
+        docs = docs.dropDuplicates(["doc_id"])
+    return docs.join(stays.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go, shorter benchmark passages are cut out of the others."""
+    return _renewed(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")), docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents with their places in sequences of at most 1024 tokens."""
+    pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), end_id=2, capacity=1024)
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity=1024)
+
+
+def _renewed(done: DataFrame, docs: DataFrame) -> DataFrame:
+    sized = done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else done
+    return sized.select(*docs.columns)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("line dedup", line_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("best-fit packing", packing_stage),
+]
+
+#: Byte-pair encoding and best-fit packing are beyond SQL; tests/llm compares run() with a plain version.
+ORACLE_SQL = None
+
+
+@suite.query("pipeline", sql=ORACLE_SQL)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
