@@ -141,7 +141,7 @@ def sketches(counted: DataFrame, by: list[str]) -> DataFrame:
     Only documents with words are sketched.  Partial counts combine before the shuffle, so a hot group costs no more.
     """
     ratios = F.array(
-        *[F.struct(F.lit(r).alias("ratio"), _bucket(F.col(a) / F.col(b)).alias("bucket")) for r, (a, b, _) in RATIOS.items()]
+        *[F.struct(F.lit(r).alias("ratio"), _bucket(F.try_divide(F.col(a), F.col(b))).alias("bucket")) for r, (a, b, _) in RATIOS.items()]
     )
     return (
         counted.filter("n_words > 0")
@@ -206,7 +206,7 @@ def judge(counted: DataFrame, lang: str = "lang", source: str = "source", least:
     failed = F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words")
     fine = F.lit(True)
     for r, (a, b, _) in RATIOS.items():
-        fine = fine & (F.col(a) / F.col(b)).between(F.col(f"_low_{r}"), F.col(f"_high_{r}"))
+        fine = fine & F.try_divide(F.col(a), F.col(b)).between(F.col(f"_low_{r}"), F.col(f"_high_{r}"))
     return joined.select(
         *counted.columns, failed.alias("base_failed"), F.coalesce(~failed & fine, F.lit(False)).alias("kept")
     )
