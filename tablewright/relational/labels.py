@@ -49,7 +49,7 @@ def future_event_label(
     first = events.groupBy(F.col(event_entity).alias("_entity")).agg(F.min(event_time).alias("_first"))
     known = grid.join(first, grid[entity] == first["_entity"], "left")
     ahead = known.filter(F.col("_first").isNull() | (F.col("_first") > F.col("as_of")))
-    soon = F.col("_first") <= F.date_add("as_of", horizon_days)
+    soon = F.col("_first") <= F.col("as_of") + F.expr(f"INTERVAL '{int(horizon_days)}' DAY")
     return ahead.select(entity, "as_of", F.when(soon, 1).otherwise(0).alias("label"))
 
 

@@ -307,3 +307,10 @@ def test_pair_ids(spark):
     data = [("AB", "12"), (None, "0"), ("", ""), (None, None), (None, "7.0"), ("AB", None), (" AB ", " 12 ")]
     df = spark.createDataFrame(data, "b string, a string")
     assert [r[0] for r in df.select(transforms.pair_id(F.col("b"), F.col("a"))).collect()] == ["AB|12", None, None, None, "|7", "AB|", "AB|12"]
+
+
+def test_the_horizon_counts_from_the_moment_itself(spark):
+    grid = spark.sql("SELECT 1 AS id, TIMESTAMP '2024-01-01 12:00:00' AS as_of")
+    events = spark.sql("SELECT 1 AS id, TIMESTAMP '2024-01-11 06:00:00' AS at")
+    assert labels.future_event_label(grid, "id", events, "id", "at", 10).first()["label"] == 1
+    assert labels.future_event_label(grid, "id", events, "id", "at", 9).first()["label"] == 0
