@@ -11,7 +11,7 @@ from tablewright import types as t
 from tablewright.functions.prefix import running_totals
 from tablewright.ml import evaluate, tiers
 from tablewright.relational import features as windowed
-from tablewright.relational.spec import DatasetSpec, TaskSpec
+from tablewright.relational.spec import DatasetSpec, RelationalError, TaskSpec
 
 GIVEAWAY_AUROC = 0.95
 FEWEST_ROWS = 10
@@ -39,8 +39,8 @@ def shuffled_training(training: DataFrame, entity: str, seed: int) -> DataFrame:
         shuffled = permuted_labels(training, entity, seed + attempt)
         kinds = shuffled.groupBy("split").agg(F.count_distinct("label").alias("kinds"))
         if kinds.agg(F.min("kinds").alias("least")).first()["least"] >= 2:  # three rows
-            break
-    return shuffled
+            return shuffled
+    raise RelationalError(f"{ATTEMPTS} deals left a split with one class of labels only")
 
 
 def shuffled_label_canary(

@@ -68,7 +68,7 @@ def train(
     """
     chosen = checked_parameters(parameters)
     if not features:
-        raise LeakageError("At least one feature is required.")
+        raise LeakageError("Name one feature or more.")
     if target in features:
         raise LeakageError(f"'{target}' is the value being predicted; it cannot also be a feature.")
     missing = [f for f in features if f not in df.columns]

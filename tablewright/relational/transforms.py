@@ -24,16 +24,9 @@ def decode_stamp(code: Column) -> Column:
 
 def decode_birth(code: Column) -> tuple[Column, Column]:
     """(birth date, gender): women carry 50 on top of the month."""
-    digits = _six_digits(code)
-    month = F.substring(digits, 3, 2).cast("int")
-    woman = month > 50
-    plain = F.concat(
-        F.lit("19"),
-        F.substring(digits, 1, 2),
-        F.lpad(F.when(woman, month - 50).otherwise(month).cast("string"), 2, "0"),
-        F.substring(digits, 5, 2),
-    )
-    return F.to_date(plain, "yyyyMMdd"), F.when(woman, "female").otherwise("male")
+    number = F.trim(code.cast("string")).try_cast("int")
+    shifted = F.pmod(number, F.lit(10_000)) > 5_099  # month and day as one number
+    return decode_date(F.when(shifted, number - 5_000).otherwise(number)), F.when(shifted, "female").otherwise("male")
 
 
 def number_or_missing(value: Column) -> Column:
@@ -43,10 +36,9 @@ def number_or_missing(value: Column) -> Column:
 
 def pair_id(bank: Column, account: Column) -> Column:
     """``bank|account``, or null when no bank is named and the account is empty or 0."""
-    bank = F.trim(F.coalesce(bank.cast("string"), F.lit("")))
-    account = F.regexp_replace(F.trim(F.coalesce(account.cast("string"), F.lit(""))), r"\.0$", "")
-    real = (bank != "") | ~account.isin("", "0")
-    return F.when(real, F.concat(bank, F.lit("|"), account))
+    sides = [F.trim(F.coalesce(side.cast("string"), F.lit(""))) for side in (bank, account)]
+    pair = F.regexp_replace(F.concat(sides[0], F.lit("|"), sides[1]), r"\.0$", "")
+    return F.when(~pair.isin("|", "|0"), pair)
 
 
 def derived_entities(facts: Sequence[DataFrame], id_column: str, attribute: str) -> DataFrame:

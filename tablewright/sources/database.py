@@ -19,28 +19,47 @@ FETCH_CAP = 200
 # constraint, type, position, column, referenced table, referenced column.
 KEY_QUERIES = {
     "postgresql": (
-        "SELECT k.table_name, k.constraint_name, c.constraint_type, k.ordinal_position AS seq, "
-        "k.column_name, p.table_name AS ref_table, p.column_name AS ref_column "
-        "FROM information_schema.table_constraints c "
-        "JOIN information_schema.key_column_usage k ON k.constraint_name = c.constraint_name "
-        "AND k.constraint_schema = c.constraint_schema "
-        "LEFT JOIN information_schema.referential_constraints r ON r.constraint_name = c.constraint_name "
-        "AND r.constraint_schema = c.constraint_schema "
-        "LEFT JOIN information_schema.key_column_usage p ON p.constraint_name = r.unique_constraint_name "
-        "AND p.constraint_schema = r.unique_constraint_schema "
-        "AND p.ordinal_position = k.position_in_unique_constraint "
-        "WHERE c.constraint_type IN ('PRIMARY KEY', 'FOREIGN KEY')"
+        "SELECT own.relname AS table_name, c.conname AS constraint_name, "
+        "CASE c.contype WHEN 'p' THEN 'PRIMARY KEY' ELSE 'FOREIGN KEY' END AS constraint_type, k.seq, "
+        "own_column.attname AS column_name, ref.relname AS ref_table, ref_column.attname AS ref_column "
+        "FROM pg_constraint c JOIN pg_class own ON own.oid = c.conrelid "
+        "CROSS JOIN LATERAL unnest(c.conkey, c.confkey) WITH ORDINALITY AS k(own_no, ref_no, seq) "
+        "JOIN pg_attribute own_column ON own_column.attrelid = own.oid AND own_column.attnum = k.own_no "
+        "LEFT JOIN pg_class ref ON ref.oid = c.confrelid "
+        "LEFT JOIN pg_attribute ref_column ON ref_column.attrelid = ref.oid AND ref_column.attnum = k.ref_no "
+        "WHERE c.contype IN ('p', 'f')"
     ),
+    # object ids, not names: the same constraint name in two schemas stays apart
     "sqlserver": (
-        "SELECT k.TABLE_NAME AS table_name, k.CONSTRAINT_NAME AS constraint_name, "
-        "c.CONSTRAINT_TYPE AS constraint_type, k.ORDINAL_POSITION AS seq, k.COLUMN_NAME AS column_name, "
-        "p.TABLE_NAME AS ref_table, p.COLUMN_NAME AS ref_column "
-        "FROM INFORMATION_SCHEMA.TABLE_CONSTRAINTS c "
-        "JOIN INFORMATION_SCHEMA.KEY_COLUMN_USAGE k ON k.CONSTRAINT_NAME = c.CONSTRAINT_NAME "
-        "LEFT JOIN INFORMATION_SCHEMA.REFERENTIAL_CONSTRAINTS r ON r.CONSTRAINT_NAME = c.CONSTRAINT_NAME "
-        "LEFT JOIN INFORMATION_SCHEMA.KEY_COLUMN_USAGE p ON p.CONSTRAINT_NAME = r.UNIQUE_CONSTRAINT_NAME "
-        "AND p.ORDINAL_POSITION = k.ORDINAL_POSITION "
-        "WHERE c.CONSTRAINT_TYPE IN ('PRIMARY KEY', 'FOREIGN KEY')"
+        "SELECT OBJECT_NAME(pk.parent_object_id) AS table_name, pk.name AS constraint_name, 'PRIMARY KEY' AS constraint_type, "
+        "part.key_ordinal AS seq, COL_NAME(part.object_id, part.column_id) AS column_name, NULL AS ref_table, NULL AS ref_column "
+        "FROM sys.key_constraints pk "
+        "JOIN sys.index_columns part ON part.object_id = pk.parent_object_id AND part.index_id = pk.unique_index_id "
+        "WHERE pk.type = 'PK' AND part.key_ordinal > 0 "
+        "UNION ALL "
+        "SELECT OBJECT_NAME(fk.parent_object_id), OBJECT_NAME(fk.constraint_object_id), 'FOREIGN KEY', fk.constraint_column_id, "
+        "COL_NAME(fk.parent_object_id, fk.parent_column_id), OBJECT_NAME(fk.referenced_object_id), "
+        "COL_NAME(fk.referenced_object_id, fk.referenced_column_id) "
+        "FROM sys.foreign_key_columns fk"
+    ),
+    "db2": (
+        "SELECT c.TABNAME AS table_name, c.CONSTNAME AS constraint_name, "
+        "DECODE(c.TYPE, 'P', 'PRIMARY KEY', 'FOREIGN KEY') AS constraint_type, own.COLSEQ AS seq, own.COLNAME AS column_name, "
+        "r.REFTABNAME AS ref_table, ref.COLNAME AS ref_column "
+        "FROM SYSCAT.TABCONST c "
+        "JOIN SYSCAT.KEYCOLUSE own ON own.TABSCHEMA = c.TABSCHEMA AND own.TABNAME = c.TABNAME AND own.CONSTNAME = c.CONSTNAME "
+        "LEFT JOIN SYSCAT.REFERENCES r ON r.TABSCHEMA = c.TABSCHEMA AND r.TABNAME = c.TABNAME AND r.CONSTNAME = c.CONSTNAME "
+        "LEFT JOIN SYSCAT.KEYCOLUSE ref ON ref.TABSCHEMA = r.REFTABSCHEMA AND ref.TABNAME = r.REFTABNAME "
+        "AND ref.CONSTNAME = r.REFKEYNAME AND ref.COLSEQ = own.COLSEQ "
+        "WHERE c.TYPE IN ('P', 'F')"
+    ),
+    "sqlite": (
+        "SELECT m.name AS table_name, 'key' AS constraint_name, 'PRIMARY KEY' AS constraint_type, i.pk AS seq, i.name AS column_name, "
+        "NULL AS ref_table, NULL AS ref_column "
+        "FROM sqlite_master m JOIN pragma_table_info(m.name) i WHERE m.type = 'table' AND i.pk > 0 "
+        "UNION ALL "
+        "SELECT m.name, 'link ' || f.id, 'FOREIGN KEY', f.seq + 1, f.\"from\", f.\"table\", f.\"to\" "
+        "FROM sqlite_master m JOIN pragma_foreign_key_list(m.name) f WHERE m.type = 'table'"
     ),
 }
 
