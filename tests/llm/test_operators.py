@@ -132,7 +132,9 @@ def test_quality_counts_and_verdicts(spark, docs, none):
         quality.document_counts(docs.withColumn("n_words", F.lit(1)))
 
 
-def test_line_dedup_against_all_pairs(spark, docs, none):
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_line_dedup_against_all_pairs(spark, docs, none, monkeypatch, few):
+    monkeypatch.setattr(line_dedup, "FEW_LINES", few)
     base = prose(9, 200)
     lines = [" ".join(base.split()[i : i + 12]) for i in range(0, 180, 3)]
     near = [x + " a b" for x in lines[:5]]
