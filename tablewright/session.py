@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +49,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Paths that ``materialise`` wrote inside the innermost ``settle``.
+_on_the_way: ContextVar[list[str] | None] = ContextVar("on_the_way", default=None)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet and read it back.
 
@@ -54,5 +60,33 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     unlike a checkpoint lets later readers prune columns.
     """
     path = scratch_path(df.sparkSession, label)
+    on_the_way = _on_the_way.get()
+    if on_the_way is not None:
+        on_the_way.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settle(spark: SparkSession, build: Callable[[], DataFrame], label: str) -> DataFrame:
+    """``materialise`` what ``build`` returns, then delete the tables it materialised on the way.
+
+    Only the result may be used afterwards: frames that ``build`` keeps elsewhere lose their files.
+    If a step fails, the tables on the way are deleted as well.
+    """
+    paths: list[str] = []
+    token = _on_the_way.set(paths)
+    try:
+        try:
+            built = build()
+        finally:
+            _on_the_way.reset(token)
+        return materialise(built, label)
+    finally:
+        for path in paths:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system holds it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import os
 
 import pytest
 from conftest import rows
 
+from tablewright import session
 from tablewright import types as t
 from tablewright.sources import database, delimited, json_records, store
 from tablewright.sources.delimited import plan_read, read_delimited
@@ -161,3 +163,31 @@ def test_database_options_and_pushed_sql(spark):
         ("id", "integer", 3, 0, 2, 1.0, 2.0),
         ("name", "text", 3, 1, 1, None, None),
     ]
+
+
+def test_settle_deletes_what_was_written_on_the_way(spark):
+    """The result and tables of an outer step stay, inner ones go, also if the step fails."""
+    before = session.materialise(spark.range(5), "before")
+    on_the_way = []
+
+    def inner():
+        on_the_way.append(session.materialise(spark.range(7), "inner"))
+        return on_the_way[0].filter("id > 1")
+
+    def outer():
+        found = session.settle(spark, inner, "found")
+        on_the_way.append(found)
+        return found.join(before, "id")
+
+    got = session.settle(spark, outer, "got")
+    assert sorted(r["id"] for r in got.collect()) == [2, 3, 4]
+    assert before.count() == 5
+
+    def broken():
+        on_the_way.append(session.materialise(spark.range(3), "broken"))
+        raise ValueError("stopped")
+
+    with pytest.raises(ValueError):
+        session.settle(spark, broken, "never")
+    for gone in on_the_way:
+        assert not os.path.exists(gone.inputFiles()[0].removeprefix("file://"))
