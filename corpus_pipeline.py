@@ -34,7 +34,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays; wordless documents link with nothing."""
-    found = materialise(jaccard_join.jaccard_components(docs), "near-duplicates")
+    found = jaccard_join.jaccard_components(docs)
     stays = found.filter("doc_id <=> component_id OR n_shingles = 0").select(F.col("doc_id").alias("_id"))
     repeated = stays.groupBy("_id").agg(F.count("*").alias("rows")).filter("rows > 1").limit(1).collect()
     if repeated:  # rows that repeat an id are one document

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.components import components
 from tablewright.llm.text import Numbers, lower_words, raw_texts, slices
-from tablewright.session import materialise
+from tablewright.session import materialise, settle
 
 WORDS = 5
 PERCENT = 75
@@ -251,15 +251,20 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     link with nothing.  Rows that repeat an id are documents of their own; null ids are
     larger than any other (a component of null ids alone has a null id).
     """
+    return settle(docs.sparkSession, lambda: _components_of_documents(docs, id_column, text), "jaccard-components")
+
+
+def _components_of_documents(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
     index = materialise(_index_rows(docs, id_column, text, buckets), "shingles")
     every = index.filter("bucket IS NULL").select("id", "row", "n", "sent", "sig")
     equal = materialise(every.filter("n > 0").groupBy("sig").agg(F.min("row").alias("row")), "equal-sets")
     one = every.join(equal, ["sig", "row"]).select("id", "row", "n", "sent", "sig")  # a row for each distinct set
-    groups = _groups(index, one)
-    links = _verified(docs, one, groups, id_column, text)
-    joined = components(links)
+    groups = settle(spark, lambda: _groups(index, one), "group-labels")
+    links = settle(spark, lambda: _verified(docs, one, groups, id_column, text), "all-links")
+    joined = settle(spark, lambda: components(links), "link-labels")
     named = (
         every.join(equal.withColumnRenamed("row", "node"), "sig", "left")
         .join(joined, "node", "left")
