@@ -60,12 +60,8 @@ def train(
     features: Sequence[str],
     row_key: Sequence[str],
     parameters: Mapping[str, float] | None = None,
-    trees: int | None = None,
 ) -> Regression:
-    """Fit both models on the same rows; the holdout never reaches ``fit``.
-
-    ``trees`` overrides the tree count below the parameter range for quick runs.
-    """
+    """Fit both models on the same rows; the holdout never reaches ``fit``."""
     chosen = checked_parameters(parameters)
     if not features:
         raise LeakageError("Name one feature or more.")
@@ -92,7 +88,7 @@ def train(
     boosted = GBTRegressor(
         labelCol="actual",
         seed=int(chosen["seed"]),
-        maxIter=int(trees or chosen["n_estimators"]),
+        maxIter=int(chosen["n_estimators"]),
         stepSize=float(chosen["learning_rate"]),
         maxDepth=5,
     ).fit(learn)

@@ -176,7 +176,7 @@ def _shown(df: DataFrame, keys: list[str], prefix: str, columns: tuple[str, ...]
         for c in columns:
             out.append(F.round(f"{prefix}_{w}d_sum_{c}", 2).alias(f"sum_{c}_{w}"))
             out.append(F.round(f"{prefix}_{w}d_avg_{c}", 8).alias(f"avg_{c}_{w}"))
-    return df.select(*out).filter("n_365 > 0")
+    return df.select(*out)
 
 
 def _window_sql(base: str, keys: str, joins: str, time: str, columns: tuple[str, ...]) -> str:
@@ -190,10 +190,12 @@ def _window_sql(base: str, keys: str, joins: str, time: str, columns: tuple[str,
             parts.append(
                 f"round(CAST(sum(CAST({c} AS DECIMAL(18, 4))) {inside} AS DOUBLE) / count({c}) {inside}, 8) AS avg_{c}_{w}"
             )
-    return (
+    found = (
         f"SELECT {keys}, {', '.join(parts)} FROM {base} b {joins} "
         f"WHERE {time} <= as_of AND {time} > as_of - INTERVAL 365 DAY GROUP BY {keys}"
     )
+    # rows without any event stay, with gaps
+    return f"SELECT * FROM (SELECT {keys} FROM {base} b) LEFT JOIN ({found}) USING ({keys.replace('b.', '')})"
 
 
 @suite.query(

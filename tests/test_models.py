@@ -82,7 +82,7 @@ def fitted(spark):
         y = 3 * x + {"a": 0, "b": 10, "c": 20}[kind] + rng.gauss(0, 0.5)
         data.append((i, x if i % 20 else None, kind, rng.random(), str(y) if i != 7 else "n/a"))
     df = spark.createDataFrame(data, "id int, x double, kind string, noise double, y string")
-    return regression.train(df, "y", ["x", "kind", "noise"], ["id"], trees=15)
+    return regression.train(df, "y", ["x", "kind", "noise"], ["id"], {"n_estimators": 50})
 
 
 def test_both_models_score(fitted):
