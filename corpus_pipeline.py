@@ -25,11 +25,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later matching lines go; a document goes with them if no line long enough to be compared is left of it."""
+    """Later matching lines go; a document goes with them only if no word is left of it."""
     done = line_dedup.line_dedup(docs)
-    least = line_dedup.LEAST_WORDS
-    left = F.expr(f"exists(split(text, '\\n'), l -> size(array_distinct(filter(split(l, ' '), w -> w <> ''))) >= {least})")
-    return _renewed(done.filter((F.col("n_removed") == 0) | left), docs)
+    return _renewed(done.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")), docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -265,3 +265,12 @@ def test_pipeline_stages_keep_columns_and_pack_what_is_left(spark, tmp_path):
     rows = corpus_pipeline.run(spark, sf).collect()
     assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows} == want
     assert hashlib.sha256(b"").hexdigest() == decontaminate.joined_digest([])
+
+
+def test_pipeline_keeps_what_line_dedup_leaves_of_a_document(spark):
+    shared = " ".join(WORDS[:12])
+    made = [(1, shared), (2, shared + "\nA short\nverse"), (3, shared + "\nohneleerzeichen"), (4, "tab\tbed"), (5, shared + "\n \t"), (6, "")]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in made], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.line_stage(spark, docs, "").collect()}
+    want = {1: shared, 2: "A short\nverse", 3: "ohneleerzeichen", 4: "tab\tbed", 6: ""}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
