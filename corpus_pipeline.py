@@ -26,18 +26,20 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later matching lines go; a document goes with them only if no word is left of it."""
-    done = line_dedup.line_dedup(docs)
+    done = line_dedup.line_dedup(_row_keyed(docs), "_key")
     return _renewed(done.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")), docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; wordless documents link with nothing."""
-    found = jaccard_join.jaccard_components(docs)
-    stays = found.filter("doc_id <=> component_id OR n_shingles = 0").select(F.col("doc_id").alias("_id"))
-    repeated = stays.groupBy("_id").agg(F.count("*").alias("rows")).filter("rows > 1").limit(1).collect()
-    if repeated:  # rows that repeat an id are one document
-        docs = docs.dropDuplicates(["doc_id"])
-    return docs.join(stays.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """Of each group of linked documents the one with the smallest row key stays; wordless documents link with nothing."""
+    keyed = _row_keyed(docs)
+    found = jaccard_join.jaccard_components(keyed, "_key")
+    stays = found.filter("_key <=> component_id OR n_shingles = 0").selectExpr("_key AS _stays", "n_shingles > 0 AS _wordy")
+    repeated = stays.filter("_wordy").groupBy("_stays").agg(F.count("*").alias("rows")).filter("rows > 1").limit(1).collect()
+    kept = keyed.join(stays.distinct(), F.col("_key") == F.col("_stays"))
+    if repeated:  # rows of one key are copies of each other, id and text alike
+        kept = kept.filter("NOT _wordy").unionByName(kept.filter("_wordy").dropDuplicates(["_key"]))
+    return kept.select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +53,12 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity=1024)
 
 
+def _row_keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_key``, which tells rows apart that share an id or have none: the id (none comes last) and two hashes of the text."""
+    hashes = F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")
+    return docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), *hashes))
+
+
 def _renewed(done: DataFrame, docs: DataFrame) -> DataFrame:
     sized = done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else done
     return sized.select(*docs.columns)

@@ -274,3 +274,17 @@ def test_pipeline_keeps_what_line_dedup_leaves_of_a_document(spark):
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.line_stage(spark, docs, "").collect()}
     want = {1: shared, 2: "A short\nverse", 3: "ohneleerzeichen", 4: "tab\tbed", 6: ""}
     assert got == {i: (t, len(t)) for i, t in want.items()}
+
+
+def test_pipeline_tells_rows_apart_that_share_an_id_or_have_none(spark):
+    a, b, c, d, e = (" ".join(w + x for w in WORDS) for x in "abcde")
+    made = [(None, a), (None, b), (None, c), (7, d), (7, e), (8, d), (9, a + " end"), (7, e), (None, " "), (None, " ")]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in made], "doc_id long, text string, n_chars long")
+    near = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    want = [(None, b), (None, c), (7, d), (7, e), (9, a + " end"), (None, " "), (None, " ")]
+    assert near.columns == docs.columns
+    assert sorted(map(key, ((r["doc_id"], r["text"]) for r in near.collect()))) == sorted(map(key, want))
+    lines = [(i, t) for i, t in made if t != " "][:-1]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in lines], "doc_id long, text string, n_chars long")
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.line_stage(spark, docs, "").collect()]
+    assert sorted(map(key, left)) == sorted(map(key, [(None, b), (None, c), (7, d), (7, e), (9, a + " end")]))
