@@ -26,7 +26,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later matching lines go; a document goes with them only if no word is left of it."""
-    done = line_dedup.line_dedup(_row_keyed(docs), "_key")
+    done = line_dedup.line_dedup(_row_keyed(docs), "_key", every=True)
     return _renewed(done.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")), docs)
 
 

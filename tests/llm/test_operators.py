@@ -288,3 +288,33 @@ def test_pipeline_tells_rows_apart_that_share_an_id_or_have_none(spark):
     docs = spark.createDataFrame([(i, t, len(t)) for i, t in lines], "doc_id long, text string, n_chars long")
     left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.line_stage(spark, docs, "").collect()]
     assert sorted(map(key, left)) == sorted(map(key, [(None, b), (None, c), (7, d), (7, e), (9, a + " end")]))
+
+
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_every_line_with_a_word_is_compared(spark, monkeypatch, few):
+    monkeypatch.setattr(line_dedup, "FEW_LINES", few)
+    r = np.random.default_rng(31)
+    spaces = [" ", "\t", "  ", "\v", " \f", "\r"]
+    lines = ["Home", "all rights reserved", "ohneleerzeichen", " \t", "", *("".join(w + r.choice(spaces) for w in r.choice(WORDS, n, replace=False)) for n in r.integers(1, 16, 40))]
+    made = [(d, "\n".join(r.choice(lines, 12))) for d in range(12)]
+    made += [(20, "\t".join(WORDS[:18])), (21, " ".join(WORDS[1:18])), (22, "\t".join(WORDS[:16]))]
+    frame = spark.createDataFrame(made, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(frame, every=True).collect()}
+    seen, want = [], {}
+    for d, text in made:
+        kept = []
+        for line in text.split("\n"):
+            s = set(line.split())
+            if not s or not any(100 * len(s & o) >= line_dedup.PERCENT * len(s | o) for o in seen):
+                kept.append(line)
+            if s:
+                seen.append(s)
+        want[d] = "\n".join(kept)
+    assert got == want
+
+
+def test_pipeline_takes_out_short_repeated_lines(spark):
+    made = [(1, "Home\none"), (2, "two\nHome"), (None, "Home\nthree\tfour"), (None, "six\nHome")]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in made], "doc_id long, text string, n_chars long")
+    left = sorted(r["text"] for r in corpus_pipeline.line_stage(spark, docs, "").collect())
+    assert left == ["Home\none", "six", "three\tfour", "two"]
