@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 
 from tablewright.llm import (
     chat,
+    compression_quality,
     decontaminate,
+    fill_in_middle,
     jaccard_join,
     language_id,
     line_dedup,
     lm_scoring,
     packing,
     quality,
+    source_divergence,
     token_counts,
     warc,
 )
@@ -256,3 +259,76 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
     )
+
+
+@suite.query("op11_compression_quality")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(crc_remainder("doc_id", 4) == 2, F.lit(False))
+    model = compression_quality.train_model(docs, labels, train=~held_out)
+    scored = compression_quality.score_texts(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_bytes", "good_bytes", "bad_bytes")
+
+
+@suite.query("op12_fill_in_middle", sql="""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+         sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), drawn AS (
+  SELECT doc_id, text, u, len(u)::BIGINT AS n,
+         ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS x, ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS y,
+         ('0x' || substr(h, 17, 8))::BIGINT % 100 AS plain_draw, ('0x' || substr(h, 25, 8))::BIGINT % 100 AS spm_draw FROM units
+), cuts AS (
+  SELECT doc_id, text, n,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR plain_draw >= 90 THEN 'plain'
+              WHEN spm_draw < 20 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(u[1:least(x, y)], '') AS prefix, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS middle,
+         array_to_string(u[greatest(x, y) + 1:], '') AS suffix FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM cuts
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = fill_in_middle.restore(fill_in_middle.transform(docs))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+@suite.query("op13_source_divergence", sql="""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), terms AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*)::HUGEINT AS m FROM terms GROUP BY ALL HAVING count(DISTINCT id) >= 3
+), languages AS (SELECT lang, count(*) AS v, sum(m) AS total FROM kept GROUP BY lang
+), seen AS (
+  SELECT lang, source, term, count(*)::HUGEINT AS n FROM terms JOIN kept USING (lang, term) GROUP BY ALL
+), groups AS (
+  SELECT lang, source, coalesce(total, 0)::HUGEINT AS total
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM seen GROUP BY ALL) USING (lang, source)
+), chances AS (
+  SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + (1000000000 * (coalesce(n, 0) + 1)) // (g.total + v) AS p,
+         1 + (1000000000 * (m + 1)) // (l.total + v) AS q
+  FROM groups g JOIN languages l USING (lang) JOIN kept k USING (lang)
+  LEFT JOIN seen s ON s.lang = g.lang AND s.source = g.source AND s.term = k.term
+), pair AS (
+  SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS value
+  FROM chances x JOIN chances y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+), parts AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0) AS value
+  FROM groups x JOIN groups y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN pair r ON r.lang = x.lang AND r.source = x.source AND r.item = y.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM chances WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= 200
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +57,21 @@ def blocks_for(docs: DataFrame, text: str, block_bytes: int) -> int:
     """How many blocks of about ``block_bytes`` of text hold ``docs``; at least one."""
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     return max(1, -(-total // block_bytes))
+
+
+def without(docs: DataFrame, made: list[str]) -> DataFrame:
+    """``docs`` without the columns that a result is about to be named like (names differ by more than case)."""
+    taken = {name.lower() for name in made}
+    return docs.drop(*[c for c in docs.columns if c.lower() in taken])
+
+
+def byte_slices(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices whose texts in ``column`` add up to about ``size`` bytes; one longer text is a slice of its own."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths, dtype=np.int64)
+        start, before = 0, 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
+            yield batch.slice(start, end - start)
+            start, before = end, int(ends[end - 1])
