@@ -3,7 +3,8 @@
 Whitespace chunks are counted per document inside the tasks; only (language, source, chunk) totals are shuffled.  Every
 distinct chunk is then cut into terms once, and the terms are joined back to the totals.  A term is kept by the number of
 distinct documents that hold it, over all its chunks: a row of totals with fewer than three documents carries them
-all (its first and its last), and one with three or more needs no list.  Divergences between all sources of a
+all (its first and its last), and one with three or more needs no list.  Hashed marks of the listed documents prove
+most terms; where they fall short of three, the listed documents themselves are counted.  Divergences between all sources of a
 language are sums over blocks of terms and pairs of source tiles, so neither a source nor a frequent term is one task.
 """
 
@@ -70,7 +71,9 @@ def _chunk_totals(batches: Iterator[pa.RecordBatch], slice_bytes: int = SLICE_BY
 
 
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """(lang, source, term, n) for every term that at least three documents of its language hold.
+    """(lang, source, term, n, m, lead) for every term that at least three documents of its language hold.
+
+    ``m`` counts the term in its language, and ``lead`` marks one row of each.
 
     A document is a row: repeated rows and ids count each, and no id is needed.  Null text, language and source are empty strings.  Whole
     texts count.  Other columns are not read.  No rows give no rows.
@@ -84,15 +87,30 @@ def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     totals = materialise(totals, "chunk-totals")
     cut = totals.select("chunk").distinct().select("chunk", F.explode(F.regexp_extract_all("chunk", F.lit(TERM), F.lit(1))).alias("term"))
     found = materialise(totals.join(cut, "chunk").drop("chunk"), "chunk-terms")
-    few = F.when(F.col("n_docs") < LEAST_DOCUMENTS, F.array_distinct(F.array("first_doc", "last_doc"))).otherwise(F.array(F.lit(None).cast("long")))
-    kept = (
-        found.select("lang", "term", "n_docs", F.explode(few).alias("doc"))
-        .groupBy("lang", "term")
-        .agg(F.max("n_docs").alias("most"), F.count_distinct("doc").alias("listed"))
-        .filter((F.col("most") >= LEAST_DOCUMENTS) | (F.col("listed") >= LEAST_DOCUMENTS))
-        .select("lang", "term")
-    )
-    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")).join(kept, ["lang", "term"])
+    bit = "shiftleft(1L, CAST(pmod(xxhash64({}), 64) AS INT))".format  # two bits never show more documents than there are
+    marks = F.expr(f"CASE WHEN n_docs < {LEAST_DOCUMENTS} THEN {bit('first_doc')} | {bit('last_doc')} ELSE 0L END")
+    listed = F.expr(f"CASE WHEN n_docs < {LEAST_DOCUMENTS} AND first_doc = last_doc THEN 1L WHEN n_docs < {LEAST_DOCUMENTS} THEN 2L ELSE n_docs END")
+    within = W.partitionBy("lang", "term")
+    seen = (
+        found.withColumn("marks", marks).withColumn("listed", listed)
+        .groupBy("lang", "source", "term")
+        .agg(F.sum("n").alias("n"), F.max("n_docs").alias("most"), F.bit_or("marks").alias("marks"), F.sum("listed").alias("listed"))
+        .withColumn("m", F.sum("n").over(within))
+        .withColumn("sure", (F.max("most").over(within) >= LEAST_DOCUMENTS) | (F.bit_count(F.bit_or("marks").over(within)) >= LEAST_DOCUMENTS))
+        .withColumn("listed", F.sum("listed").over(within))
+        .withColumn("lead", F.col("source") == F.min("source").over(within))
+        .filter(F.col("sure") | (F.col("listed") >= LEAST_DOCUMENTS))
+        .select("lang", "source", "term", "n", "m", "lead", "sure")
+    )
+    seen = materialise(seen, "term-counts")
+    unsure = seen.filter("NOT sure").select("lang", "term").distinct()
+    proven = (
+        found.filter(F.col("n_docs") < LEAST_DOCUMENTS).join(unsure, ["lang", "term"])
+        .select("lang", "term", F.explode(F.array("first_doc", "last_doc")).alias("doc"))
+        .groupBy("lang", "term").agg(F.count_distinct("doc").alias("docs")).filter(F.col("docs") >= LEAST_DOCUMENTS)
+    )
+    proven = materialise(proven.select("lang", "term"), "proven-terms")
+    return seen.filter("sure").unionByName(seen.filter("NOT sure").join(proven, ["lang", "term"], "left_semi")).drop("sure")
 
 
 def chance(count: str, total: str, terms: str) -> str:
@@ -149,12 +167,12 @@ def audit(
     terms has pairs of value 0.  ``tile`` sources and ``block_terms`` terms meet in one task.  Ties rank by item.  See ``term_counts`` for nulls, repeats, long texts, empty
     tables and other columns.  Whole numbers throughout.
     """
-    counts = materialise(term_counts(docs, text, lang, source), "term-counts")
+    counts = term_counts(docs, text, lang, source)
     group = docs.select(*(F.coalesce(docs[c].cast("string"), F.lit("")).alias(to) for c, to in ((lang, "lang"), (source, "source")))).distinct()
-    sizes = counts.groupBy("lang", "term").agg(F.sum("n").alias("m"))
-    languages = sizes.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("m").alias("lang_total"))
+    totals = counts.groupBy(*GROUP).agg(F.sum("n").alias("total"))
+    languages = counts.groupBy("lang").agg(F.count_if("lead").alias("terms"), F.sum("n").alias("lang_total"))
     groups = (
-        group.join(counts.groupBy(*GROUP).agg(F.sum("n").alias("total")), GROUP, "left")
+        group.join(totals, GROUP, "left")
         .join(languages, "lang", "left")
         .fillna(0, ["total", "terms", "lang_total"])
         .withColumn("at", F.row_number().over(W.partitionBy("lang").orderBy("source")).cast("long") - 1)
@@ -163,7 +181,7 @@ def audit(
     by_value = W.partitionBy(*GROUP).orderBy(F.desc("value"), "item")
     p, q = F.expr(chance("n", "total", "terms")), F.expr(chance("m", "lang_total", "terms"))
     term = (
-        counts.join(sizes, ["lang", "term"]).join(groups, GROUP)
+        counts.join(groups, GROUP)
         .select(*GROUP, F.col("term").alias("item"), p.alias("p"), q.alias("q"))
         .filter("p > q").select(*GROUP, "item", F.expr("(p - q) * (p - q) div q").alias("value"))
         .withColumn("rank", F.row_number().over(by_value)).filter(F.col("rank") <= ranks)
