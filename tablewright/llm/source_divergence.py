@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tablewright.llm.text import byte_slices
-from tablewright.session import materialise
+from tablewright.session import materialise, settle
 
 #: A run of ASCII letters and characters beyond ASCII.
 TERM = r"([^\x00-\x40\x5B-\x60\x7B-\x7F]+)"
@@ -79,14 +79,18 @@ def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     texts count.  Other columns are not read.  No rows give no rows.
     """
     plain = docs.select(*(F.coalesce(docs[c].cast("string"), F.lit("")).alias(to) for c, to in ((lang, "lang"), (source, "source"), (text, "text"))))
-    totals = (
-        plain.mapInArrow(lambda batches: _chunk_totals(batches, slice_bytes), CHUNKS)
-        .groupBy("lang", "source", "chunk")
-        .agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"), F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"))
-    )
-    totals = materialise(totals, "chunk-totals")
-    cut = totals.select("chunk").distinct().select("chunk", F.explode(F.regexp_extract_all("chunk", F.lit(TERM), F.lit(1))).alias("term"))
-    found = materialise(totals.join(cut, "chunk").drop("chunk"), "chunk-terms")
+
+    def chunks_and_terms() -> DataFrame:
+        totals = (
+            plain.mapInArrow(lambda batches: _chunk_totals(batches, slice_bytes), CHUNKS)
+            .groupBy("lang", "source", "chunk")
+            .agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"), F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"))
+        )
+        totals = materialise(totals, "chunk-totals")
+        cut = totals.select("chunk").distinct().select("chunk", F.explode(F.regexp_extract_all("chunk", F.lit(TERM), F.lit(1))).alias("term"))
+        return totals.join(cut, "chunk").drop("chunk")
+
+    found = settle(docs.sparkSession, chunks_and_terms, "chunk-terms")  # the totals are not needed beside it
     bit = "shiftleft(1L, CAST(pmod(xxhash64({}), 64) AS INT))".format  # two bits never show more documents than there are
     marks = F.expr(f"CASE WHEN n_docs < {LEAST_DOCUMENTS} THEN {bit('first_doc')} | {bit('last_doc')} ELSE 0L END")
     listed = F.expr(f"CASE WHEN n_docs < {LEAST_DOCUMENTS} AND first_doc = last_doc THEN 1L WHEN n_docs < {LEAST_DOCUMENTS} THEN 2L ELSE n_docs END")
@@ -160,13 +164,17 @@ def _tile_sums(rows: pa.Table, tile: int) -> pa.Table:
 def audit(
     docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", ranks: int = 200, tile: int = TILE, block_terms: int = TERMS
 ) -> DataFrame:
-    """(lang, source, part, item, value, rank): how far each source is from the others of its language, and by which terms.
+    """(lang, source, part, item, value, rank), written: how far each source is from the others of its language, and by which terms.
 
     Part ``pair`` has every other source, part ``term`` the source's ``ranks`` terms that stand out most against the
     language.  Every (lang, source) group of ``docs`` takes part, also one without terms; a language without kept
     terms has pairs of value 0.  ``tile`` sources and ``block_terms`` terms meet in one task.  Ties rank by item.  See ``term_counts`` for nulls, repeats, long texts, empty
     tables and other columns.  Whole numbers throughout.
     """
+    return settle(docs.sparkSession, lambda: _audit(docs, text, lang, source, ranks, tile, block_terms), "source-divergence")
+
+
+def _audit(docs: DataFrame, text: str, lang: str, source: str, ranks: int, tile: int, block_terms: int) -> DataFrame:
     counts = term_counts(docs, text, lang, source)
     group = docs.select(*(F.coalesce(docs[c].cast("string"), F.lit("")).alias(to) for c, to in ((lang, "lang"), (source, "source")))).distinct()
     totals = counts.groupBy(*GROUP).agg(F.sum("n").alias("total"))
