@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -303,3 +305,46 @@ def dash_filter_before_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def dash_drill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboards.drill_down(shop(spark, sf_dir, "sales")["sales"], [("status", "F"), ("priority", "5-LOW"), ("unknown", 1)])
+
+
+# ---- Q2: what may run, and over how many rows --------------------------------
+#: (case, text, the SQL that counts its rows, or None where the text must be refused)
+_VERDICTS = (
+    ("plain", "SELECT * FROM q_orders", "SELECT count(*) FROM orders"),
+    ("literal_word", "SELECT 'reflect' AS t FROM q_customer", "SELECT count(*) FROM customer"),
+    ("dotted_name_of_a_cte", "WITH `a.b` AS (SELECT * FROM q_nation) SELECT * FROM `a.b`", "SELECT count(*) FROM nation"),
+    (
+        "nested_sub_query",
+        "SELECT * FROM q_orders WHERE o_custkey IN (WITH x AS (SELECT c_custkey FROM q_customer WHERE c_acctbal > 0) SELECT * FROM x)",
+        "SELECT count(*) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)",
+    ),
+    ("dotted_cte_for_a_path", "WITH `text./etc/passwd` AS (SELECT 1 AS x FROM q_orders) SELECT * FROM text.`/etc/passwd`", None),
+    ("file_path", "SELECT * FROM text.`/etc/passwd`", None),
+    ("computed_name", "SELECT * FROM IDENTIFIER('q_' || 'orders')", None),
+    ("qualified_name", "SELECT * FROM spark_catalog.default.q_orders", None),
+    ("cte_out_of_scope", "SELECT * FROM (WITH x AS (SELECT * FROM q_orders) SELECT * FROM x) JOIN x", None),
+    ("outside_call", "SELECT reflect('java.lang.System', 'getProperty', o_orderstatus) FROM q_orders", None),
+    ("quoted_outside_call", "SELECT `java_method`('java.lang.System', 'getProperty', o_orderstatus) FROM q_orders", None),
+    ("table_function", "SELECT * FROM q_orders, range(3)", None),
+    ("stacked", "SELECT * FROM q_orders; SELECT 1", None),
+    ("write", "INSERT INTO q_orders SELECT * FROM q_orders", None),
+    ("unknown_dataset", "SELECT * FROM q_events", None),
+)
+
+
+@suite.query(
+    "guard_verdicts",
+    " UNION ALL ".join(
+        f"SELECT '{case}' AS case_name, {count is not None} AS allowed, {f'({count})' if count else 'NULL::BIGINT'} AS n_rows"
+        for case, _, count in _VERDICTS
+    ),
+)
+def guard_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that read the given tables and texts that try to read past them; what may run is counted."""
+    space = workspace(spark, sf_dir, "orders", "customer", "nation")
+    answers = []
+    for case, sql, _ in _VERDICTS:
+        refused = bool(space.problems(sql))
+        counted = spark.range(1).select(F.lit(None).cast("long").alias("n_rows")) if refused else space.select(sql).agg(F.count("*").alias("n_rows"))
+        answers.append(counted.select(F.lit(case).alias("case_name"), F.lit(not refused).alias("allowed"), "n_rows"))
+    return reduce(DataFrame.unionByName, answers)
