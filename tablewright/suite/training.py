@@ -295,7 +295,7 @@ def feat_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LAST_SALES = (
     "SELECT * FROM (SELECT g.customer_id, g.as_of, s.sale_id, s.total, row_number() OVER (PARTITION BY g.customer_id, g.as_of "
     "ORDER BY s.sale_date DESC, s.sale_id DESC) AS recency FROM grid g JOIN sales s ON s.customer_id = g.customer_id "
-    "AND s.sale_date <= g.as_of) WHERE recency <= 4"
+    "AND s.sale_date <= g.as_of) WHERE recency <= 16"
 )
 
 
@@ -303,33 +303,40 @@ _LAST_SALES = (
 def neighbors_last_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = frames_of(spark, sf_dir)
     moments = review_grid(frames).withColumnRenamed("customer_id", "key")
-    found = neighbors.last_k(moments, frames["sales"].select("customer_id", "sale_id", "total", "sale_date"), "customer_id", "sale_date", "sale_id", 4)
+    found = neighbors.last_k(moments, frames["sales"].select("customer_id", "sale_id", "total", "sale_date"), "customer_id", "sale_date", "sale_id", rel.hops(SPEC, "customers")[0])
     return found.select("customer_id", "as_of", "sale_id", "total", "recency")
 
 
 @suite.query(
     "graph_mean_features",
-    _BASE + f", one AS ({_LAST_SALES}), two AS (SELECT * FROM (SELECT o.customer_id, o.as_of, l.price, l.quantity, row_number() OVER "
+    _BASE + f", one AS ({_LAST_SALES}), two AS (SELECT * FROM (SELECT o.customer_id, o.as_of, o.sale_id, l.price, l.quantity, row_number() OVER "
     "(PARTITION BY o.customer_id, o.as_of, o.sale_id ORDER BY l.ship_date DESC, l.line_id DESC) AS r FROM one o JOIN line_items l "
-    "ON l.sale_id = o.sale_id AND l.ship_date <= o.as_of) WHERE r <= 3) "
+    "ON l.sale_id = o.sale_id AND l.ship_date <= o.as_of) WHERE r <= 64), "
+    "again AS (SELECT o.customer_id, o.as_of, x.total FROM one o JOIN one x ON x.customer_id = o.customer_id AND x.as_of = o.as_of), "
+    "back AS (SELECT w.customer_id, w.as_of, s.total FROM two w JOIN sales s ON s.sale_id = w.sale_id AND s.sale_date <= w.as_of) "
     "SELECT g.customer_id, g.as_of, coalesce(a.n, 0) AS sales, a.total, coalesce(a.n, 0) AS owners, "
-    "CASE WHEN a.n > 0 THEN c.balance END AS balance, coalesce(b.n, 0) AS lines, b.price, b.quantity FROM (SELECT DISTINCT * FROM grid) g "
-    "JOIN customers c USING (customer_id) "
-    "LEFT JOIN (SELECT customer_id, as_of, count(*) AS n, round(avg(total), 8) AS total FROM one GROUP BY 1, 2) a "
-    "ON a.customer_id = g.customer_id AND a.as_of = g.as_of "
-    "LEFT JOIN (SELECT customer_id, as_of, count(*) AS n, round(avg(price), 8) AS price, round(avg(quantity), 8) AS quantity FROM two GROUP BY 1, 2) b "
-    "ON b.customer_id = g.customer_id AND b.as_of = g.as_of",
+    "CASE WHEN a.n > 0 THEN c.balance END AS balance, coalesce(b.n, 0) AS lines, b.price, b.quantity, "
+    "coalesce(d.n, 0) AS owners_sales, d.total AS owners_total, coalesce(e.n, 0) AS lines_sales, e.total AS lines_total "
+    "FROM (SELECT DISTINCT * FROM grid) g JOIN customers c USING (customer_id) "
+    "LEFT JOIN (SELECT customer_id, as_of, count(*) AS n, round(avg(total), 6) AS total FROM one GROUP BY 1, 2) a USING (customer_id, as_of) "
+    "LEFT JOIN (SELECT customer_id, as_of, count(*) AS n, round(avg(price), 6) AS price, round(avg(quantity), 6) AS quantity FROM two GROUP BY 1, 2) b USING (customer_id, as_of) "
+    "LEFT JOIN (SELECT customer_id, as_of, count(*) AS n, round(avg(total), 6) AS total FROM again GROUP BY 1, 2) d USING (customer_id, as_of) "
+    "LEFT JOIN (SELECT customer_id, as_of, count(*) AS n, round(avg(total), 6) AS total FROM back GROUP BY 1, 2) e USING (customer_id, as_of)",
 )
 def graph_mean_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every walk of the specification's own schedule: 16 sales, 64 rows of each, 16 of each of those."""
     frames = frames_of(spark, sf_dir)
-    df = neighbors.graph_features(SPEC, ADOPTS, frames, review_grid(frames), (4, 3))
-    one, lines, owner = "hop_sales_customer_id", "hop_sales_customer_id_line_items_sale_id", "hop_sales_customer_id_customers_customer_id"
+    df = neighbors.graph_features(SPEC, ADOPTS, frames, review_grid(frames))
+    one = "hop_sales_customer_id"
+    lines, owner = f"{one}_line_items_sale_id", f"{one}_customers_customer_id"
+    again, back = f"{owner}_sales_customer_id", f"{lines}_sales_sale_id"
     return df.select(
         "customer_id", "as_of",
-        F.col(f"{one}_1_rows").alias("sales"), F.round(f"{one}_1_mean_total", 8).alias("total"),
-        F.col(f"{owner}_2_rows").alias("owners"), F.round(f"{owner}_2_mean_balance", 8).alias("balance"),
-        F.col(f"{lines}_2_rows").alias("lines"), F.round(f"{lines}_2_mean_price", 8).alias("price"),
-        F.round(f"{lines}_2_mean_quantity", 8).alias("quantity"),
+        F.col(f"{one}_1_rows").alias("sales"), F.round(f"{one}_1_mean_total", 6).alias("total"),
+        F.col(f"{owner}_2_rows").alias("owners"), F.round(f"{owner}_2_mean_balance", 6).alias("balance"),
+        F.col(f"{lines}_2_rows").alias("lines"), F.round(f"{lines}_2_mean_price", 6).alias("price"), F.round(f"{lines}_2_mean_quantity", 6).alias("quantity"),
+        F.col(f"{again}_3_rows").alias("owners_sales"), F.round(f"{again}_3_mean_total", 6).alias("owners_total"),
+        F.col(f"{back}_3_rows").alias("lines_sales"), F.round(f"{back}_3_mean_total", 6).alias("lines_total"),
     )
 
 

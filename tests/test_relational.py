@@ -314,3 +314,69 @@ def test_the_horizon_counts_from_the_moment_itself(spark):
     events = spark.sql("SELECT 1 AS id, TIMESTAMP '2024-01-11 06:00:00' AS at")
     assert labels.future_event_label(grid, "id", events, "id", "at", 10).first()["label"] == 1
     assert labels.future_event_label(grid, "id", events, "id", "at", 9).first()["label"] == 0
+
+
+def test_walks_are_counted_as_often_as_they_lead_somewhere(spark):
+    """Totals taken inwards equal the walks listed one by one, on a graph with a hub, a loop back and a hidden column."""
+    graph = DatasetSpec(
+        "g",
+        {
+            "people": TableSpec("people", "person_id", {"person_id": "int", "team_id": "int", "age": "float"}, None, (ForeignKey("team_id", "teams", "team_id"),)),
+            "teams": TableSpec("teams", "team_id", {"team_id": "int", "size": "float"}),
+            "notes": TableSpec(
+                "notes", "note_id", {"note_id": "int", "person_id": "int", "length": "float", "secret": "float", "day": "date"}, "day",
+                (ForeignKey("person_id", "people", "person_id"),),
+            ),
+        },
+        "2020-01-01", "2021-01-01",
+    )
+    task = TaskSpec("t", "people", "person_id", "", 30, hidden=frozenset({"notes.secret"}))
+    people = [(i, None if i == 7 else i % 2, None if i == 3 else float("nan") if i == 5 else 20.0 + i) for i in range(12)]
+    teams = [(0, 4.0), (1, 9.0)]
+    notes = [(100 + j, j % 5, j * 1.5, 1.0, dt.date(2019, 1, 1 + j % 20)) for j in range(60)]
+    frames = {
+        "people": spark.createDataFrame(people, "person_id int, team_id int, age double"),
+        "teams": spark.createDataFrame(teams, "team_id int, size double"),
+        "notes": spark.createDataFrame(notes, "note_id int, person_id int, length double, secret double, day date"),
+    }
+    grid = [(i, dt.date(2019, 1, d)) for i in range(12) for d in (1, 9, 25)]
+    fan_out = (3, 4, 2)
+    plain_rows = {
+        "people": [dict(zip(("person_id", "team_id", "age"), r)) for r in people],
+        "teams": [dict(zip(("team_id", "size"), r)) for r in teams],
+        "notes": [dict(zip(("note_id", "person_id", "length", "secret", "day"), r)) for r in notes],
+    }
+
+    def seen(edge, key, as_of, k):
+        table = graph.tables[edge.target]
+        found = [r for r in plain_rows[edge.target] if key is not None and r[edge.target_column] == key]
+        if table.time_column:
+            found = [r for r in found if r["day"] <= as_of]
+        found.sort(key=lambda r: (r.get("day", 0) if table.time_column else 0, r[table.primary_key]), reverse=True)
+        return found[: 1 if edge.target_column == table.primary_key else k]
+
+    want = {}
+    for person, as_of in grid:
+        level = [("people", "hop", plain_rows["people"][person])]
+        for hop, k in enumerate(fan_out, 1):
+            level = [
+                (e.target, f"{name}_{e.label}", r)
+                for table, name, row in level for e in features.edges(graph) if e.source == table
+                for r in seen(e, row[e.source_column], as_of, k)
+            ]
+            for _, name, r in level:
+                for c in ("age", "size", "length"):
+                    if r.get(c) is not None and r[c] == r[c]:
+                        want.setdefault((person, as_of, f"{name}_{hop}_mean_{c}"), []).append(r[c])
+                want.setdefault((person, as_of, f"{name}_{hop}_rows"), []).append(1)
+    df = neighbors.graph_features(graph, task, frames, spark.createDataFrame(grid, "person_id int, as_of date"), fan_out)
+    assert not [c for c in df.columns if "secret" in c] and len([c for c in df.columns if c.endswith("_3_rows")]) == 4
+    got = df.collect()
+    assert len(got) == len(grid)
+    for r in got:
+        for c in df.columns[2:]:
+            values = want.get((r["person_id"], r["as_of"], c), [])
+            if c.endswith("_rows"):
+                assert r[c] == len(values), (c, r)
+            else:
+                assert (r[c] is None) == (not values) and (not values or abs(r[c] - sum(values) / len(values)) < 1e-9), (c, r)
