@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from tablewright import types as t
 from tablewright.functions import casts
 from tablewright.functions.identity import compact_number
-from tablewright.functions.prefix import running_totals
 from tablewright.operators import counts
 from tablewright.session import materialise
 
@@ -86,88 +85,167 @@ def top_values(vc: DataFrame, k: int = TOP_VALUES) -> DataFrame:
 
 
 def quantiles(df: DataFrame, ps: Sequence[float] = QUANTILES) -> DataFrame:
-    """Exact interpolated quantiles of every numeric column of ``df``.
+    """Exact interpolated quantiles of every numeric column of ``df``; NaN ranks last.
 
-    The aggregate ``percentile`` would hold a column's distinct values in one
-    task, and sorting everything moves the whole table.  A sketch first
-    brackets each quantile, an exact count proves that the bracket holds the
-    wanted ranks, and only the rows inside are ranked.  A bracket that does not
-    hold is opened to the whole column, so the sketch never decides a result.
+    Two scans.  The first counts each column and sketches a bracket around each quantile.  The second counts the
+    regions that the brackets cut a column into, exactly, and keeps the distinct values inside brackets only.  The
+    counts tell which region holds a rank; the sketch never decides a result: where a rank falls outside the
+    brackets, that region is read as well.  Inside a region the rank is found by radix selection (``_select``).
     """
     names = [f.name for f in df.schema.fields if t.domain_type(f.dataType) in t.NUMERIC]
     numbers = df.select(*[t.column(n).cast("double").alias(f"v{i}") for i, n in enumerate(names)])
-    brackets = _brackets(numbers, ps)
-    if not brackets:
-        return df.sparkSession.createDataFrame([], "column_name string, quantiles array<double>")
-    # one row per column and quantile travels to the tasks
-    wanted = df.sparkSession.createDataFrame(
-        brackets, "col_no int, q int, lo double, hi double, skipped bigint, first bigint, second bigint, step double"
-    )
-    # values outside every bracket of their column go before anything is stacked
-    cells = ", ".join(f"{i}, {_inside_any(f'v{i}', [b for b in brackets if b[0] == i])}" for i in range(len(names)))
-    inside = (
-        numbers.selectExpr(f"stack({len(names)}, {cells}) AS (col_no, v)")
-        .filter("v IS NOT NULL")
-        .join(F.broadcast(wanted.select("col_no", "q", "lo", "hi")), "col_no")
-        .filter("(lo IS NULL OR v >= lo) AND (hi IS NULL OR v <= hi)")
-        .groupBy("col_no", "q", "v")
-        .agg(F.count("*").alias("n"))
-    )
-    ranked = running_totals(inside, ["col_no", "q"], ["v"], ["n"]).join(F.broadcast(wanted), ["col_no", "q"])
-    picked = ranked.groupBy("col_no", "q", "step").agg(
-        F.expr("max(CASE WHEN skipped + run_n - n <= first AND first < skipped + run_n THEN v END)").alias("below"),
-        F.expr("max(CASE WHEN skipped + run_n - n <= second AND second < skipped + run_n THEN v END)").alias("above"),
-    )
-    value = F.expr("struct(q, IF(below = above, below, below + (above - below) * step) AS v)")
-    listed = picked.groupBy("col_no").agg(F.sort_array(F.collect_list(value)).alias("found"))  # one entry per quantile
-    labels = ", ".join(counts.text_literal(n) for n in names)
-    return listed.selectExpr(f"array({labels})[col_no] AS column_name", "transform(found, x -> x.v) AS quantiles")
+    totals, brackets = _brackets(numbers, ps) if names else ([], [])
+    held, sizes = _regions(numbers, brackets)
+    targets, missed = _targets(totals, sizes, ps)
+    if missed:  # the sketch was off there: a scan for those regions alone
+        for i, region in missed:
+            lo, hi = _edges(brackets[i], region)
+            brackets[i] = sorted([*brackets[i], (lo, hi)], key=lambda b: (b[0] is not None, b[0] or 0.0))
+        held, sizes = _regions(numbers, brackets)
+        targets, missed = _targets(totals, sizes, ps)
+        assert not missed
+    value = _select(held, sizes, targets) if targets else {}
+    rows = []
+    for i, name in enumerate(names):
+        found = []
+        for q, p in enumerate(ps if totals[i] else ()):
+            below, above = value[i, q, 0], value[i, q, 1]
+            at = p * (totals[i] - 1)
+            found.append(below if below == above else below + (above - below) * (at - math.floor(at)))
+        if found:
+            rows.append((name, found))
+    return df.sparkSession.createDataFrame(rows, "column_name string, quantiles array<double>")  # one row per column
 
 
 def _double(x: float) -> str:
     return f"CAST('{x!r}' AS DOUBLE)"
 
 
-def _inside_any(c: str, brackets: Sequence[tuple]) -> str:
-    """The value if some bracket holds it, else null."""
-    if any(lo is None for _, _, lo, *_ in brackets):
-        return c
-    held = [f"{c} BETWEEN {_double(lo)} AND {_double(hi)}" for _, _, lo, hi, *_ in brackets]
-    return f"IF({' OR '.join(held) or 'false'}, {c}, NULL)"
-
+Bracket = tuple[float | None, float | None]  # both ends belong to it; None is open
 
-def _brackets(numbers: DataFrame, ps: Sequence[float]) -> list[tuple]:
-    """(column, quantile, lo, hi, rows below lo, two ranks, step) for each quantile.
 
-    Two aggregates with one row each; only those rows reach the driver.
-    """
-    names = numbers.columns
-    if not names:
-        return []
+def _brackets(numbers: DataFrame, ps: Sequence[float]) -> tuple[list[int], list[list[Bracket]]]:
+    """Per column: its values, and disjoint brackets in order.  One aggregate, one row to the driver."""
     near = [x for p in ps for x in (max(p - BRACKET, 0.0), min(p + BRACKET, 1.0))]
-    sketched = numbers.agg(
-        *[F.percentile_approx(F.nullif(F.col(c), F.lit(float("nan"))), near, SKETCH).alias(c) for c in names]
-    ).first()
-    exact = []
-    for c in names:
-        exact.append(f"count({c}) AS {c}_n")
-        for q in range(len(ps) if sketched[c] else 0):
-            lo, hi = (_double(x) for x in sketched[c][2 * q : 2 * q + 2])
-            exact += [f"count_if({c} < {lo}) AS {c}_{q}_lt", f"count_if({c} <= {hi}) AS {c}_{q}_le"]
-    counted = numbers.selectExpr(*exact).first()
+    sketch = [F.percentile_approx(F.nullif(F.col(c), F.lit(float("nan"))), near, SKETCH).alias(c) for c in numbers.columns]
+    row = numbers.agg(*sketch, *[F.count(c).alias(f"{c}_n") for c in numbers.columns]).first()
     out = []
-    for i, c in enumerate(names):
-        total = counted[f"{c}_n"]
+    for c in numbers.columns:
+        ends, merged = row[c] or [], []
+        for lo, hi in sorted(zip(ends[::2], ends[1::2])):
+            if merged and lo <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(hi, merged[-1][1]))
+            else:
+                merged.append((lo, hi))
+        out.append(merged)
+    return [row[f"{c}_n"] for c in numbers.columns], out
+
+
+def _edges(brackets: Sequence[Bracket], region: int) -> Bracket:
+    """The bracket of a region between brackets (an even number), from the end of one to the start of the next."""
+    before, after = region // 2 - 1, region // 2
+    return (brackets[before][1] if before >= 0 else None, brackets[after][0] if after < len(brackets) else None)
+
+
+def _region_sql(c: str, brackets: Sequence[Bracket]) -> str:
+    """The number of the region a value lies in: 0 below the first bracket, 1 inside it, 2 up to the next, and so on."""
+    cases = []
+    for k, (lo, hi) in enumerate(brackets):
+        cases += [] if lo is None else [f"WHEN {c} < {_double(lo)} THEN {2 * k}"]
+        cases.append("WHEN true" if hi is None else f"WHEN {c} <= {_double(hi)}")
+        cases[-1] += f" THEN {2 * k + 1}"
+    return f"CASE {' '.join(cases)} ELSE {2 * len(brackets)} END" if cases else "0"
+
+
+def _regions(numbers: DataFrame, brackets: Sequence[Sequence[Bracket]]) -> tuple[DataFrame, dict[tuple[int, int], tuple[int, int]]]:
+    """(col_no, region, v, n), v only inside brackets, and per (col_no, region) its rows and distinct values."""
+    cells = []
+    for i, c in enumerate(numbers.columns):
+        region = _region_sql(c, brackets[i])
+        cells.append(f"{i}, IF({c} IS NULL, NULL, {region}), IF(({region}) % 2 = 1, {c}, NULL)")
+    if not cells:
+        return numbers, {}
+    counted = (
+        numbers.selectExpr(f"stack({len(cells)}, {', '.join(cells)}) AS (col_no, region, v)")
+        .filter("region IS NOT NULL")
+        .groupBy("col_no", "region", "v")
+        .agg(F.count("*").alias("n"))
+    )
+    held = materialise(counted, "regions")
+    sizes = held.groupBy("col_no", "region").agg(F.sum("n").alias("n"), F.count("*").alias("values")).collect()  # a few rows per column
+    return held, {(r["col_no"], r["region"]): (r["n"], r["values"]) for r in sizes}
+
+
+Target = tuple[int, int, int, int, int]  # column, quantile, below (0) or above (1), region, rank in the region
+
+
+def _targets(totals: Sequence[int], sizes: dict, ps: Sequence[float]) -> tuple[list[Target], list[tuple[int, int]]]:
+    """The two ranks of each quantile within their regions, and the regions outside brackets that hold a rank."""
+    targets, missed = [], set()
+    for i, total in enumerate(totals):
         for q, p in enumerate(ps if total else ()):
-            at = p * (total - 1)
-            first, second = math.floor(at), math.ceil(at)
-            lo = hi = None
-            skipped = 0
-            if sketched[c] and counted[f"{c}_{q}_lt"] <= first and second < counted[f"{c}_{q}_le"]:
-                lo, hi = sketched[c][2 * q : 2 * q + 2]
-                skipped = counted[f"{c}_{q}_lt"]
-            out.append((i, q, lo, hi, skipped, first, second, at - first))
-    return out
+            for side, rank in enumerate((math.floor(p * (total - 1)), math.ceil(p * (total - 1)))):
+                for region in sorted(r for c, r in sizes if c == i):
+                    if rank < sizes[i, region][0]:
+                        break
+                    rank -= sizes[i, region][0]
+                targets.append((i, q, side, region, rank))
+                if region % 2 == 0:
+                    missed.add((i, region))
+    return targets, sorted(missed, reverse=True)
+
+
+#: Values of one region, or of one prefix of the key, that a window may rank.
+RANKED = 65_536
+KEY_BITS, DIGIT_BITS = 64, 16
+
+
+def order_key(v: str) -> str:
+    """SQL for a whole number that orders as the double ``v`` does: its bits, mirrored below zero; NaN is last."""
+    text = f"format_string('%a', abs({v}))"  # 0x1.<mantissa>p<exponent>, exact
+    mantissa = f"CAST(conv(rpad(regexp_extract({text}, '[.]([0-9a-f]+)p', 1), 13, '0'), 16, 10) AS BIGINT)"
+    exponent = f"IF(substr({text}, 3, 1) = '1', CAST(regexp_extract({text}, 'p(-?[0-9]+)', 1) AS BIGINT) + 1023, 0)"
+    bits = f"IF(abs({v}) = double('inf'), shiftleft(2047L, 52), shiftleft({exponent}, 52) + {mantissa})"
+    return f"CASE WHEN isnan({v}) THEN {2**63 - 1} WHEN {v} < 0 THEN -({bits}) - 1 ELSE {bits} END"
+
+
+def _select(held: DataFrame, sizes: dict, targets: Sequence[Target]) -> dict[tuple[int, int, int], float]:
+    """The value at each target's rank.
+
+    Regions of few distinct values are ranked by a window.  Others go digit by digit from the top of an order-preserving key: values are counted per
+    digit among those that share the digits found so far, and the digit that holds the rank is the next one.  Values are never
+    sorted or laid out by range; each step moves at most 65,536 counts per target.
+    """
+    spark = held.sparkSession
+    found, wide = {}, [x for x in targets if sizes[x[0], x[3]][1] > RANKED]
+    narrow = [x for x in targets if sizes[x[0], x[3]][1] <= RANKED]
+    kinds = "col_no int, q int, side int, region int, rank bigint"
+    if narrow:
+        # bounded: RANKED rows per partition; one broadcast row per column, quantile and side
+        by_value = "OVER (PARTITION BY col_no, region ORDER BY v ROWS UNBOUNDED PRECEDING)"
+        asked = F.broadcast(spark.createDataFrame(narrow, kinds))
+        wanted = spark.createDataFrame(sorted({(x[0], x[3]) for x in narrow}), "col_no int, region int")
+        ranked = held.join(F.broadcast(wanted), ["col_no", "region"]).withColumn("upto", F.expr(f"sum(n) {by_value}"))
+        hit = ranked.join(asked, ["col_no", "region"]).filter("upto - n <= rank AND rank < upto")
+        found |= {(r["col_no"], r["q"], r["side"]): r["v"] for r in hit.collect()}
+    if wide:
+        wanted = spark.createDataFrame(sorted({(x[0], x[3]) for x in wide}), "col_no int, region int")
+        keyed = materialise(held.join(F.broadcast(wanted), ["col_no", "region"]).withColumn("key", F.expr(order_key("v"))), "keys")
+        state = [(*x, 0) for x in wide]
+        for shift in range(KEY_BITS - DIGIT_BITS, -1, -DIGIT_BITS):
+            asked = F.broadcast(spark.createDataFrame(state, f"{kinds}, prefix bigint"))
+            same = "true" if shift == KEY_BITS - DIGIT_BITS else f"shiftright(key, {shift + DIGIT_BITS}) = prefix"
+            digits = (
+                keyed.join(asked, ["col_no", "region"]).filter(same)
+                .groupBy("col_no", "q", "side", "region", "rank", F.shiftright("key", shift).alias("next"))
+                .agg(F.sum("n").alias("n"), F.min("v").alias("v"))
+                .withColumn("upto", F.expr("sum(n) OVER (PARTITION BY col_no, q, side ORDER BY next ROWS UNBOUNDED PRECEDING)"))
+                .filter("upto - n <= rank AND rank < upto")
+            )
+            hit = digits.collect()  # one row per target
+            state = [(r["col_no"], r["q"], r["side"], r["region"], r["rank"] - (r["upto"] - r["n"]), r["next"]) for r in hit]
+        found |= {(r["col_no"], r["q"], r["side"]): r["v"] for r in hit}
+    return found
 
 
 def histogram(vc: DataFrame, facts: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import datetime as dt
 from decimal import Decimal
 
 import numpy as np
+import pytest
 from conftest import rows
 
 from tablewright.operators import counts, profile
@@ -101,6 +102,42 @@ def test_quantiles_do_not_depend_on_the_sketch(spark, monkeypatch):
     np.testing.assert_allclose(row["quantiles"], np.quantile(values, [0.1, 0.37, 0.9]), rtol=1e-12)
 
 
+def test_quantiles_by_radix_selection(spark, monkeypatch):
+    monkeypatch.setattr(profile, "RANKED", 3)  # regions of more values go digit by digit
+    rng = np.random.default_rng(8)
+    values = np.concatenate([rng.normal(0, 1, 3000) * 10.0 ** rng.integers(-300, 300, 3000), np.full(500, -2.5), [0.0, -0.0, 5e-324, 1e308]])
+    whole = rng.integers(-(2**62), 2**62, len(values))
+    df = spark.createDataFrame([(float(v), int(w)) for v, w in zip(values, whole)], "a double, b bigint").repartition(4)
+    ps = (0.0, 0.01, 0.25, 0.5, 0.51, 0.999, 1.0)
+    found = by_column(profile.quantiles(df, ps))
+    for name, plain in (("a", values), ("b", whole.astype(float))):
+        ordered = np.sort(plain)
+        for p, got in zip(ps, found[name]["quantiles"]):
+            at = p * (len(ordered) - 1)
+            low, high = ordered[int(np.floor(at))], ordered[int(np.ceil(at))]
+            assert min(low, high) <= got <= max(low, high) and (low != high or got == low)
+
+
+def test_the_key_orders_as_doubles_do(spark):
+    values = [float("-inf"), -1e308, -1.5, -1.0, -5e-324, 0.0, 5e-324, 2.2250738585072014e-308, 0.1, 1.0, 1.0000000000000002, 1e308, float("inf")]
+    df = spark.createDataFrame([(v,) for v in [*values, float("nan")]], "v double").selectExpr("v", f"{profile.order_key('v')} AS key")
+    keys = {str(r["v"]): r["key"] for r in df.collect()}
+    for v in values:
+        bits = int(np.float64(abs(v)).view(np.int64))
+        assert keys[str(v)] == (bits if v >= 0 else -bits - 1)
+    assert keys["nan"] > keys["inf"]
+
+
+def test_quantiles_scan_twice(spark):
+    df = spark.range(2000).selectExpr("CAST(id AS DOUBLE) AS a", "id % 7 AS b")
+    seen = []
+    with pytest.MonkeyPatch.context() as patch:
+        for name in ("_brackets", "_regions"):
+            patch.setattr(profile, name, lambda *a, f=getattr(profile, name), n=name: (seen.append(n), f(*a))[1])
+        profile.quantiles(df).collect()
+    assert seen == ["_brackets", "_regions"]
+
+
 def test_quantiles_of_empty_and_odd_columns(spark):
     nan = float("nan")
     df = spark.createDataFrame([(None, 1.0, nan), (None, nan, nan), (None, 3.0, nan)], "a double, b double, c double")
