@@ -19,7 +19,7 @@ def _is_one_per_line(spark: SparkSession, path: str) -> bool:
     """True when the first filled line is itself a whole object."""
     first = spark.read.text(path).filter(F.trim("value") != "").first()
     if first is None:
-        raise delimited.EmptyFileError("The file is empty - there is no data to ingest.")
+        raise delimited.EmptyFileError("Nothing to read: the file holds no records.")
     line = first["value"].strip()
     return line.startswith("{") and line.endswith("}")
 

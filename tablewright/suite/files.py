@@ -71,18 +71,36 @@ def tsv_whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "lang", F.md5("text").alias("digest"), "n_chars")
 
 
-@suite.query(
-    "csv_encodings",
-    "SELECT lang, 'cp1252' AS encoding, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS characters FROM documents GROUP BY 1",
-)
+@suite.query("csv_encodings", "SELECT doc_id, lang, md5(text) AS digest FROM documents")
 def csv_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts in a single-byte encoding are recognised as such."""
+    """Files in a single-byte encoding and in UTF-8 side by side, each read in its own."""
     docs = given(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    path = _written_csv(docs, scratch_path(spark, "latin") + ".csv", encoding="ISO-8859-1")
+    path = scratch_path(spark, "mixed") + ".csv"
+    for english, encoding in ((True, "ISO-8859-1"), (False, "UTF-8")):
+        part = docs.filter((F.col("lang") == "de") == english)
+        part.write.mode("append").options(header=True, quote='"', escape='"', encoding=encoding).csv(path)
     df, plan = delimited.read_delimited(spark, path)
-    return df.groupBy("lang").agg(
-        F.lit(plan.encoding).alias("encoding"), F.count("*").alias("n"), F.sum(F.length("text")).alias("characters")
-    )
+    assert plan.encoding == "cp1252" and {e for _, e in plan.other_encodings} == {"utf-8"}
+    return df.select("doc_id", "lang", F.md5("text").alias("digest"))
+
+
+_LINE = "concat_ws(',', CAST(sale_id AS VARCHAR(20)), {}priority{})"
+
+
+@suite.query(
+    "csv_ragged",
+    with_shop("sales") + f" SELECT {_LINE.format('', '')} AS record FROM sales WHERE status = 'F' "
+    f"UNION ALL SELECT {_LINE.format('status, ', ', status')} FROM sales WHERE status = 'P'",
+)
+def csv_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with too few or too many cells, reported as they stand in the file."""
+    sales = shop(spark, sf_dir, "sales")["sales"]
+    line = F.when(F.col("status") == "F", F.expr(_LINE.format("", ""))).when(F.col("status") == "P", F.expr(_LINE.format("status, ", ", status")))
+    leads = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # a header in each file
+    rows = F.array(F.coalesce(line, F.expr(_LINE.format("status, ", ""))))
+    path = scratch_path(spark, "ragged") + ".csv"
+    sales.select(F.explode(F.when(leads, F.concat(F.array(F.lit("sale_id,status,priority")), rows)).otherwise(rows))).write.text(path)
+    return delimited.ragged_rows(spark, path, delimited.plan_read(spark, path)).select("record")
 
 
 @suite.query(

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import csv
 import datetime as dt
+import io
 import json
 import os
+import random
 
 import pytest
 from conftest import rows
@@ -191,3 +194,54 @@ def test_settle_deletes_what_was_written_on_the_way(spark):
         session.settle(spark, broken, "never")
     for gone in on_the_way:
         assert not os.path.exists(gone.inputFiles()[0].removeprefix("file://"))
+
+
+@pytest.mark.parametrize("split", [1 << 20, 40])
+def test_records_span_lines_and_splits(spark, tmp_path, split):
+    """However the files are split, records come out as the standard csv module reads them."""
+    rng = random.Random(4)
+    cells = ["plain", 'say "hi"', "two\nlines", "a,b", '5" pipe', "", '"', '""', "crlf\r\ninside", "\n\n", "x" * 90, "é€" * 9]
+    folder = tmp_path / "many.csv"
+    folder.mkdir()
+    expected = []
+    for k in range(3):
+        body = io.StringIO()
+        writer = csv.writer(body, lineterminator="\r\n" if k == 1 else "\n")
+        writer.writerow(["id", "one", "two"])
+        for i in range(60):
+            row = [str(1000 * k + i), rng.choice(cells), rng.choice(cells)]
+            writer.writerow(row)
+            expected.append((int(row[0]), row[1] or None, row[2] or None))
+        body.write('9999,5" stray,quote" in text\n')
+        expected.append((9999, '5" stray', 'quote" in text'))
+        (folder / f"part-{k}.csv").write_bytes(body.getvalue().encode())
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(split))
+    try:
+        df, plan = read_delimited(spark, str(folder))
+        assert plan.multi_line and plan.column_names == ("id", "one", "two")
+        assert (df.rdd.getNumPartitions() > 20) == (split == 40)
+        assert rows(df) == sorted(expected, key=repr)
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_ragged_rows_are_reported(spark, tmp_path):
+    path = write(tmp_path, "r.csv", 'a,b,c\n1,2,3\n4,5\n6,7,8,9\n10,"x\ny",12\n13,"p,q",14,"s\nt"\n')
+    plan = plan_read(spark, path)
+    found = [r["record"] for r in delimited.ragged_rows(spark, path, plan).collect()]
+    assert sorted(found) == sorted(["4,5", "6,7,8,9", '13,"p,q",14,"s\nt"'])
+    assert rows(delimited.read_text_columns(spark, path, plan)) == sorted(
+        [("1", "2", "3"), ("4", "5", None), ("6", "7", "8"), ("10", "x\ny", "12"), ("13", "p,q", "14")], key=repr
+    )
+
+
+def test_each_file_has_its_own_encoding(spark, tmp_path):
+    folder = tmp_path / "mixed files+.csv"
+    folder.mkdir()
+    for k, encoding in enumerate(("utf-8", "cp1252", "utf-16", "utf-8-sig")):
+        (folder / f"p {k}+.csv").write_bytes(f'id,price\n{k},"10 € – é"\n1{k},"two\nlines ñ"\n'.encode(encoding))
+    df, plan = read_delimited(spark, str(folder))
+    assert plan.encoding == "cp1252" and sorted(e for _, e in plan.other_encodings) == ["utf-16", "utf-8", "utf-8-sig"]
+    assert rows(df) == sorted([(k, "10 € – é") for k in range(4)] + [(10 + k, "two\nlines ñ") for k in range(4)], key=repr)
