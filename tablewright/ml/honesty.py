@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright import types as t
+from tablewright.functions.draws import draw
 from tablewright.functions.prefix import running_totals
 from tablewright.ml import evaluate, tiers
 from tablewright.relational import features as windowed
@@ -28,7 +29,7 @@ def permuted_labels(training: DataFrame, entity: str, seed: int) -> DataFrame:
     """The same rows with the labels dealt out in another order."""
     keys = [entity, "as_of"]
     rows = _numbered(training, keys, "place")
-    dealt = training.select("label", *keys, F.xxhash64(*keys, F.lit(seed)).alias("draw"))
+    dealt = training.select("label", *keys, draw(keys, seed).alias("draw"))
     dealt = _numbered(dealt, ["draw", *keys], "place").select("place", F.col("label").alias("dealt"))
     return rows.drop("label").join(dealt, "place").withColumnRenamed("dealt", "label").drop("place")
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright import types as t
+from tablewright.functions.draws import draw
 from tablewright.ml import evaluate, prepare
 from tablewright.session import materialise
 
@@ -41,9 +42,8 @@ def checked_parameters(given: Mapping[str, float] | None) -> dict[str, float]:
 
 
 def in_holdout(row_key: Sequence[str], share: float, seed: int) -> Column:
-    """A fixed share of rows by key hash: the same rows after any reshuffle."""
-    draw = F.pmod(F.xxhash64(*[t.column(c) for c in row_key], F.lit(int(seed))), F.lit(STEPS))
-    return draw < int(round(share * STEPS))
+    """A fixed share of rows by a draw on their key: the same rows after any reshuffle, and in any engine."""
+    return draw(row_key, int(seed)) % STEPS < int(round(share * STEPS))
 
 
 @dataclass(frozen=True)
@@ -80,11 +80,11 @@ def train(
     ).filter("actual is not null and not isnan(actual)")
     fitted_on = rows.filter(~F.col("is_holdout"))
 
-    prepared = prepare.fit(fitted_on, features, one_hot=True)
-    ready = materialise(prepared.apply(rows).select(*row_key, "actual", "is_holdout", "features"), "regression")
-    ready = _with_attributes(ready, prepared, rows)
+    prepared = prepare.fit(fitted_on, features, "actual", row_key, one_hot=True)
+    ready = prepared.apply(rows, ~F.col("is_holdout")).select(*row_key, "actual", "is_holdout", "features", "wide")
+    ready = materialise(ready, "regression")
     learn = ready.filter(~F.col("is_holdout"))
-    linear = LinearRegression(labelCol="actual", maxIter=100).fit(learn)
+    linear = LinearRegression(labelCol="actual", featuresCol="wide", maxIter=100).fit(learn)
     boosted = GBTRegressor(
         labelCol="actual",
         seed=int(chosen["seed"]),
@@ -100,10 +100,4 @@ def train(
     )
     scores = evaluate.regression_scores(long, F.col("actual"), F.col("predicted"), ["model"])
     predictions = both.select(*row_key, "actual", F.bround("gbm", 2).alias("predicted"), "is_holdout")
-    return Regression(scores, prepare.importances(boosted, ready, features), predictions, chosen)
-
-
-def _with_attributes(ready: DataFrame, prepared: prepare.Prepared, rows: DataFrame) -> DataFrame:
-    """Parquet drops the vector's attribute names; put them back on the column."""
-    named = prepared.apply(rows.limit(0)).schema["features"].metadata
-    return ready.withMetadata("features", named)
+    return Regression(scores, prepare.importances(boosted, prepared), predictions, chosen)

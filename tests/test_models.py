@@ -103,12 +103,38 @@ def test_importances_belong_to_source_features(fitted):
 
 
 def test_preparation_learns_from_train_only(spark):
-    train = spark.createDataFrame([(1.0, "a"), (3.0, "b"), (None, "a")], "x double, k string")
-    ready = prepare.fit(train, ["x", "k"], one_hot=True)
-    assert ready.medians == {"x": 2.0}
-    new = spark.createDataFrame([(None, "never seen"), (100.0, "b")], "x double, k string")
-    vectors = [list(r["features"].toArray()) for r in ready.apply(new).collect()]
-    assert vectors == [[2.0, 0.0, 0.0], [100.0, 0.0, 1.0]]
+    train = spark.createDataFrame([(1, 1.0, "a", 10.0), (2, 3.0, "b", 40.0), (3, None, "a", 22.0), (4, 2.0, None, 8.0)], "id int, x double, k string, y double")
+    ready = prepare.fit(train, ["x", "k"], "y", ["id"], one_hot=True)
+    assert ready.medians == {"x": 2.0} and ready.prior == 20.0 and ready.inputs == ["x", "k"]
+    new = spark.createDataFrame([(9, None, "never seen"), (9, 100.0, "b"), (9, 5.0, "a"), (9, 6.0, "")], "id int, x double, k string")
+    got = sorted((list(r["wide"].toArray()), list(r["features"].toArray())) for r in ready.apply(new).collect())
+    assert [w for w, _ in got] == [[2.0, 0, 0, 0], [5.0, 0, 1, 0], [6.0, 1, 0, 0], [100.0, 0, 0, 1]]
+    codes = [c for _, (_, c) in got]
+    assert codes == pytest.approx([20.0, (32 + 200) / 12, (8 + 200) / 11, (40 + 200) / 11])
+
+
+def test_a_training_row_does_not_see_its_own_target(spark):
+    """A key with one row per value says nothing: every training row gets the plain mean, whatever its target."""
+    data = [(i, f"k{i}", "x" if i % 2 else "y", float(i % 2)) for i in range(500)]
+    df = spark.createDataFrame(data, "id int, unique string, kind string, y double")
+    ready = prepare.fit(df, ["unique", "kind"], "y", ["id"])
+    rows_ = ready.apply(df, F.lit(True)).select("kind", "unique_code", "kind_code").collect()
+    assert {round(r["unique_code"], 9) for r in rows_} == {0.5}
+    folds = {r["id"]: r["f"] for r in df.select("id", prepare.fold_of(["id"]).alias("f")).collect()}
+    for r, (i, _, kind, _) in zip(sorted(ready.apply(df, F.lit(True)).collect(), key=lambda r: r["id"]), data):
+        others = [y for j, _, k, y in data if k == kind and folds[j] != folds[i]]
+        assert r["kind_code"] == pytest.approx((sum(others) + 5) / (len(others) + 10))
+
+
+def test_many_values_are_prepared_like_few(spark):
+    """No number of values switches to another preparation."""
+    df = spark.range(30000).selectExpr("id", "concat('v', id % 6000) AS k", "CAST(id % 6000 AS DOUBLE) AS y")
+    ready = prepare.fit(df, ["k"], "y", ["id"], one_hot=True)
+    seen = ready.apply(df.filter("id < 6000"))
+    assert seen.select("k_place").distinct().count() == 6000
+    vector = seen.filter("id = 17").first()["wide"]
+    assert vector.size == 6000 and vector.numNonzeros() == 1
+    assert seen.filter("id = 17").first()["k_code"] == pytest.approx((5 * 17 + 10 * 2999.5) / 15)
 
 
 def test_permuted_labels_keep_rows_and_counts(many_slices):
