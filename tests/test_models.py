@@ -5,9 +5,11 @@ import random
 import numpy as np
 import pytest
 from conftest import rows
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from tablewright.ml import evaluate, honesty, prepare, regression
+from tablewright.ml import evaluate, honesty, prepare, regression, tiers
 
 
 def brute_auc(scores, labels):
@@ -157,3 +159,25 @@ def test_giveaway_columns(spark):
     assert honesty.giveaway_columns(training, entity, "id", names) == ["closed", "outcome"]
     few = honesty.column_scores(training.filter("id < 8"), entity, "id", ["closed"])
     assert rows(few, "auroc", "is_giveaway") == [(None, False)]
+
+
+def test_patience_outlasts_a_plateau():
+    curve = [1.0 - 0.01 * i for i in range(10)] + [0.92] * 30 + [0.80 - 0.001 * i for i in range(20)] + [0.9] * 200 + [0.1]
+    assert tiers.trees_kept(curve, 50) == 60  # a tolerance per tree would have stopped at the plateau after ten
+    assert tiers.trees_kept(curve, 20) == 10
+    assert tiers.trees_kept([0.5], 50) == 1 and tiers.trees_kept([0.5, 0.5, 0.4], 50) == 3
+
+
+def test_a_truncated_model_sums_its_first_trees(spark):
+    rng = random.Random(3)
+    data = [(Vectors.dense([rng.random(), rng.random()]), 0.0) for _ in range(400)]
+    data = [(v, float(v[0] + 0.3 * rng.random() > 0.6)) for v, _ in data]
+    df = spark.createDataFrame(data, ["features", "label"])
+    model = GBTClassifier(labelCol="label", maxIter=9, stepSize=0.3, seed=5).fit(df)
+    short = tiers.truncated(model, 4)
+    assert short.getNumTrees == 4 and model.getNumTrees == 9
+    for r in short.transform(df.limit(20)).collect():
+        margin = sum(w * t.predict(r["features"]) for w, t in zip(model.treeWeights[:4], model.trees[:4]))
+        assert r["probability"][1] == pytest.approx(1 / (1 + np.exp(-2 * margin)))
+    again = GBTClassifier(labelCol="label", maxIter=4, stepSize=0.3, seed=5).fit(df)
+    assert rows(again.transform(df), "prediction") == rows(short.transform(df), "prediction")
