@@ -118,11 +118,13 @@ def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source:
 
 
 def chance(count: str, total: str, terms: str) -> str:
-    """SQL for p = 1 + floor(SCALE * (count + 1) / (total + terms)); decimals, since the product may pass 64 bits.
+    """SQL for p = 1 + floor(SCALE * (count + 1) / (total + terms)); decimals where the product may pass 64 bits.
 
     A language without kept terms divides by one; its pairs have value 0 and it has no terms.
     """
-    return f"1 + (CAST({SCALE} AS DECIMAL(10, 0)) * CAST({count} + 1 AS DECIMAL(20, 0))) div CAST(greatest({total} + {terms}, 1) AS DECIMAL(20, 0))"
+    whole = f"greatest({total} + {terms}, 1)"
+    exact = f"(CAST({SCALE} AS DECIMAL(10, 0)) * CAST({count} + 1 AS DECIMAL(20, 0))) div CAST({whole} AS DECIMAL(20, 0))"
+    return f"1 + IF({count} < {9 * SCALE}, {SCALE}L * ({count} + 1) div {whole}, {exact})"
 
 
 def divergences(p: np.ndarray, q: np.ndarray) -> np.ndarray:

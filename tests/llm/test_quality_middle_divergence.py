@@ -210,3 +210,10 @@ def test_every_kept_term_counts_all_its_documents(spark):
     rows = [("en", f"s{i % 2}", words[j]) for j in range(100) for i in range(j % 5)]
     got = source_divergence.term_counts(spark.createDataFrame([(*x, 0, "", 0) for x in rows], AUDIT)).groupBy("term").agg(F.sum("n").alias("n")).collect()
     assert {r["term"]: r["n"] for r in got} == {w: j % 5 for j, w in enumerate(words) if j % 5 >= 3}
+
+
+def test_sql_and_numpy_probabilities_agree_beyond_64_bits(spark):
+    counts = [0, 7, 9 * 10**9 - 1, 9 * 10**9, 10**13, 9 * 10**14]
+    df = spark.createDataFrame([(c, 10**15, 12345) for c in counts], "n long, total long, terms long")
+    got = [r["p"] for r in df.orderBy("n").selectExpr(f"{source_divergence.chance('n', 'total', 'terms')} AS p").collect()]
+    assert got == [1 + 10**9 * (c + 1) // (10**15 + 12345) for c in counts]
