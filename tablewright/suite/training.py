@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -209,6 +211,29 @@ def feat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(df, ["customer_id", "as_of"], features.path_name(path), ("total",))
 
 
+@suite.query(
+    "feat_windows_wide_range",
+    _BASE + ", f AS (SELECT g.customer_id, g.as_of, count(s.sale_id) AS n, sum(s.total) AS t FROM grid g LEFT JOIN sales s ON s.customer_id = g.customer_id "
+    "AND s.sale_date <= g.as_of AND s.sale_date > g.as_of - INTERVAL 365 DAY GROUP BY 1, 2) "
+    "SELECT customer_id, as_of, round(t, 4) AS tiny, round(t, 4) AS huge, CASE WHEN n > 0 THEN round(t, 4) END AS both FROM f",
+)
+def feat_windows_wide_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Window sums of numbers near 1e-12 and near 1e15, scaled back, and of both in one column taken apart again."""
+    frames = frames_of(spark, sf_dir)
+    sales = frames["sales"].withColumns({"tiny": F.col("total") * 1e-17, "huge": F.col("total") * 1e10})
+    mixed = sales.withColumn("huge", F.lit(-3e15)).unionByName(sales).unionByName(sales.withColumn("huge", F.lit(3e15)))  # cancels out
+    table = SPEC.tables["sales"]
+    scaled = replace(table, columns={**table.columns, "tiny": "float", "huge": "float"})
+    spec = replace(SPEC, tables={**SPEC.tables, "sales": scaled})
+    path = _path("customers", "sales")
+    df = features.path_features(spec, ADOPTS, {**frames, "sales": mixed}, review_grid(frames), path)
+    name = f"{features.path_name(path)}_365d_sum"
+    return df.select(
+        "customer_id", "as_of", F.round(F.col(f"{name}_tiny") / 3 * 1e17, 4).alias("tiny"), F.round(F.col(f"{name}_huge") / 1e10, 4).alias("huge"),
+        F.round(F.col(f"{name}_total") / 3, 4).alias("both"),
+    )
+
+
 @suite.query(
     "feat_windows_two_edges",
     _BASE + " " + _window_sql(
