@@ -148,12 +148,14 @@ def apply_mapping_table(df: DataFrame, name: str, mapped: DataFrame) -> DataFram
 class Standardisation:
     """Propose, approve, dismiss and revoke for one dataset.
 
-    ``stored`` is the untouched data; ``view`` is what queries see.
+    ``stored`` is the untouched data; ``view`` is what queries see.  With a ``journal`` (see the dataset store) earlier
+    decisions are taken up and new ones kept: what was dismissed in one session is not proposed in the next.
     """
 
-    def __init__(self, stored: DataFrame):
+    def __init__(self, stored: DataFrame, journal=None):
         self.stored = stored
-        self.decisions: dict[str, dict] = {}
+        self.journal = journal
+        self.decisions: dict[str, dict] = journal.replay() if journal else {}
 
     def proposals(self) -> DataFrame:
         found = rules(variant_groups(self.stored if not self.decisions else self.view()))
@@ -165,22 +167,26 @@ class Standardisation:
             raise UnknownRuleError(rule_id)
         return row
 
+    def _decide(self, column: str, status: str, mapping: dict[str, str] | None = None, description: str | None = None) -> None:
+        if self.journal:
+            self.journal.add(column, status, mapping, description)
+        if status == "revoked":
+            del self.decisions[column]
+        else:
+            self.decisions[column] = {"status": status, "mapping": mapping or {}, "description": description}
+
     def approve(self, rule_id: str) -> None:
         rule = self._proposal(rule_id)
-        self.decisions[rule["column_name"]] = {
-            "status": "approved",
-            "mapping": dict(rule["mapping"]),
-            "description": rule["description"],
-        }
+        self._decide(rule["column_name"], "approved", dict(rule["mapping"]), rule["description"])
 
     def dismiss(self, rule_id: str) -> None:
-        self.decisions[self._proposal(rule_id)["column_name"]] = {"status": "dismissed"}
+        self._decide(self._proposal(rule_id)["column_name"], "dismissed")
 
     def revoke(self, rule_id: str) -> None:
         name = rule_id.removeprefix("norm:")
         if self.decisions.get(name, {}).get("status") != "approved":
             raise UnknownRuleError(rule_id)
-        del self.decisions[name]
+        self._decide(name, "revoked")
 
     def approved(self) -> dict[str, dict[str, str]]:
         """What a dataset store keeps: column -> raw -> canonical."""

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tablewright import types as t
 from tablewright.operators import counts, normalize, profile
+from tablewright.session import scratch_path
+from tablewright.sources.store import DatasetStore
 from tablewright.suite.registry import Suite
 from tablewright.suite.tables import given, shop, with_shop
 
@@ -343,3 +345,34 @@ def norm_revoke(spark: SparkSession, sf_dir: str) -> DataFrame:
     work.approve("norm:segment")
     work.revoke("norm:segment")
     return _totals(work.view())
+
+
+@suite.query(
+    "norm_dismiss_persisted",
+    with_shop("messy_customers") + f" SELECT segment, 0::BIGINT AS open_proposals, {_TOTALS} FROM messy_customers GROUP BY 1",
+)
+def norm_dismiss_persisted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dismissal outlives its session: opened again, the store proposes nothing and shows the data as it is."""
+    root = scratch_path(spark, "store")
+    first = DatasetStore(spark, root)
+    first.write("customers", _messy(spark, sf_dir))
+    first.standardisation("customers").dismiss("norm:segment")
+    again = DatasetStore(spark, root)
+    left = again.standardisation("customers").proposals().filter("column_name = 'segment'").count()
+    return _totals(again.read("customers")).withColumn("open_proposals", F.lit(left).cast("bigint"))
+
+
+@suite.query(
+    "norm_profile_after_approval",
+    _KEYED + ", shown AS (SELECT coalesce(canonical, segment) AS segment, balance FROM messy_customers "
+    "LEFT JOIN (SELECT v, canonical FROM ranked WHERE size >= 2) ON v = segment) "
+    "SELECT 'segment' AS column_name, count(*) AS row_count, count(*) - count(segment) AS null_count, count(DISTINCT segment) AS distinct_count, "
+    "(SELECT string_agg(segment, '|' ORDER BY segment) FROM (SELECT DISTINCT segment FROM shown WHERE segment IS NOT NULL ORDER BY 1 LIMIT 20)) AS samples FROM shown",
+)
+def norm_profile_after_approval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Once a rule is approved, what is profiled is the standardised view; the stored version stays as it was."""
+    root = scratch_path(spark, "store")
+    DatasetStore(spark, root).write("customers", _messy(spark, sf_dir))
+    DatasetStore(spark, root).standardisation("customers").approve("norm:segment")
+    found = profile.profile(DatasetStore(spark, root).read("customers").select("segment"))
+    return found.select("column_name", "row_count", "null_count", "distinct_count", F.array_join("samples", "|").alias("samples"))

@@ -108,3 +108,23 @@ def test_approved_mappings_outlive_the_session(spark, sales, tmp_path):
     assert totals(again.read("sales")) == [("East", 60), ("West", 90)]
     again.set_mappings("sales", {})
     assert again.read("sales").select("region").distinct().count() == 4
+
+
+def test_decisions_outlive_the_session_and_the_latest_holds(spark, sales, tmp_path):
+    from tablewright.sources.store import DatasetStore
+
+    store = DatasetStore(spark, str(tmp_path))
+    store.write("sales", sales)
+    store.standardisation("sales").dismiss("norm:region")
+    again = DatasetStore(spark, str(tmp_path))
+    assert again.standardisation("sales").proposals().filter("column_name = 'region'").count() == 0
+    with pytest.raises(normalize.UnknownRuleError):
+        again.standardisation("sales").approve("norm:region")
+    again.journal("sales").add("region", "revoked")  # open again
+    work = again.standardisation("sales")
+    work.approve("norm:region")
+    assert totals(DatasetStore(spark, str(tmp_path)).read("sales")) == [("East", 60), ("West", 90)]
+    again.standardisation("sales").revoke("norm:region")
+    assert again.read("sales").select("region").distinct().count() == 4
+    assert [r["status"] for r in again.journal("sales").entries().orderBy("number").collect()] == ["dismissed", "revoked", "approved", "revoked"]
+    assert store.stored("sales").count() == sales.count()

@@ -6,6 +6,7 @@ import io
 import json
 import os
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from conftest import rows
@@ -245,3 +246,27 @@ def test_each_file_has_its_own_encoding(spark, tmp_path):
     df, plan = read_delimited(spark, str(folder))
     assert plan.encoding == "cp1252" and sorted(e for _, e in plan.other_encodings) == ["utf-16", "utf-8", "utf-8-sig"]
     assert rows(df) == sorted([(k, "10 € – é") for k in range(4)] + [(10 + k, "two\nlines ñ") for k in range(4)], key=repr)
+
+
+def test_uncommitted_versions_are_not_seen(spark, tmp_path):
+    kept = store.DatasetStore(spark, str(tmp_path))
+    assert kept.write("x", spark.range(3)) == 1
+    spark.range(5).write.parquet(f"{tmp_path}/x/version=2")
+    (tmp_path / "x/version=2/_SUCCESS").unlink()  # as a lost writer leaves it: files, no commit
+    assert kept.versions("x") == [1] and kept.read("x").count() == 3
+    with pytest.raises(KeyError):
+        kept.read("x", 2)
+    assert kept.write("x", spark.range(7)) == 3
+    assert kept.versions("x") == [1, 3] and kept.read("x").count() == 7
+    (tmp_path / "x" / "version=abc").mkdir()
+    assert kept.versions("x") == [1, 3] and kept.versions("y") == []
+
+
+def test_writers_at_the_same_time_get_their_own_numbers(spark, tmp_path):
+    kept = store.DatasetStore(spark, str(tmp_path))
+    with ThreadPoolExecutor(8) as pool:
+        numbers = list(pool.map(lambda n: kept.write("x", spark.range(n)), range(1, 9)))
+    assert sorted(numbers) == kept.versions("x") and len(set(numbers)) == 8
+    assert [kept.read("x", v).count() for v in numbers] == list(range(1, 9))
+    crashed = kept.claim("x")
+    assert kept.write("x", spark.range(1)) == crashed + 1 and crashed not in kept.versions("x")
