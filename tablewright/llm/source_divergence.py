@@ -30,7 +30,7 @@ TERM = r"([^\x00-\x40\x5B-\x60\x7B-\x7F]+)"
 LEAST_DOCUMENTS = 3
 #: Probabilities are whole billionths.
 SCALE = 1_000_000_000
-SLICE_BYTES = 16 * 1024 * 1024
+SLICE_BYTES = 8 * 1024 * 1024
 #: Sources and terms that meet in one task.
 TILE, TERMS = 128, 4096
 GROUP = ["lang", "source"]
@@ -48,14 +48,17 @@ def _chunk_totals(batches: Iterator[pa.RecordBatch], slice_bytes: int = SLICE_BY
         blank = pc.index(words, "").as_py() if len(words) else -1
         if blank >= 0:
             doc, chunk = doc[chunk != blank], chunk[chunk != blank]
-        pair, n = np.unique(doc * max(len(words), 1) + chunk, return_counts=True)  # chunks counted per document
-        doc, chunk = np.divmod(pair, max(len(words), 1))
+        width = max(len(words), 1)
+        pair, n = np.unique(doc * width + chunk, return_counts=True)  # chunks counted per document
+        del coded, lists, doc, chunk  # most of a slice's memory
+        doc, chunk = np.divmod(pair, width)
         names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
         kinds = {g: k for k, g in enumerate(dict.fromkeys(names))}
-        group = np.array([kinds[g] for g in names], np.int64)[doc]
-        order = np.lexsort((doc, chunk, group))
-        group, chunk, doc, n = group[order], chunk[order], doc[order], n[order]
-        start = np.flatnonzero(np.r_[len(doc) > 0, (np.diff(group) != 0) | (np.diff(chunk) != 0)][: len(doc)])
+        key = np.array([kinds[g] for g in names], np.int64)[doc] * width + chunk
+        order = np.argsort(key, kind="stable")  # documents stay in order within a group's chunk
+        key, doc, n = key[order], doc[order], n[order]
+        group, chunk = np.divmod(key, width)
+        start = np.flatnonzero(np.r_[len(doc) > 0, np.diff(key) != 0][: len(doc)])
         end = np.r_[start[1:], len(doc)].astype(np.int64)[: len(start)]
         owners = list(kinds)
         lang, source = (pa.array([o[i] for o in owners], pa.string()).take(pa.array(group[start])) for i in (0, 1))
