@@ -36,7 +36,7 @@ def test_equals_sql(spark, duck, name):
 
 def test_only_fitted_models_lack_sql():
     library = all_queries()
-    assert set(library.queries) - set(library.oracles) == SLOW | {"holdout_split"}
+    assert set(library.queries) - set(library.oracles) == SLOW
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
