@@ -15,6 +15,7 @@ import base64
 import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,8 @@ def encoder(ranks: str):
     """Byte-pair encoder over a rank file, with its end-of-text string as a special token.
 
     The JSON vocabulary of the same name gives the same ids through ``tokenizers``,
-    six times slower; ``tests/llm`` compares the two over every code point.
+    six times slower; ``tests/llm`` compares the two over every code point.  Its pattern gives up on
+    runs of some 1,000,000 spaces or line feeds: ``token_ids`` gives such texts to ``tokenizers``.
     """
     import public_tokenizers
     import tiktoken
@@ -45,6 +47,27 @@ def encoder(ranks: str):
     )
 
 
+@functools.cache
+def library(vocabulary: str):
+    """The tokenizer of a JSON vocabulary, without truncation or padding."""
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(vocabulary)
+    found.no_truncation()
+    found.no_padding()
+    return found
+
+
+def token_ids(text: str, ranks: str) -> np.ndarray:
+    """Ids of a whole text of any length; the JSON vocabulary stands beside the rank file, under the same name."""
+    encode = encoder(ranks)
+    try:
+        return encode.encode_to_numpy(text, allowed_special=set(encode.special_tokens_set))
+    except ValueError:  # the pattern ran out of its stack
+        vocabulary = str(Path(ranks).with_suffix(".json"))
+        return np.array(library(vocabulary).encode(text, add_special_tokens=False).ids, np.uint32)
+
+
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` tokens; only the first may be shorter."""
     first = n - capacity * (max(n - 1, 0) // capacity)
@@ -62,15 +85,12 @@ def token_pieces(
     names = [id_column, "piece", "start", "length", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks)
-        specials = set(encode.special_tokens_set)
         for batch in slices(batches):
             row: list[int] = []
             out: tuple[list, ...] = ([], [], [], [])
             held = 0
             for i, value in enumerate(batch.column(1).to_pylist()):
-                ids = encode.encode_to_numpy(value or "", allowed_special=specials)
-                ids = np.append(ids, end_id).astype("<u4")
+                ids = np.append(token_ids(value or "", ranks), end_id).astype("<u4")
                 for piece, (start, length) in enumerate(cuts(len(ids), capacity)):
                     row.append(i)
                     for column, x in zip(out, (piece, start, length, ids[start : start + length].tobytes())):
