@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tablewright.session import materialise, settle
 
-#: Lines with fewer distinct words match only lines of an equal set, and are left alone unless every line is compared.
+#: Lines with fewer distinct words match only lines of an equal set, so they are grouped and not joined.
 LEAST_WORDS = 8
 PERCENT = 90
 #: Index lists of more lines first meet their earliest one, which settles most of them.
@@ -27,27 +27,26 @@ FEW_LINES = 1_000_000
 BUCKETS = 1 << 16
 
 
-def _spaced(column: Column, every: bool) -> Column:
-    """``column`` with a space for all other white space inside a line, if ``every`` line is compared."""
-    for other in "\t\v\f\r" if every else "":
+def _spaced(column: Column) -> Column:
+    """``column`` with a space for all other ASCII white space inside a line."""
+    for other in "\t\v\f\r":
         column = F.replace(column, F.lit(other), F.lit(" "))
     return column
 
 
-def _lines(docs: DataFrame, id_column: str, text: str, every: bool) -> DataFrame:
+def _lines(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     """``doc, line, mark, value``: number (from 0), hash and text of each line of documents with an id."""
-    least = 1 if every else LEAST_WORDS
     return (
         docs.filter(F.col(id_column).isNotNull())
         .select(F.col(id_column).alias("doc"), F.posexplode(F.split(text, "\n")).alias("line", "value"))
-        .filter(F.octet_length("value") >= 2 * least - 1)  # shorter ones cannot have the words
-        .select("doc", "line", F.xxhash64("value").alias("mark"), _spaced(F.col("value"), every).alias("value"))
+        .filter(F.octet_length("value") > 0)
+        .select("doc", "line", F.xxhash64("value").alias("mark"), _spaced(F.col("value")).alias("value"))
     )
 
 
-def _rarity(docs: DataFrame, text: str, every: bool) -> str:
+def _rarity(docs: DataFrame, text: str) -> str:
     """A table of fixed size, as SQL: for every bucket the binary logarithm of how often its words occur."""
-    spaced = F.replace(_spaced(F.col(text), every), F.lit("\n"), F.lit(" "))
+    spaced = F.replace(_spaced(F.col(text)), F.lit("\n"), F.lit(" "))
     words = docs.select(F.explode(F.split(spaced, " ")).alias("word")).filter("word <> ''")
     counted = words.groupBy(F.xxhash64("word").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
     table = ["0"] * BUCKETS
@@ -126,13 +125,13 @@ def _verified(pairs: DataFrame, one: DataFrame, lines: DataFrame, rarity: str) -
     return materialise(both.select(F.col("v").alias("id")).distinct(), "matched-lines")
 
 
-def later_matches(docs: DataFrame, id_column: str = "doc_id", text: str = "text", every: bool = False) -> DataFrame:
+def later_matches(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc, line, mark`` of every line that an earlier one matches with a Jaccard similarity of ``PERCENT`` or more.
 
     Earlier means a smaller document id, then a smaller line number.  Rows that repeat an id with
     the same line at the same place hold that line once.  Lines of documents without an id neither go nor make others go.
     """
-    rarity, lines = _rarity(docs, text, every), _lines(docs, id_column, text, every)
+    rarity, lines = _rarity(docs, text), _lines(docs, id_column, text)
     shaped = materialise(
         _keyed(lines, rarity).select(
             F.struct("doc", "line", "mark").alias("at"), F.size("keys").alias("n"),
@@ -140,7 +139,7 @@ def later_matches(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
             F.expr(f"slice(keys, 1, size(keys) - cast(ceil(size(keys) * {PERCENT} / 100) as int) + 1)").alias("prefix"),
         ),
         "lines",
-    ).filter(F.col("n") >= (1 if every else LEAST_WORDS))
+    ).filter(F.col("n") >= 1)
     one = shaped.filter(F.col("n") >= LEAST_WORDS).groupBy("set").agg(F.min("at").alias("at"), F.count("*").alias("rows"), *[F.first(c).alias(c) for c in ("n", "bits", "prefix")])
     placed = one.repartitionByRange("at").sortWithinPartitions("at")
     one = materialise(placed.withColumn("id", F.monotonically_increasing_id()), "distinct-lines")  # numbered in order, once, when written
@@ -164,9 +163,8 @@ def later_matches(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     gone = easy.union(hard).distinct().withColumn("gone", F.lit(True))
     repeated = one.select("id", "set", "at", "rows").join(_few(gone), "id", "left").filter("gone OR rows > 1")
     repeated = repeated.select("set", F.col("at").alias("first"), "gone")
-    if every:
-        short = shaped.filter(F.col("n") < LEAST_WORDS).groupBy("set").agg(F.min("at").alias("first"), F.count("*").alias("rows"))
-        repeated = repeated.union(short.filter("rows > 1").select("set", "first", F.lit(None).cast("boolean")))
+    short = shaped.filter(F.col("n") < LEAST_WORDS).groupBy("set").agg(F.min("at").alias("first"), F.count("*").alias("rows"))
+    repeated = repeated.union(short.filter("rows > 1").select("set", "first", F.lit(None).cast("boolean")))
     repeated = materialise(repeated, "repeated-lines")
     return (
         shaped.select("at", "set").join(_few(repeated), "set")
@@ -175,17 +173,17 @@ def later_matches(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     )
 
 
-def line_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text", every: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with later matching lines taken out of the text, plus ``n_lines`` and ``n_removed``.
 
-    Lines are what stands between line feeds; those of fewer than ``LEAST_WORDS`` distinct words stay,
-    unless ``every`` line that has a word is compared; words then end at any ASCII white space, not at spaces alone.
+    Lines are what stands between line feeds; every line that has a word is compared, and words end at any ASCII
+    white space.  Lines without a word stay.
     Null texts have no lines and stay null; a text that loses every line becomes empty.
     """
     clash = {"n_lines", "n_removed"} & set(docs.columns)
     if clash:
         raise ValueError(f"columns {sorted(clash)} would be hidden by the result")
-    gone = settle(docs.sparkSession, lambda: later_matches(docs, id_column, text, every), "later-lines")
+    gone = settle(docs.sparkSession, lambda: later_matches(docs, id_column, text), "later-lines")
     few = gone.count() <= FEW_LINES
     gone = gone.groupBy("doc").agg(F.collect_set(F.struct("line", "mark")).alias("_gone"))
     gone = gone.withColumnRenamed("doc", "_doc")

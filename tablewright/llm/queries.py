@@ -37,13 +37,16 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @suite.query("op2_line_dedup", sql="""
 WITH lines AS (
-  SELECT doc_id, line, value, CASE WHEN len(list_filter(w, lambda x: x <> '')) >= 8 THEN list_sort(list_filter(w, lambda x: x <> '')) END AS w
-  FROM (SELECT doc_id, unnest(v) AS value, generate_subscripts(v, 1) AS line, list_distinct(string_split(unnest(v), ' ')) AS w
+  SELECT doc_id, line, value, CASE WHEN len(w) > 0 THEN list_sort(w) END AS w
+  FROM (SELECT doc_id, unnest(v) AS value, generate_subscripts(v, 1) AS line,
+               list_distinct(regexp_extract_all(unnest(v), '[^\\x20\\x09-\\x0D]+')) AS w
         FROM (SELECT doc_id, string_split(text, chr(10)) AS v FROM documents))
 ), sets AS (
   SELECT w, len(w) AS n, min((doc_id, line)) AS at FROM lines WHERE w IS NOT NULL GROUP BY w
+), wide AS ( -- at 90 percent, different sets have 9 words or more
+  SELECT * FROM sets WHERE n >= 9
 ), gone AS (
-  SELECT DISTINCT x.w FROM sets x JOIN sets y
+  SELECT DISTINCT x.w FROM wide x JOIN wide y
   ON y.at < x.at AND x.n * 100 >= y.n * 90 AND y.n * 100 >= x.n * 90
   AND 100 * len(list_intersect(x.w, y.w)) >= 90 * (x.n + y.n - len(list_intersect(x.w, y.w)))
 ), marked AS (

@@ -67,6 +67,16 @@ def test_rank_file_gives_the_ids_of_the_json_vocabulary():
         assert fast.encode(text, allowed_special=set(fast.special_tokens_set)) == found.ids
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, "x" + " " * 1_000_000 + "y", "a" * 1_000_000])
+def test_runs_of_one_character_give_the_ids_of_the_json_vocabulary(spark, text):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    rows = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), 2, 1024).orderBy("piece").collect()
+    assert b"".join(r["ids"] for r in rows) == np.array([*plain, 2], "<u4").tobytes()
+
+
 def test_packing_is_best_fit_decreasing_and_gapless(docs, none):
     pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), 2, 64)
     rows = packing.pack(pieces, 64).collect()
@@ -149,9 +159,9 @@ def test_line_dedup_against_all_pairs(spark, docs, none, monkeypatch, few):
         kept = []
         for line in by_doc[d]:
             s = set(line.split())
-            if len(s) < line_dedup.LEAST_WORDS or not any(100 * len(s & o) >= line_dedup.PERCENT * len(s | o) for o in seen):
+            if not s or not any(100 * len(s & o) >= line_dedup.PERCENT * len(s | o) for o in seen):
                 kept.append(line)
-            if len(s) >= line_dedup.LEAST_WORDS:
+            if s:
                 seen.append(s)
         want[d] = ("\n".join(kept), len(by_doc[d]) - len(kept))
     want |= {None: (lines[0], 0), 1000: (None, 0), 1001: ("", 0)}
@@ -299,7 +309,7 @@ def test_every_line_with_a_word_is_compared(spark, monkeypatch, few):
     made = [(d, "\n".join(r.choice(lines, 12))) for d in range(12)]
     made += [(20, "\t".join(WORDS[:18])), (21, " ".join(WORDS[1:18])), (22, "\t".join(WORDS[:16]))]
     frame = spark.createDataFrame(made, "doc_id long, text string")
-    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(frame, every=True).collect()}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(frame).collect()}
     seen, want = [], {}
     for d, text in made:
         kept = []
