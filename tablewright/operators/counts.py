@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright import types as t
 
+#: Longer texts are told apart by a digest while they are counted; only the ones shown are read again.
+LONG = 64
 # native order of one column's values: whole, real, then text
 NATIVE = ("whole", "real", "txt")
 
@@ -37,16 +39,54 @@ def text_literal(value: str) -> str:
 def count_values(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """(column_name, whole, real, txt, n) over the non-null values."""
     names = list(names if names is not None else df.columns)
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    cells = ", ".join(_cells(i, name, kinds[name]) for i, name in enumerate(names))
-    labels = ", ".join(text_literal(n) for n in names)
     return (
-        df.selectExpr(f"stack({len(names)}, {cells}) AS (col_no, whole, real, txt)")
-        .filter("whole IS NOT NULL OR real IS NOT NULL OR txt IS NOT NULL")
+        _stacked(df, names, range(len(names)))
         .groupBy("col_no", *NATIVE)
         .agg(F.count("*").alias("n"))
-        .selectExpr(f"array({labels})[col_no] AS column_name", *NATIVE, "n")
+        .select(_name_of(names).alias("column_name"), *NATIVE, "n")
+    )
+
+
+def _stacked(df: DataFrame, names: Sequence[str], numbers: Sequence[int]) -> DataFrame:
+    """(col_no, whole, real, txt): one row per non-null value."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    cells = ", ".join(_cells(i, name, kinds[name]) for i, name in zip(numbers, names))
+    stacked = df.selectExpr(f"stack({len(names)}, {cells}) AS (col_no, whole, real, txt)")
+    return stacked.filter("whole IS NOT NULL OR real IS NOT NULL OR txt IS NOT NULL")
+
+
+def _name_of(names: Sequence[str]):
+    return F.expr(f"array({', '.join(text_literal(n) for n in names)})[col_no]")
+
+
+_DIGEST = f"IF(char_length(txt) > {LONG}, unhex(sha2(txt, 256)), NULL)"
+
+
+def count_digests(df: DataFrame, long_facts: dict[str, Column]) -> DataFrame:
+    """(col_no, column_name, whole, real, txt, digest, n): as ``count_values``, without long texts.
+
+    A text of more than ``LONG`` characters is its first ``LONG`` ones and a SHA-256 digest, so whole texts are neither
+    shuffled nor written.  ``long_facts`` are Booleans of ``txt`` kept for long texts, false for all others.
+    """
+    is_long = F.char_length("txt") > LONG
+    facts = [F.when(is_long, c).otherwise(False).alias(k) for k, c in long_facts.items()]
+    cells = _stacked(df, df.columns, range(len(df.columns))).select(
+        "col_no", "whole", "real", F.expr(f"substr(txt, 1, {LONG})").alias("txt"), F.expr(_DIGEST).alias("digest"), *facts
     )
+    counted = cells.groupBy("col_no", *NATIVE, "digest", *long_facts).agg(F.count("*").alias("n"))
+    return counted.select("col_no", _name_of(df.columns).alias("column_name"), *NATIVE, "digest", *long_facts, "n")
+
+
+def fetch_texts(df: DataFrame, values: DataFrame) -> DataFrame:
+    """``values`` of ``count_digests`` with whole texts, from one more scan of the columns that need it."""
+    long = values.filter("digest IS NOT NULL").select("col_no", "digest").distinct()
+    numbers = sorted(r[0] for r in long.select("col_no").distinct().collect())  # at most one per column
+    if not numbers:
+        return values
+    cells = _stacked(df, [df.columns[i] for i in numbers], numbers).select("col_no", F.expr(_DIGEST).alias("digest"), "txt")
+    found = cells.join(long, ["col_no", "digest"], "left_semi").groupBy("col_no", "digest").agg(F.min("txt").alias("_whole"))
+    joined = values.join(found, ["col_no", "digest"], "left")
+    return joined.withColumn("txt", F.coalesce("_whole", "txt")).drop("_whole").select(*values.columns)
 
 
 def shown():

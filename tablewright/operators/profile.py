@@ -1,22 +1,24 @@
 """Deterministic column profiles.
 
-Two inputs feed every fact: one plain aggregate in native types
-(``column_facts``) and the value-count table (``counts.count_values``).
+Two inputs feed every fact: one plain aggregate in native types with a sketch of
+the quantiles, and the value-count table.  Each is one scan; ``profile`` reads the
+long texts that it shows in a third one, of their columns alone.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablewright import types as t
 from tablewright.functions import casts
 from tablewright.functions.identity import compact_number
 from tablewright.operators import counts
-from tablewright.session import materialise
+from tablewright.session import materialise, settle
 
 # What a profile holds.
 SAMPLE_CAP = 20
@@ -33,28 +35,47 @@ RELEASED_SAMPLES = 5
 RELEASED_LENGTH = 200
 
 
+Bracket = tuple[float | None, float | None]  # both ends belong to it; None is open
+
+
 def text_columns(df: DataFrame) -> list[str]:
     """Columns holding plain text (nested values are JSON, never mixed)."""
     return [f.name for f in df.schema.fields
             if t.domain_type(f.dataType) == t.TEXT and not t.is_nested(f.dataType)]
 
 
+_FACTS = (
+    "column_name string, position int, inferred_type string, is_nested boolean, row_count bigint, null_count bigint, "
+    "minimum double, maximum double, minimum_exact string, maximum_exact string"
+)
+
+
+def _fact_aggregates(df: DataFrame) -> list[Column]:
+    aggs = [F.count("*").alias("row_count")]
+    for i, f in enumerate(df.schema.fields):
+        c = t.column(f.name)
+        aggs.append(F.count(c).alias(f"c{i}"))
+        if t.domain_type(f.dataType) in t.NUMERIC:
+            for name, end in (("lo", F.min(c)), ("hi", F.max(c))):
+                aggs += [end.cast("double").alias(f"{name}{i}"), end.cast("string").alias(f"{name}_text{i}")]
+    return aggs
+
+
 def column_facts(df: DataFrame) -> DataFrame:
-    """Row count, nulls and numeric range per column, from one aggregate."""
-    aggs, cells = ["count(*) AS row_count"], []
+    """Row count, nulls and numeric range per column, from one aggregate.
+
+    ``minimum`` and ``maximum`` are doubles; ``minimum_exact`` and ``maximum_exact`` are the column's own values as text.
+    """
+    cells = []
     for i, f in enumerate(df.schema.fields):
-        c, kind = t.quoted(f.name), t.domain_type(f.dataType)
-        aggs.append(f"count({c}) AS c{i}")
-        span = "CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)"
+        kind, span = t.domain_type(f.dataType), ["CAST(NULL AS DOUBLE)"] * 2 + ["CAST(NULL AS STRING)"] * 2
         if kind in t.NUMERIC:
-            aggs += [f"CAST(min({c}) AS DOUBLE) AS lo{i}", f"CAST(max({c}) AS DOUBLE) AS hi{i}"]
-            span = f"lo{i}, hi{i}"
+            span = [f"lo{i}", f"hi{i}", f"lo_text{i}", f"hi_text{i}"]
         nested = str(t.is_nested(f.dataType)).lower()
-        cells.append(
-            f"{counts.text_literal(f.name)}, {i}, '{kind}', {nested}, row_count, row_count - c{i}, {span}"
-        )
-    names = "column_name, position, inferred_type, is_nested, row_count, null_count, minimum, maximum"
-    return df.selectExpr(*aggs).selectExpr(f"stack({len(cells)}, {', '.join(cells)}) AS ({names})")
+        head = f"{counts.text_literal(f.name)}, {i}, '{kind}', {nested}, row_count, row_count - c{i}"
+        cells.append(f"{head}, {', '.join(span)}")
+    names = ", ".join(x.split()[0] for x in _FACTS.split(", "))
+    return df.agg(*_fact_aggregates(df)).selectExpr(f"stack({len(cells)}, {', '.join(cells)}) AS ({names})")
 
 
 def null_rate() -> Column:
@@ -92,16 +113,28 @@ def quantiles(df: DataFrame, ps: Sequence[float] = QUANTILES) -> DataFrame:
     counts tell which region holds a rank; the sketch never decides a result: where a rank falls outside the
     brackets, that region is read as well.  Inside a region the rank is found by radix selection (``_select``).
     """
-    names = [f.name for f in df.schema.fields if t.domain_type(f.dataType) in t.NUMERIC]
+    names = _numeric(df)
     numbers = df.select(*[t.column(n).cast("double").alias(f"v{i}") for i, n in enumerate(names)])
     totals, brackets = _brackets(numbers, ps) if names else ([], [])
-    held, sizes = _regions(numbers, brackets)
+    return _interpolated(df.sparkSession, names, totals, brackets, ps, lambda found: _regions(numbers, found))
+
+
+def _numeric(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if t.domain_type(f.dataType) in t.NUMERIC]
+
+
+def _interpolated(
+    spark: SparkSession, names: Sequence[str], totals: Sequence[int], brackets: list[list[Bracket]], ps: Sequence[float],
+    regions: Callable[[list[list[Bracket]]], tuple[DataFrame, dict]],
+) -> DataFrame:
+    """Quantiles of the columns ``names``, whose values ``regions`` counts between and inside given brackets."""
+    held, sizes = regions(brackets)
     targets, missed = _targets(totals, sizes, ps)
-    if missed:  # the sketch was off there: a scan for those regions alone
+    if missed:  # the sketch was off there: those regions are read as well
         for i, region in missed:
             lo, hi = _edges(brackets[i], region)
             brackets[i] = sorted([*brackets[i], (lo, hi)], key=lambda b: (b[0] is not None, b[0] or 0.0))
-        held, sizes = _regions(numbers, brackets)
+        held, sizes = regions(brackets)
         targets, missed = _targets(totals, sizes, ps)
         assert not missed
     value = _select(held, sizes, targets) if targets else {}
@@ -114,31 +147,34 @@ def quantiles(df: DataFrame, ps: Sequence[float] = QUANTILES) -> DataFrame:
             found.append(below if below == above else below + (above - below) * (at - math.floor(at)))
         if found:
             rows.append((name, found))
-    return df.sparkSession.createDataFrame(rows, "column_name string, quantiles array<double>")  # one row per column
+    return spark.createDataFrame(rows, "column_name string, quantiles array<double>")  # one row per column
 
 
 def _double(x: float) -> str:
     return f"CAST('{x!r}' AS DOUBLE)"
 
 
-Bracket = tuple[float | None, float | None]  # both ends belong to it; None is open
-
-
 def _brackets(numbers: DataFrame, ps: Sequence[float]) -> tuple[list[int], list[list[Bracket]]]:
     """Per column: its values, and disjoint brackets in order.  One aggregate, one row to the driver."""
+    row = numbers.agg(*_sketches({c: F.col(c) for c in numbers.columns}, ps)).first()
+    return [row[f"{c}_n"] for c in numbers.columns], [_merged(row[c]) for c in numbers.columns]
+
+
+def _sketches(numbers: dict[str, Column], ps: Sequence[float]) -> list[Column]:
+    """Aggregates per double: values (``_n``) and the two ends of a bracket around each quantile."""
     near = [x for p in ps for x in (max(p - BRACKET, 0.0), min(p + BRACKET, 1.0))]
-    sketch = [F.percentile_approx(F.nullif(F.col(c), F.lit(float("nan"))), near, SKETCH).alias(c) for c in numbers.columns]
-    row = numbers.agg(*sketch, *[F.count(c).alias(f"{c}_n") for c in numbers.columns]).first()
-    out = []
-    for c in numbers.columns:
-        ends, merged = row[c] or [], []
-        for lo, hi in sorted(zip(ends[::2], ends[1::2])):
-            if merged and lo <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(hi, merged[-1][1]))
-            else:
-                merged.append((lo, hi))
-        out.append(merged)
-    return [row[f"{c}_n"] for c in numbers.columns], out
+    ends = [F.percentile_approx(F.nullif(v, F.lit(float("nan"))), near, SKETCH).alias(c) for c, v in numbers.items()]
+    return ends + [F.count(v).alias(f"{c}_n") for c, v in numbers.items()]
+
+
+def _merged(ends: Sequence[float] | None) -> list[Bracket]:
+    merged: list[Bracket] = []
+    for lo, hi in sorted(zip((ends or [])[::2], (ends or [])[1::2])):
+        if merged and lo <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(hi, merged[-1][1]))
+        else:
+            merged.append((lo, hi))
+    return merged
 
 
 def _edges(brackets: Sequence[Bracket], region: int) -> Bracket:
@@ -165,13 +201,25 @@ def _regions(numbers: DataFrame, brackets: Sequence[Sequence[Bracket]]) -> tuple
         cells.append(f"{i}, IF({c} IS NULL, NULL, {region}), IF(({region}) % 2 = 1, {c}, NULL)")
     if not cells:
         return numbers, {}
-    counted = (
-        numbers.selectExpr(f"stack({len(cells)}, {', '.join(cells)}) AS (col_no, region, v)")
-        .filter("region IS NOT NULL")
-        .groupBy("col_no", "region", "v")
-        .agg(F.count("*").alias("n"))
-    )
-    held = materialise(counted, "regions")
+    long = numbers.selectExpr(f"stack({len(cells)}, {', '.join(cells)}) AS (col_no, region, v)").filter("region IS NOT NULL")
+    return _held(long.withColumn("n", F.lit(1)))
+
+
+def _counted_regions(vc: DataFrame, positions: Sequence[int], brackets: Sequence[Sequence[Bracket]]) -> tuple[DataFrame, dict]:
+    """``_regions`` from value counts instead of the rows; ``positions`` are the numeric columns' places in the table."""
+    if not positions:
+        return vc, {}
+    # whole numbers and decimals that become the same double are one value
+    v = "coalesce(real, CAST(whole AS DOUBLE))"
+    number = " ".join(f"WHEN {at} THEN {i}" for i, at in enumerate(positions))
+    region = " ".join(f"WHEN {i} THEN {_region_sql('v', b)}" for i, b in enumerate(brackets))
+    cells = vc.selectExpr(f"CASE col_no {number} END AS col_no", f"{v} AS v", "n").filter("col_no IS NOT NULL")
+    placed = cells.selectExpr("col_no", f"CASE col_no {region} END AS region", "v", "n")
+    return _held(placed.selectExpr("col_no", "region", "IF(region % 2 = 1, v, NULL) AS v", "n"))
+
+
+def _held(cells: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], tuple[int, int]]]:
+    held = materialise(cells.groupBy("col_no", "region", "v").agg(F.sum("n").alias("n")), "regions")
     sizes = held.groupBy("col_no", "region").agg(F.sum("n").alias("n"), F.count("*").alias("values")).collect()  # a few rows per column
     return held, {(r["col_no"], r["region"]): (r["n"], r["values"]) for r in sizes}
 
@@ -277,50 +325,94 @@ def histogram(vc: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
+def _fits(vc: DataFrame, kind: str) -> Column:
+    """Does a text fit a narrower type?  Long texts of ``counts.count_digests`` know it from their rows."""
+    whole = casts.lenient(F.col("txt"), kind).isNotNull()
+    return F.when(F.col("digest").isNull(), whole).otherwise(F.col(kind)) if "digest" in vc.columns else whole
+
+
 def mixed_types(vc: DataFrame, texts: Sequence[str]) -> DataFrame:
     """Text columns most of whose values fit one narrower type, but not all."""
     values = vc.filter(F.col("column_name").isin(*texts)) if texts else vc.limit(0)
     fits = values.groupBy("column_name").agg(
         F.sum("n").alias("non_null"),
         *[
-            F.sum(F.when(casts.lenient(F.col("txt"), k).isNotNull(), F.col("n")).otherwise(0)).alias(k)
+            F.sum(F.when(_fits(vc, k), F.col("n")).otherwise(0)).alias(f"fits_{k}")
             for k in NARROWER
         ],
     )
     verdicts = [
         F.when(
-            (F.col(k) > 0) & (F.col(k) < F.col("non_null")) & (F.col(k) >= MAJORITY * F.col("non_null")),
+            (F.col(f) > 0) & (F.col(f) < F.col("non_null")) & (F.col(f) >= MAJORITY * F.col("non_null")),
             F.lit(k),
         )
-        for k in NARROWER
+        for k, f in ((k, f"fits_{k}") for k in NARROWER)
     ]
-    return fits.select("column_name", F.coalesce(*verdicts).alias("dominant_type"), "non_null", *NARROWER)
+    return fits.select("column_name", F.coalesce(*verdicts).alias("dominant_type"), "non_null", *[F.col(f"fits_{k}").alias(k) for k in NARROWER])
 
 
 def off_type_values(vc: DataFrame, mixed: DataFrame, cap: int = SAMPLE_CAP) -> DataFrame:
     """Up to ``cap`` distinct values that fail the dominant cast, smallest first."""
-    dominant = mixed.filter("dominant_type is not null").select("column_name", "dominant_type")
-    misses = [
-        (F.col("dominant_type") == k) & casts.lenient(F.col("txt"), k).isNull() for k in NARROWER
-    ]
-    miss = misses[0]
-    for m in misses[1:]:
-        miss = miss | m
     w = Window.partitionBy("column_name").orderBy("txt")
     return (
-        vc.join(F.broadcast(dominant), "column_name")  # one row per column
-        .filter(miss)
+        _misses(vc, mixed)
         .withColumn("position", F.row_number().over(w))
         .filter(F.col("position") <= cap)
         .select("column_name", "position", F.col("txt").alias("example"))
     )
 
 
+def _misses(vc: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The values of mixed columns that do not fit the dominant type."""
+    dominant = mixed.filter("dominant_type is not null").select("column_name", "dominant_type")
+    missed = [(F.col("dominant_type") == k) & ~_fits(vc, k) for k in NARROWER]
+    joined = vc.join(F.broadcast(dominant), "column_name")  # one row per column
+    return joined.filter(reduce(Column.__or__, missed)).select(*vc.columns)
+
+
+def _first_scan(df: DataFrame) -> tuple[DataFrame, list[int], list[list[Bracket]]]:
+    """Facts of every column, and per numeric column its values and quantile brackets: one aggregate, one row to the driver."""
+    numbers = {f"v{i}": t.column(n).cast("double") for i, n in enumerate(_numeric(df))}
+    row = df.agg(*_fact_aggregates(df), *_sketches(numbers, QUANTILES)).first()
+    facts = []
+    for i, f in enumerate(df.schema.fields):
+        kind = t.domain_type(f.dataType)
+        span = [row[f"{end}{i}"] if kind in t.NUMERIC else None for end in ("lo", "hi", "lo_text", "hi_text")]
+        facts.append((f.name, i, kind, t.is_nested(f.dataType), row["row_count"], row["row_count"] - row[f"c{i}"], *span))
+    known = df.sparkSession.createDataFrame(facts, _FACTS)  # one row per column
+    return known, [row[f"{c}_n"] for c in numbers], [_merged(row[c]) for c in numbers]
+
+
+def _picked(df: DataFrame, vc: DataFrame, mixed: DataFrame, cap: int) -> dict[str, DataFrame]:
+    """Values that may be shown, per list, with their whole texts.
+
+    Long texts are ranked by their beginning, and all that share the last one's are kept: the exact order is decided afterwards.
+    """
+    rank = lambda *order: F.rank().over(Window.partitionBy("column_name").orderBy(*order))
+    lists = {
+        "samples": vc.withColumn("_rank", rank(*counts.NATIVE)).filter(F.col("_rank") <= cap),
+        "tops": vc.withColumn("_rank", rank(F.desc("n"), counts.shown())).filter(F.col("_rank") <= TOP_VALUES),
+        "misses": _misses(vc, mixed).withColumn("_rank", rank("txt")).filter(F.col("_rank") <= cap),
+    }
+    stacked = reduce(DataFrame.unionByName, [d.withColumn("list", F.lit(name)) for name, d in lists.items()])
+    short = materialise(stacked.select("list", "col_no", "column_name", *counts.NATIVE, "digest", "n"), "picked-values")
+    whole = materialise(counts.fetch_texts(df, short), "picked-texts").drop("digest")
+    return {name: whole.filter(F.col("list") == name) for name in lists}
+
+
 def profile(df: DataFrame, sample_cap: int = SAMPLE_CAP) -> DataFrame:
     """One row per column with every profile fact."""
-    vc = materialise(counts.count_values(df), "value-counts")
-    facts = column_facts(df).join(distinct_counts(vc), "column_name", "left")
-    facts = facts.fillna(0, ["distinct_count"])
+    return settle(df.sparkSession, lambda: _profile(df, sample_cap), "profile")
+
+
+def _profile(df: DataFrame, sample_cap: int) -> DataFrame:
+    known, totals, brackets = _first_scan(df)
+    long_facts = {k: casts.lenient(F.col("txt"), k).isNotNull() for k in NARROWER}
+    vc = materialise(counts.count_digests(df, long_facts), "value-counts")
+    names = _numeric(df)
+    positions = [df.columns.index(n) for n in names]
+    ranked = _interpolated(df.sparkSession, names, totals, brackets, QUANTILES, lambda found: _counted_regions(vc, positions, found))
+    facts = known.join(F.broadcast(distinct_counts(vc)), "column_name", "left").fillna(0, ["distinct_count"])
     facts = materialise(facts.withColumn("null_rate", null_rate()), "column-facts")
 
     def listed(rows: DataFrame, order: str, value: Column, name: str) -> DataFrame:
@@ -330,13 +422,14 @@ def profile(df: DataFrame, sample_cap: int = SAMPLE_CAP) -> DataFrame:
 
     bar = F.struct(F.col("label"), F.col("n").alias("count"))
     bins = listed(histogram(vc, facts), "bin", bar, "bins")
-    tops = listed(top_values(vc), "position", bar, "tops")
-    mixed = mixed_types(vc, text_columns(df))
-    off = listed(off_type_values(vc, mixed, sample_cap), "position", F.col("example"), "off_type_examples")
-    shown = listed(samples(vc, sample_cap), "position", F.col("sample"), "samples")
+    mixed = materialise(mixed_types(vc, text_columns(df)), "mixed-types")
+    picked = _picked(df, vc, mixed, sample_cap)
+    tops = listed(top_values(picked["tops"]), "position", bar, "tops")
+    off = listed(off_type_values(picked["misses"], mixed, sample_cap), "position", F.col("example"), "off_type_examples")
+    shown = listed(samples(picked["samples"], sample_cap), "position", F.col("sample"), "samples")
     out = facts
     # every side here is one row per column
-    for part in (quantiles(df), shown, bins, tops, mixed.select("column_name", "dominant_type"), off):
+    for part in (ranked, shown, bins, tops, mixed.select("column_name", "dominant_type"), off):
         out = out.join(F.broadcast(part), "column_name", "left")
     none = F.array().cast("array<string>")
     return out.select(
@@ -350,6 +443,8 @@ def profile(df: DataFrame, sample_cap: int = SAMPLE_CAP) -> DataFrame:
         "distinct_count",
         "minimum",
         "maximum",
+        "minimum_exact",
+        "maximum_exact",
         F.coalesce("quantiles", F.array().cast("array<double>")).alias("quantiles"),
         F.coalesce("samples", none).alias("samples"),
         F.coalesce("bins", "tops", F.array().cast("array<struct<label:string,count:bigint>>")).alias("distribution"),

@@ -33,15 +33,14 @@ def shared_folder(spark: SparkSession) -> str:
     A cluster session must name one.  Only a single-machine session, where the
     driver and the executors share a disk, gets a folder of its own.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     folder = tempfile.mkdtemp(prefix="tablewright-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(folder)  # found again by the next call
+    return shared_folder(spark)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -198,31 +198,92 @@ def profile_offtype(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- P1 whole, P12, S8 ------------------------------------------------------
+KINDS_FULLY = KINDS | {"documents": {"doc_id": "integer", "text": "text", "lang": "text", "source": "text", "n_chars": "integer"}}
+#: What is shown as a list, joined to one text by a character that no value holds.
+_BAR = "chr(31)"
+
+
 def _whole_sql(n: str, c: str, k: str) -> str:
-    numeric = k in t.NUMERIC
-    quantiles = "''"
+    numeric, text = k in t.NUMERIC, k == t.TEXT
+    top = (
+        f"(SELECT string_agg(label || '=' || n, {_BAR} ORDER BY n DESC, label) FROM (SELECT CAST({c} AS VARCHAR) AS label, "
+        f"count(*) AS n FROM {n} WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10))"
+    )
+    bins = f"(SELECT string_agg(label || '=' || n, {_BAR} ORDER BY bin) FROM ({_histogram_sql(n, c, k)}))"
+    quantiles, dominant, off, span = "''", "NULL", "NULL", "NULL"
     if numeric:
         quantiles = (
             f"(SELECT array_to_string(list_transform(quantile_cont(CAST({c} AS DOUBLE), [0.25, 0.5, 0.75]), "
             f"lambda x: CAST(round(x, 2) AS VARCHAR)), ' ') FROM {n})"
         )
+        span = "CAST({end}(" + c + ") AS DOUBLE)"
+    if text:
+        dominant = f"(SELECT dominant_type FROM ({_mixed_sql(n, c, k).replace('mixed_orders', n)}))"
+        fails = " ".join(f"WHEN '{kind}' THEN TRY_CAST(v AS {d}) IS NULL" for kind, d in _CASTS.items())
+        off = (
+            f"(SELECT string_agg(v, {_BAR} ORDER BY v) FROM (SELECT DISTINCT {c} AS v FROM {n} "
+            f"WHERE {c} IS NOT NULL AND CASE {dominant} {fails.replace('v AS', c + ' AS')} ELSE false END ORDER BY 1 LIMIT 20))"
+        )
+    exact = k == t.INTEGER
     return (
-        f"SELECT '{c}' AS column_name, '{k}' AS inferred_type, "
-        f"(SELECT count(*) - count({c}) FROM {n}) AS null_count, (SELECT count(DISTINCT {c}) FROM {n}) AS distinct_count, "
+        f"SELECT '{n}' AS table_name, '{c}' AS column_name, {list(KINDS_FULLY[n]).index(c)} AS position, '{k}' AS inferred_type, "
+        f"false AS is_nested, count(*) AS row_count, count(*) - count({c}) AS null_count, "
+        f"round(CAST(count(*) - count({c}) AS DOUBLE) / count(*), 6) AS null_rate, count(DISTINCT {c}) AS distinct_count, "
+        f"CAST({span.format(end='min')} AS DOUBLE) AS minimum, CAST({span.format(end='max')} AS DOUBLE) AS maximum, "
+        f"{f'CAST(min({c}) AS VARCHAR)' if exact else 'CAST(NULL AS VARCHAR)'} AS minimum_exact, "
+        f"{f'CAST(max({c}) AS VARCHAR)' if exact else 'CAST(NULL AS VARCHAR)'} AS maximum_exact, "
         f"{quantiles} AS quantiles, "
-        f"(SELECT string_agg(CAST(v AS VARCHAR), '|' ORDER BY v) FROM (SELECT DISTINCT {c} AS v FROM {n} "
-        f"WHERE {c} IS NOT NULL ORDER BY 1 LIMIT 20)) AS samples"
+        f"coalesce((SELECT string_agg(CAST(v AS VARCHAR), {_BAR} ORDER BY v) FROM (SELECT DISTINCT {c} AS v FROM {n} "
+        f"WHERE {c} IS NOT NULL ORDER BY 1 LIMIT 20)), '') AS samples, "
+        f"coalesce({f'CASE WHEN count(DISTINCT {c}) > 25 THEN {bins} ELSE {top} END' if numeric else top}, '') AS distribution, "
+        f"{dominant} IS NOT NULL AS is_mixed, CAST({dominant} AS VARCHAR) AS dominant_type, "
+        f"coalesce(CAST({off} AS VARCHAR), '') AS off_type_examples FROM {n}"
     )
 
 
-@suite.query("profile_full", _union_sql(("shop_orders",), _whole_sql))
+def _full_sql(*names: str) -> str:
+    parts = [_whole_sql(n, c, k) for n in names for c, k in KINDS_FULLY[n].items()]
+    return with_shop("shop_orders", "mixed_orders") + " " + " UNION ALL ".join(parts)
+
+
+def _fully(frames: dict[str, DataFrame]) -> DataFrame:
+    """Every field of the profile; the native range is compared for whole numbers, whose text both engines write alike."""
+    shown = {
+        "null_rate": F.round("null_rate", 6),
+        "minimum_exact": F.when(F.col("inferred_type") == t.INTEGER, F.col("minimum_exact")),
+        "maximum_exact": F.when(F.col("inferred_type") == t.INTEGER, F.col("maximum_exact")),
+        "quantiles": F.array_join(F.transform("quantiles", lambda x: F.round(x, 2).cast("string")), " "),
+        "samples": F.array_join("samples", "\x1f"),
+        "distribution": F.concat_ws("\x1f", F.transform("distribution", lambda x: F.concat(x["label"], F.lit("="), x["count"]))),
+        "off_type_examples": F.array_join("off_type_examples", "\x1f"),
+    }
+    return _stacked(frames, lambda df: profile.profile(df).withColumns(shown))
+
+
+@suite.query("profile_full", _full_sql("shop_orders"))
 def profile_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = profile.profile(shop(spark, sf_dir, "shop_orders")["shop_orders"])
-    rounded = F.transform("quantiles", lambda x: F.round(x, 2).cast("string"))
-    return whole.select(
-        "column_name", "inferred_type", "null_count", "distinct_count",
-        F.array_join(rounded, " ").alias("quantiles"), F.array_join("samples", "|").alias("samples"),
-    )
+    return _fully(shop(spark, sf_dir, "shop_orders"))
+
+
+@suite.query("profile_full_texts", _full_sql("mixed_orders", "documents"))
+def profile_full_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents among them, told apart by digests."""
+    return _fully(shop(spark, sf_dir, "mixed_orders") | {"documents": given(spark, sf_dir, "documents")})
+
+
+_FAR = 9_007_199_254_740_993  # the first whole number that no double holds
+
+
+@suite.query(
+    "profile_exact_range",
+    f"SELECT 'id' AS column_name, CAST(min(o_orderkey + {_FAR}) AS VARCHAR) AS minimum_exact, "
+    f"CAST(max(o_orderkey + {_FAR}) AS VARCHAR) AS maximum_exact FROM orders UNION ALL "
+    "SELECT 'cents', CAST(min(CAST(o_totalprice AS DECIMAL(30, 4))) AS VARCHAR), "
+    "CAST(max(CAST(o_totalprice AS DECIMAL(30, 4))) AS VARCHAR) FROM orders",
+)
+def profile_exact_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = given(spark, sf_dir, "orders").selectExpr(f"o_orderkey + {_FAR} AS id", "CAST(o_totalprice AS DECIMAL(30, 4)) AS cents")
+    return profile.column_facts(wide).select("column_name", "minimum_exact", "maximum_exact")
 
 
 def _released_sql(n: str, c: str, k: str) -> str:

@@ -145,6 +145,29 @@ def test_quantiles_of_empty_and_odd_columns(spark):
     assert found["b"] == [1.0, 3.0] and "a" not in found and all(np.isnan(found["c"]))
 
 
+def test_long_texts_are_told_apart_shown_whole_and_ordered(spark):
+    head = "https://example.org/" + "a" * 100
+    rng = np.random.default_rng(5)
+    links = [head + str(i) for i in rng.integers(0, 60, 500)] + ["b", head, head[:64], "", "é" * 70, "é" * 64 + "f"]
+    numbers = ["0" * 80 + str(i % 9) for i in range(len(links) - 30)] + [f"{i % 3}" + "x" * 90 + str(i) for i in range(30)]
+    df = spark.createDataFrame(list(zip(links, numbers)), "link string, code string").repartition(3)
+    p = by_column(profile.profile(df))
+    for name, values in (("link", links), ("code", numbers)):
+        plain = sorted(set(values), key=str.encode)
+        assert p[name]["distinct_count"] == len(plain) and p[name]["samples"] == plain[:20]
+        top = sorted(((-values.count(v), v.encode(), v) for v in plain))[:10]
+        assert [(b["label"], b["count"]) for b in p[name]["distribution"]] == [(v, -n) for n, _, v in top]
+    assert p["code"]["dominant_type"] == "integer" and not p["link"]["is_mixed"]
+    assert p["code"]["off_type_examples"] == sorted(numbers[-30:])[:20]
+
+
+def test_the_range_is_kept_in_the_columns_own_type(spark):
+    df = spark.createDataFrame([(2**53 + 1, Decimal("0.10"), 1.5, "a"), (2**62 + 1, Decimal("12345678901234567890.25"), None, None)], "a bigint, b decimal(30,2), c double, d string")
+    want = {"a": (str(2**53 + 1), str(2**62 + 1)), "b": ("0.10", "12345678901234567890.25"), "c": ("1.5", "1.5"), "d": (None, None)}
+    for found in (profile.column_facts(df), profile.profile(df)):
+        assert {c: (r["minimum_exact"], r["maximum_exact"]) for c, r in by_column(found).items()} == want
+
+
 def test_value_counts_leave_nulls_out(spark):
     df = spark.createDataFrame([("a",), ("a",), (None,), ("b",)], "x string")
     assert rows(counts.value_counts(df, "x")) == [("a", 2), ("b", 1)]
