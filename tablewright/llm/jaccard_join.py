@@ -8,7 +8,8 @@ order of size, index lists follow that order, and of each list only the position
 read whose sizes can still link; the rest is skipped as a block.  The overlaps of a set that is close to
 one already done are derived from that one's answers by the lists of their
 differences alone.  Large groups are cut into blocks by size class; a first round against
-hub blocks connects most sets, and only those left over meet every block.
+hub blocks connects most sets.  Those left over meet only sets that share a prefix list with
+their block, and of the lists only those that still hold two components.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ PERCENT = 75
 BUCKET_BYTES = 8 << 20
 #: Shingles a task gathers before it passes them on.
 HELD = 1 << 20
-#: Sets, and shingles, of one block.
-BLOCK_SETS, BLOCK_SHINGLES = 1000, 1 << 20
+#: Sets, and shingles, of one block; the size of a unit of work.
+BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 18
+#: Sets whose answers others of the unit are derived from.
+LEADERS = 16
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -192,10 +195,10 @@ class Group:
             gone, new = np.setdiff1d(leader, own, True), np.setdiff1d(own, leader, True)
             if 2 * (len(gone) + len(new)) < len(own):
                 return self.leaders[best] - self._count(gone, low, high) + self._count(new, low, high)
-        whole = self._count(own, 0, len(self.sizes))  # a leader's answers serve sets of other sizes too
-        if len(self.leaders) < 16:
-            self.leaders[x] = whole
-        return whole
+        if len(self.leaders) >= LEADERS:
+            return self._count(own, low, high)
+        self.leaders[x] = self._count(own, 0, len(self.sizes))  # a leader's answers serve sets of other sizes too
+        return self.leaders[x]
 
     def links(self, x: int) -> np.ndarray:
         sizes = self.sizes
@@ -262,8 +265,9 @@ def _components_of_documents(docs: DataFrame, id_column: str, text: str) -> Data
     every = index.filter("bucket IS NULL").select("id", "row", "n", "sent", "sig")
     equal = materialise(every.filter("n > 0").groupBy("sig").agg(F.min("row").alias("row")), "equal-sets")
     one = every.join(equal, ["sig", "row"]).select("id", "row", "n", "sent", "sig")  # a row for each distinct set
-    groups = settle(spark, lambda: _groups(index, one), "group-labels")
-    links = settle(spark, lambda: _verified(docs, one, groups, id_column, text), "all-links")
+    prefix = materialise(_prefixes(index, one), "prefixes")
+    groups = settle(spark, lambda: _groups(prefix), "group-labels")
+    links = settle(spark, lambda: _verified(docs, one, groups, prefix, id_column, text), "all-links")
     joined = settle(spark, lambda: components(links), "link-labels")
     named = (
         every.join(equal.withColumnRenamed("row", "node"), "sig", "left")
@@ -278,8 +282,8 @@ def _components_of_documents(docs: DataFrame, id_column: str, text: str) -> Data
     )
 
 
-def _groups(index: DataFrame, one: DataFrame) -> DataFrame:
-    """``node, label`` of the groups: sets that share prefix lists, directly or through others."""
+def _prefixes(index: DataFrame, one: DataFrame) -> DataFrame:
+    """``h, row``: the prefix of each set, without the shingles that no other set has."""
     lists = (
         index.filter("bucket IS NOT NULL").groupBy("bucket")
         .applyInArrow(_repeated, "row bigint, h bigint, df bigint")
@@ -289,11 +293,14 @@ def _groups(index: DataFrame, one: DataFrame) -> DataFrame:
     order = Window.partitionBy("row").orderBy(F.expr("h >= 1L << 47"), F.expr("IF(h >= 1L << 47, 0, df)"), "h")
     alone = F.col("sent") - F.count("*").over(Window.partitionBy("row"))
     wanted = F.expr(f"n - CAST(ceil(n * {PERCENT} / 100) AS BIGINT) + 1")
-    prefix = materialise(
+    return (
         lists.withColumn("place", F.row_number().over(order)).withColumn("room", wanted - alone)
-        .filter("place <= room").select("h", "row"),
-        "prefixes",
+        .filter("place <= room").select("h", "row")
     )
+
+
+def _groups(prefix: DataFrame) -> DataFrame:
+    """``node, label`` of the groups: sets that share prefix lists, directly or through others."""
     first = prefix.groupBy("h").agg(F.min("row").alias("first"), F.count("*").alias("rows")).filter("rows > 1")
     return components(prefix.join(first, "h").selectExpr("row AS u", "first AS v"))
 
@@ -316,7 +323,7 @@ def _sets(docs: DataFrame, members: DataFrame, id_column: str, text: str) -> Dat
     return again.join(members.select("sig", "row", "grp", "n"), "sig").select("row", "grp", "n", "hashes")
 
 
-def _verified(docs: DataFrame, one: DataFrame, groups: DataFrame, id_column: str, text: str) -> DataFrame:
+def _verified(docs: DataFrame, one: DataFrame, groups: DataFrame, prefix: DataFrame, id_column: str, text: str) -> DataFrame:
     """Links enough to connect what is connected, every pair of a group that could link having been looked at."""
     members = materialise(
         one.join(groups.selectExpr("node AS row", "label AS grp"), "row").select("id", "sig", "row", "grp", "n"), "members"
@@ -334,17 +341,11 @@ def _verified(docs: DataFrame, one: DataFrame, groups: DataFrame, id_column: str
     if not work[1]:
         return links
     placed = materialise(_blocks(sets.filter("large")), "blocks")
-    hubs = _links(_pairs(placed.filter("block = 0"), placed, placed.select("row", F.col("row").alias("label"))))
+    hubs = _links(_hub_units(placed))
     label = components(hubs)
-    label = placed.select("row", "grp").join(label.withColumnRenamed("node", "row"), "row", "left").select(
-        "row", "grp", F.coalesce("label", "row").alias("label")
-    )
-    label = materialise(label, "labels")
-    main = label.groupBy("grp", "label").agg(F.count("*").alias("sets")).groupBy("grp").agg(F.max_by("label", "sets").alias("main"))
-    left = label.join(main, "grp").filter("label <> main").select("row")
-    rest = _blocks(placed.drop("class", "block").join(left, "row", "left_semi"))
-    rest_links = _links(_pairs(rest, placed, label.select("row", "label")))
-    return links.union(hubs).union(rest_links)
+    label = placed.select("row", "grp", "class", "block").join(label.withColumnRenamed("node", "row"), "row", "left")
+    label = materialise(label.withColumn("label", F.coalesce("label", "row")), "labels")
+    return links.union(hubs).union(_links(_rest_units(placed, label, prefix)))
 
 
 def _blocks(sets: DataFrame) -> DataFrame:
@@ -356,15 +357,45 @@ def _blocks(sets: DataFrame) -> DataFrame:
     return classed.join(sizes, ["grp", "class"]).withColumn("block", F.expr("pmod(xxhash64(row, 7), blocks)").cast("int")).drop("blocks")
 
 
-def _pairs(left: DataFrame, right: DataFrame, labels: DataFrame) -> DataFrame:
-    """Units of a block of ``left`` and one of ``right`` in the same or a neighbouring class; sets of ``left`` ask."""
-    shape = lambda df, side: df.select("grp", F.col("class").alias(f"{side}c"), F.col("block").alias(f"{side}b")).distinct()
+_UNIT = "concat_ws('/', grp, lc, lb, rc, rb) AS unit"
+
+
+def _hub_units(placed: DataFrame) -> DataFrame:
+    """Units of the first block of a class and any block of the same or a neighbouring class; the sets of the first ask."""
+    shape = placed.select("grp", "class", "block").distinct()
+    hubs = shape.filter("block = 0").selectExpr("grp", "class AS lc", "block AS lb")
     units = materialise(
-        shape(left, "l").join(shape(right, "r"), "grp").filter("abs(lc - rc) <= 1")
-        .withColumn("unit", F.concat_ws("/", "grp", "lc", "lb", "rc", "rb")),
+        hubs.join(shape.selectExpr("grp", "class AS rc", "block AS rb"), "grp").filter("abs(lc - rc) <= 1").selectExpr("*", _UNIT),
         "units",
     )
-    asking = left.join(units.selectExpr("grp", "lc AS class", "lb AS block", "unit"), ["grp", "class", "block"]).withColumn("asked", F.lit(True))
-    asked = right.join(units.selectExpr("grp", "rc AS class", "rb AS block", "unit"), ["grp", "class", "block"]).withColumn("asked", F.lit(False))
-    columns = ["unit", "grp", "row", "asked", "hashes"]
-    return asking.select(columns).union(asked.select(columns)).join(labels, "row").select("unit", "grp", "row", "label", "asked", "hashes")
+    own = F.col("row").alias("label")
+    ask = placed.join(units.selectExpr("grp", "lc AS class", "lb AS block", "unit"), ["grp", "class", "block"])
+    met = placed.join(units.selectExpr("grp", "rc AS class", "rb AS block", "unit"), ["grp", "class", "block"])
+    return ask.select("unit", "grp", "row", own, F.lit(True).alias("asked"), "hashes").union(
+        met.select("unit", "grp", "row", own, F.lit(False).alias("asked"), "hashes")
+    )
+
+
+def _rest_units(placed: DataFrame, label: DataFrame, prefix: DataFrame) -> DataFrame:
+    """Units for the sets outside their group's largest component: a block's askers, and the sets that share a list with one.
+
+    A link that is still missing joins two components, one of them not the largest, and its sets share a
+    prefix list; so lists inside one component need no look, and a set meets only the lists it is in.
+    """
+    main = label.groupBy("grp", "label").agg(F.count("*").alias("sets")).groupBy("grp").agg(F.max_by("label", "sets").alias("main"))
+    listed = prefix.join(label.join(main, "grp"), "row")
+    live = listed.groupBy("h").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("h")
+    listed = materialise(
+        listed.join(live, "h").selectExpr("h", "row", "grp", "label", "class", "block", "label <> main AS rest"), "open-lists"
+    )
+    left = listed.filter("rest").selectExpr("h", "row", "grp", "class AS lc", "block AS lb")
+    right = listed.selectExpr("h", "row", "class AS rc", "block AS rb")
+    near = "abs(lc - rc) <= 1"
+    # by blocks on one side, so a long list costs its sets times the blocks it touches, not its pairs
+    ask = left.join(right.select("h", "rc", "rb").distinct(), "h").filter(near).selectExpr(_UNIT, "row", "true AS asked")
+    met = left.drop("row").distinct().join(right, "h").filter(near).selectExpr(_UNIT, "row", "false AS asked")
+    return (
+        ask.union(met).distinct()
+        .join(label.select("row", "label"), "row").join(placed.select("row", "grp", "hashes"), "row")
+        .select("unit", "grp", "row", "label", "asked", "hashes")
+    )

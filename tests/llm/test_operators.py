@@ -175,6 +175,19 @@ def test_components(spark):
     assert components.components(edges.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("task_edges", [1, 7, 1 << 20])
+def test_components_of_chains_and_random_edges(spark, task_edges):
+    r = np.random.default_rng(3)
+    pairs = [(i, i + 1) for i in range(40)] + [tuple(int(x) for x in 100 + r.integers(0, 90, 2)) for _ in range(70)] + [(500, i) for i in range(400, 430)]
+    label = {x: x for p in pairs for x in p}
+    for _ in label:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    want = {n: x for n, x in label.items() if any(n in p and p[0] != p[1] for p in pairs)}
+    got = components.components(spark.createDataFrame(pairs, "u long, v long").repartition(5), task_edges).collect()
+    assert sorted(map(tuple, got)) == sorted(want.items())
+
+
 @pytest.mark.parametrize("block", [1000, 4])
 def test_jaccard_components_against_all_pairs(spark, docs, none, monkeypatch, block):
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
@@ -186,6 +199,10 @@ def test_jaccard_components_against_all_pairs(spark, docs, none, monkeypatch, bl
         for k in r.choice(120, int(r.integers(0, 7)), replace=False):
             words[k] = f"w{r.integers(1000)}"
         made.append((100 + i, " ".join(words)))
+    for i in range(30):  # one large group by a template, mostly without links: neighbours share rare passages
+        own = [prose(50 + i + k, 16) for k in range(2)]
+        made.append((200 + i, " ".join([prose(12, 40), *own, "x" * (i % 3)])))
+    made += [(240, made[-1][1] + " tail"), (241, made[-7][1] + " tail")]
     got = sorted(map(key, map(tuple, jaccard_join.jaccard_components(spark.createDataFrame(made, "doc_id long, text string")).collect())))
     sets = []
     for _, t in made:
