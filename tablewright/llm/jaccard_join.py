@@ -2,8 +2,9 @@
 
 Equal sets become one.  A set's prefix holds its rarest shingles: two sets that link share one of
 them, and a shingle that only one set has needs no index list, so lists hold
-repeated shingles alone.  Sets that share prefix lists, directly or through others, form a group, and
-every link lies inside a group.  In a group the sets stand in
+repeated shingles alone.  A set's position in a list (how many rarer shingles it has) bounds the sizes it can still link
+with through that list; a common passage at the end of long prefixes thus joins nobody.  Sets that share
+prefix lists in this way, directly or through others, form a group, and every link lies inside a group.  In a group the sets stand in
 order of size, index lists follow that order, and of each list only the positions are
 read whose sizes can still link; the rest is skipped as a block.  The overlaps of a set that is close to
 one already done are derived from that one's answers by the lists of their
@@ -34,7 +35,7 @@ BUCKET_BYTES = 8 << 20
 #: Shingles a task gathers before it passes them on.
 HELD = 1 << 20
 #: Sets, and shingles, of one block; the size of a unit of work.
-BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 18
+BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 19
 #: Sets whose answers others of the unit are derived from.
 LEADERS = 16
 
@@ -283,7 +284,12 @@ def _components_of_documents(docs: DataFrame, id_column: str, text: str) -> Data
 
 
 def _prefixes(index: DataFrame, one: DataFrame) -> DataFrame:
-    """``h, row``: the prefix of each set, without the shingles that no other set has."""
+    """``h, row, n, reach, strong``: the prefix of each set, without the shingles that no other set has.
+
+    If ``h`` is the first shingle that the set shares with another one, their overlap is at most the ``n - place + 1``
+    shingles from there on, so the other one has at most ``reach`` shingles.  The smaller set of a
+    link has to reach its own size at least: it is ``strong`` in that list.
+    """
     lists = (
         index.filter("bucket IS NOT NULL").groupBy("bucket")
         .applyInArrow(_repeated, "row bigint, h bigint, df bigint")
@@ -292,17 +298,28 @@ def _prefixes(index: DataFrame, one: DataFrame) -> DataFrame:
     # the sets' own single shingles are the rarest, so they fill the prefix first
     order = Window.partitionBy("row").orderBy(F.expr("h >= 1L << 47"), F.expr("IF(h >= 1L << 47, 0, df)"), "h")
     alone = F.col("sent") - F.count("*").over(Window.partitionBy("row"))
-    wanted = F.expr(f"n - CAST(ceil(n * {PERCENT} / 100) AS BIGINT) + 1")
     return (
-        lists.withColumn("place", F.row_number().over(order)).withColumn("room", wanted - alone)
-        .filter("place <= room").select("h", "row")
+        lists.withColumn("place", F.row_number().over(order)).withColumn("alone", alone)
+        .withColumn("wanted", F.expr(f"n - CAST(ceil(n * {PERCENT} / 100) AS BIGINT) + 1"))
+        .filter("place <= wanted - alone")
+        # where the upper half was sent too, its single shingles may stand behind: the least place is taken
+        .withColumn("before", F.expr("place - 1 + IF(sent > wanted, alone, 0)"))
+        .withColumn("reach", F.expr(f"(n - before) * {100 + PERCENT} div {PERCENT} - n"))
+        .selectExpr("h", "row", "n", "reach", "reach >= n AS strong")
     )
 
 
 def _groups(prefix: DataFrame) -> DataFrame:
-    """``node, label`` of the groups: sets that share prefix lists, directly or through others."""
-    first = prefix.groupBy("h").agg(F.min("row").alias("first"), F.count("*").alias("rows")).filter("rows > 1")
-    return components(prefix.join(first, "h").selectExpr("row AS u", "first AS v"))
+    """``node, label`` of the groups: sets that share prefix lists with a strong set in reach, directly or through others."""
+    first = (
+        prefix.groupBy("h").agg(
+            F.expr("min(row) FILTER (WHERE strong)").alias("first"), F.count("*").alias("rows"),
+            F.expr("min(n) FILTER (WHERE strong)").alias("least"), F.expr("max(reach) FILTER (WHERE strong)").alias("most"),
+        )
+        .filter("rows > 1 AND first IS NOT NULL")
+    )
+    open_ = prefix.join(first, "h").filter("strong OR least <= reach AND n <= most")
+    return components(open_.selectExpr("row AS u", "first AS v"))
 
 
 def _sets(docs: DataFrame, members: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -384,15 +401,17 @@ def _rest_units(placed: DataFrame, label: DataFrame, prefix: DataFrame) -> DataF
     """
     main = label.groupBy("grp", "label").agg(F.count("*").alias("sets")).groupBy("grp").agg(F.max_by("label", "sets").alias("main"))
     listed = prefix.join(label.join(main, "grp"), "row")
-    live = listed.groupBy("h").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("h")
+    live = listed.groupBy("h").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.max("strong").alias("s"))
     listed = materialise(
-        listed.join(live, "h").selectExpr("h", "row", "grp", "label", "class", "block", "label <> main AS rest"), "open-lists"
+        listed.join(live.filter("a <> b AND s").select("h"), "h")
+        .selectExpr("h", "row", "grp", "class", "block", "strong", "label <> main AS rest"),
+        "open-lists",
     )
-    left = listed.filter("rest").selectExpr("h", "row", "grp", "class AS lc", "block AS lb")
-    right = listed.selectExpr("h", "row", "class AS rc", "block AS rb")
-    near = "abs(lc - rc) <= 1"
+    left = listed.filter("rest").selectExpr("h", "row", "grp", "class AS lc", "block AS lb", "strong AS ls")
+    right = listed.selectExpr("h", "row", "class AS rc", "block AS rb", "strong AS rs")
+    near = "abs(lc - rc) <= 1 AND (ls OR rs)"
     # by blocks on one side, so a long list costs its sets times the blocks it touches, not its pairs
-    ask = left.join(right.select("h", "rc", "rb").distinct(), "h").filter(near).selectExpr(_UNIT, "row", "true AS asked")
+    ask = left.join(right.drop("row").distinct(), "h").filter(near).selectExpr(_UNIT, "row", "true AS asked")
     met = left.drop("row").distinct().join(right, "h").filter(near).selectExpr(_UNIT, "row", "false AS asked")
     return (
         ask.union(met).distinct()
