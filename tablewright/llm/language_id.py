@@ -47,7 +47,7 @@ def _grams(codes: np.ndarray, order: int) -> np.ndarray:
     """Hash of the ``order`` symbols that end at each place; the first ``order - 1`` are of no use."""
     h = np.full(len(codes), order, np.uint64)
     for back in range(order - 1, -1, -1):
-        shifted = np.concatenate([np.zeros(back, np.uint64), codes[: len(codes) - back]]) if back else codes
+        shifted = np.concatenate([np.zeros(back, np.uint64), codes])[: len(codes)]
         h = (h ^ shifted) * _FACTOR
         h ^= h >> np.uint64(29)
     return h
@@ -215,7 +215,10 @@ def chances(entropy: np.ndarray, sharpness: float) -> np.ndarray:
 
 
 def _sample(docs: DataFrame, id_column: str, text: str, lang: str, train: Column) -> DataFrame:
-    """At most ``SLOTS`` labelled documents per language: the one with the smallest hash of each slot."""
+    """At most ``SLOTS`` labelled documents per language: the one with the smallest hash of each slot.
+
+    Rows that share an id, or have none, are in one slot and give one text, the least of them.
+    """
     labelled = docs.filter(train & F.col(lang).isNotNull() & F.col(text).isNotNull())
     mark = F.xxhash64(F.col(id_column).cast("string"))
     chosen = (
@@ -223,15 +226,17 @@ def _sample(docs: DataFrame, id_column: str, text: str, lang: str, train: Column
         .agg(F.min(F.struct(F.xxhash64(mark).alias("h"), F.col(id_column).alias("id"))).alias("x"))
         .select("_lang", "_slot", "x.id")
     )
-    # bounded: SLOTS rows per language
-    return labelled.join(F.broadcast(chosen), F.expr(f"`{lang}` = _lang AND `{id_column}` <=> id")).select(
-        F.col("_lang").cast("string").alias("lang"), F.col("_slot").cast("int").alias("slot"), F.col(text).alias("text")
-    )
+    # bounded: SLOTS rows per language; so is the result, however many rows have one id
+    return labelled.join(F.broadcast(chosen), F.expr(f"`{lang}` = _lang AND `{id_column}` <=> id")).groupBy(
+        F.col("_lang").cast("string").alias("lang"), F.col("_slot").cast("int").alias("slot")
+    ).agg(F.min(text).alias("text"))
 
 
 def _count_language(rows: pd.DataFrame) -> pd.DataFrame:
     words: dict[str, int] = {}
-    for text in rows.loc[rows["slot"] % CALIBRATE != 0, "text"]:
+    counts = rows["slot"] % CALIBRATE != 0
+    # a language that has nothing else is learned from the slots kept for calibration
+    for text in rows.loc[counts if counts.any() else ~counts, "text"]:
         for w in _words(text.encode()):
             words[w] = words.get(w, 0) + 1
     counted = gram_counts(list(words), np.fromiter(words.values(), np.int64, len(words)))
@@ -248,7 +253,7 @@ def train_model(docs: DataFrame, train: Column, id_column: str = "doc_id", text:
     tables = sample.groupBy("lang").applyInPandas(_count_language, kinds).collect()  # n-grams of the sample
     counted: dict[str, list] = {}
     for r in sorted(tables, key=lambda r: r["k"]):
-        if r["grams"]:
+        if r["grams"] or r["lang"] in counted:  # words of one letter have no gram of the highest order
             counted.setdefault(r["lang"], []).append(
                 tuple(np.frombuffer(r[c], np.int64 if c == "counts" else np.uint64) for c in ("grams", "counts", "context", "suffix"))
             )

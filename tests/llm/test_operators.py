@@ -131,6 +131,17 @@ def test_language_models_tell_languages_apart(spark, none):
     assert {r["lang_pred"] for r in language_id.identify(odd, None).collect()} == {"und"}
 
 
+def test_language_sample_is_bounded_and_keeps_rare_languages(spark):
+    rows = [(None, "aa", prose(i, 8)) for i in range(300)] + [(1, "aa", prose(900 + i, 8)) for i in range(50)] + [(i, "aa", prose(i, 8)) for i in range(2, 40)]
+    rows += [(i, f"x{i}", f"{chr(97 + i % 26)}{chr(97 + i // 26)}" * 9) for i in range(1000, 1030)]  # a document each
+    rows += [(2000, "one letter", "b b b"), (2001, "none", "12 --")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    sample = language_id._sample(docs, "doc_id", "text", "lang", F.lit(True))
+    assert sample.groupBy("lang", "slot").count().agg(F.max("count")).first()[0] == 1
+    assert sample.filter("lang = 'aa'").count() <= 40
+    assert len(language_id.train_model(docs, F.lit(True)).languages) == 32  # all but the one without a letter
+
+
 def test_quality_counts_and_verdicts(spark, docs, none):
     text = " ".join("abcdefghi") + "\n" + " ".join("abcdefghi") + "\n\n#x"
     r = quality.document_counts(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
