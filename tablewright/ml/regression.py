@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +22,6 @@ PARAMETERS = {
     "seed": (0, 2**31 - 1, 42),
 }
 STEPS = 1_000_000
-#: Values a tree tells apart per feature; one with more is read as the upper ends of as many quantile bins.
-BINS = 32
-#: Rank error of the bins' ends.
-BIN_ERROR = 0.001
 
 
 class LeakageError(ValueError):
@@ -51,39 +46,6 @@ def in_holdout(row_key: Sequence[str], share: float, seed: int) -> Column:
     return draw(row_key, int(seed)) % STEPS < int(round(share * STEPS))
 
 
-def tree_bins(learn: DataFrame, width: int) -> list[list[float] | None]:
-    """Per entry of ``features`` the upper ends of its bins, or None where its values are few."""
-    values = learn.select(*[vector_to_array("features")[i].alias(f"f{i}") for i in range(width)])
-    kinds = values.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in values.columns]).first()  # one row
-    many = [c for c in values.columns if kinds[c] > BINS]
-    ends = dict(zip(many, values.approxQuantile(many, [k / BINS for k in range(1, BINS + 1)], BIN_ERROR))) if many else {}
-    return [sorted(set(ends[c])) if ends.get(c) else None for c in values.columns]
-
-
-def binned(bins: Sequence[list[float] | None]) -> Column:
-    """``features`` with every value of a binned entry replaced by its bin's upper end."""
-    entries = []
-    for i, ends in enumerate(bins):
-        value = vector_to_array("features")[i]
-        if ends:
-            chosen = F.lit(ends[-1])
-            for end in reversed(ends[:-1]):
-                chosen = F.when(value <= end, F.lit(end)).otherwise(chosen)
-            value = chosen
-        entries.append(value)
-    return array_to_vector(F.array(*entries))
-
-
-def cells(learn: DataFrame) -> DataFrame:
-    """(features, actual, rows): one row per distinct ``features`` with its mean target.
-
-    Squared loss sees rows of equal features only through their number and mean, so trees fitted on cells by
-    weight are trees fitted on the rows; what is left out, the spread inside a cell, is the same for every split.
-    """
-    counted = learn.groupBy(vector_to_array("features").alias("cell")).agg(F.avg("actual").alias("actual"), F.count("*").cast("double").alias("rows"))
-    return counted.select(array_to_vector("cell").alias("features"), "actual", "rows")
-
-
 @dataclass(frozen=True)
 class Regression:
     scores: DataFrame  # model, r2, mae on the holdout
@@ -123,16 +85,13 @@ def train(
     ready = materialise(ready, "regression")
     learn = ready.filter(~F.col("is_holdout"))
     linear = LinearRegression(labelCol="actual", featuresCol="wide", maxIter=100).fit(learn)
-    ready = ready.withColumn("features", binned(tree_bins(learn, len(prepared.inputs))))
     boosted = GBTRegressor(
         labelCol="actual",
-        weightCol="rows",
-        maxBins=BINS,
         seed=int(chosen["seed"]),
         maxIter=int(chosen["n_estimators"]),
         stepSize=float(chosen["learning_rate"]),
         maxDepth=5,
-    ).fit(materialise(cells(ready.filter(~F.col("is_holdout"))), "cells"))
+    ).fit(learn)
 
     by_linear = linear.setPredictionCol("linear").transform(ready)
     both = boosted.setPredictionCol("gbm").transform(by_linear)
