@@ -13,6 +13,7 @@ from tablewright.functions.prefix import running_totals
 from tablewright.ml import evaluate, tiers
 from tablewright.relational import features as windowed
 from tablewright.relational.spec import DatasetSpec, RelationalError, TaskSpec
+from tablewright.session import materialise
 
 GIVEAWAY_AUROC = 0.95
 FEWEST_ROWS = 10
@@ -36,8 +37,9 @@ def permuted_labels(training: DataFrame, entity: str, seed: int) -> DataFrame:
 
 def shuffled_training(training: DataFrame, entity: str, seed: int) -> DataFrame:
     """Permuted labels, dealt again until every split has both classes."""
+    training = materialise(training, "dealt-from")  # read by every deal, twice
     for attempt in range(ATTEMPTS):
-        shuffled = permuted_labels(training, entity, seed + attempt)
+        shuffled = materialise(permuted_labels(training, entity, seed + attempt), "shuffled")
         kinds = shuffled.groupBy("split").agg(F.count_distinct("label").alias("kinds"))
         if kinds.agg(F.min("kinds").alias("least")).first()["least"] >= 2:  # three rows
             return shuffled
@@ -55,7 +57,7 @@ def shuffled_label_canary(
 ) -> DataFrame:
     """Test AUROC of the baseline on shuffled labels; honest wiring scores near 0.5."""
     shuffled = shuffled_training(training, task.entity_column, seed)
-    matrix = windowed.feature_matrix(spec, task, frames, shuffled, paths)
+    matrix = materialise(windowed.feature_matrix(spec, task, frames, shuffled, paths), "canary")  # the fit reads it several times
     scored = tiers.fit_tier(matrix, task, windowed.feature_columns(task, matrix), seed, trees)
     return evaluate.ranking_scores(scored.filter(F.col("split") == "test"), "likelihood", "label")
 

@@ -10,6 +10,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tablewright.ml import evaluate, honesty, prepare, regression, tiers
+from tablewright.suite import training as tr
 
 
 def brute_auc(scores, labels):
@@ -181,3 +182,43 @@ def test_a_truncated_model_sums_its_first_trees(spark):
         assert r["probability"][1] == pytest.approx(1 / (1 + np.exp(-2 * margin)))
     again = GBTClassifier(labelCol="label", maxIter=4, stepSize=0.3, seed=5).fit(df)
     assert rows(again.transform(df), "prediction") == rows(short.transform(df), "prediction")
+
+
+def _matrix(spark, n=80, walked=False):
+    split = F.element_at(F.lit(["train", "val", "test"]), (F.col("id") % 3 + 1).cast("int"))
+    made = spark.range(n).select(
+        F.col("id").alias("customer_id"), F.date_add(F.lit("1999-01-01").cast("date"), F.col("id").cast("int")).alias("as_of"),
+        split.alias("split"), (F.col("id") % 7 < 3).cast("int").alias("label"), (F.col("id") * 1.5).alias("w" if walked else "v"),
+    )
+    return made.drop("split", "label") if walked else made
+
+
+def test_the_canary_computes_its_features_once(spark, monkeypatch):
+    met = spark.sparkContext.accumulator(0)
+
+    def counted(spec, task, frames, training, paths):
+        @F.udf("double")
+        def met_once(v):
+            met.add(1)
+            return v
+
+        return training.withColumn("v", met_once.asNondeterministic()("v"))
+
+    monkeypatch.setattr(honesty.windowed, "feature_matrix", counted)
+    scores = honesty.shuffled_label_canary(tr.SPEC, tr.ADOPTS, {}, _matrix(spark), 13, trees=2)
+    assert scores.first()["positives"] > 0 and met.value == 80
+
+
+def test_every_tier_reads_a_written_matrix(spark, monkeypatch):
+    plans, fit = {}, tiers.fit_tier
+
+    def noted(matrix, task, columns, seed, trees):
+        plans[len(columns), columns[0]] = matrix._jdf.queryExecution().optimizedPlan().toString()
+        return fit(matrix, task, columns, seed, trees)
+
+    monkeypatch.setattr(tiers.windowed, "feature_matrix", lambda spec, task, frames, training, paths: training)
+    monkeypatch.setattr(tiers.neighbors, "graph_features", lambda spec, *rest: _matrix(spark, walked=True))
+    monkeypatch.setattr(tiers, "fit_tier", noted)
+    found = tiers.compare(tr.SPEC, tr.ADOPTS, {}, _matrix(spark), trees=2)
+    assert {r["tier"] for r in found.metrics.collect()} == {"graph", "baseline", "hybrid"}
+    assert plans and not any("Join" in p for p in plans.values())
