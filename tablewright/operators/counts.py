@@ -39,14 +39,32 @@ def text_literal(value: str) -> str:
 def count_values(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """(column_name, whole, real, txt, n) over the non-null values."""
     names = list(names if names is not None else df.columns)
+    cells = _stacked(df, names, range(len(names)))
+    used = _used(df, names)  # parts that are null throughout would only widen every row of the grouping
     return (
-        _stacked(df, names, range(len(names)))
-        .groupBy("col_no", *NATIVE)
+        cells.groupBy("col_no", *used)
         .agg(F.count("*").alias("n"))
-        .select(_name_of(names).alias("column_name"), *NATIVE, "n")
+        .select(
+            _name_of(names).alias("column_name"),
+            *[F.col(p) if p in used else F.lit(None).cast(cells.schema[p].dataType).alias(p) for p in NATIVE], "n",
+        )
     )
 
 
+def _used(df: DataFrame, names: Sequence[str]) -> list[str]:
+    """The parts that a value of one of the columns may fill."""
+    used = set()
+    for name in names:
+        dt = df.schema[name].dataType
+        if isinstance(dt, T.IntegralType):
+            used.add("whole")
+        elif isinstance(dt, (T.FloatType, T.DoubleType)):
+            used.add("real")
+        else:
+            used |= {"real", "txt"} if isinstance(dt, T.DecimalType) else {"txt"}
+    return [p for p in NATIVE if p in used]
+
+
 def _stacked(df: DataFrame, names: Sequence[str], numbers: Sequence[int]) -> DataFrame:
     """(col_no, whole, real, txt): one row per non-null value."""
     kinds = {f.name: f.dataType for f in df.schema.fields}

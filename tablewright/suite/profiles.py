@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewright import types as t
 from tablewright.operators import counts, normalize, profile
-from tablewright.session import scratch_path
+from tablewright.session import materialise, scratch_path
 from tablewright.sources.store import DatasetStore
 from tablewright.suite.registry import Suite
 from tablewright.suite.tables import given, shop, with_shop
@@ -122,7 +122,7 @@ def _histogram_sql(n: str, c: str, k: str) -> str:
 def profile_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     def one(df: DataFrame) -> DataFrame:
         numbers = df.select(*_numeric(df))
-        vc = counts.count_values(numbers)
+        vc = materialise(counts.count_values(numbers), "value-counts")  # read for the distinct counts and for the bins
         facts = profile.column_facts(numbers).join(F.broadcast(profile.distinct_counts(vc)), "column_name")
         return profile.histogram(vc, facts)
 

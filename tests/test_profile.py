@@ -8,6 +8,7 @@ import pytest
 from conftest import rows
 
 from tablewright.operators import counts, profile
+from tablewright.suite import profiles
 
 
 def by_column(df):
@@ -177,3 +178,27 @@ def test_released_samples(spark):
     df = spark.createDataFrame([("x" * 300 + str(i),) for i in range(9)], "long string")
     sent = profile.released_samples(profile.profile(df)).first()
     assert sent["released"] == 5 and {len(s) for s in sent["samples"]} == {200}
+
+
+def test_the_histogram_query_counts_values_once(spark, tmp_path):
+    tables = {
+        "customer": "id AS c_custkey, 'n' AS c_name, 1 AS c_nationkey, id * 0.5D AS c_acctbal, 's' AS c_mktsegment",
+        "orders": "id AS o_orderkey, id AS o_custkey, 'O' AS o_orderstatus, id * 2.0D AS o_totalprice, DATE '1999-01-01' AS o_orderdate, 'p' AS o_orderpriority",
+        "lineitem": "id AS l_orderkey, 1 AS l_linenumber, id AS l_partkey, id AS l_suppkey, id * 1.0D AS l_quantity, id * 3.0D AS l_extendedprice, "
+        "0.1D AS l_discount, 'R' AS l_returnflag, DATE '1999-01-01' AS l_shipdate",
+    }
+    for name, select in tables.items():
+        spark.range(60).selectExpr(*[x.strip() for x in select.split(",")]).write.parquet(str(tmp_path / f"{name}.parquet"))
+    found = profiles.profile_histogram(spark, str(tmp_path))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey") == 1  # for the range alone
+    bins = [r["n"] for r in found.filter("table_name = 'line_items' AND column_name = 'price'").collect()]
+    assert len(bins) == 15 and sum(bins) == 60
+    assert not found.filter("column_name = 'discount'").count()
+
+
+def test_value_counts_keep_all_their_parts(spark):
+    df = spark.createDataFrame([(1, 2.5, Decimal("1.50"), "x")] * 2, "a int, b double, c decimal(9,2), d string")
+    parts = {"a": (1, None, None), "b": (None, 2.5, None), "c": (None, 1.5, "1.50"), "d": (None, None, "x")}
+    assert rows(counts.count_values(df)) == sorted([(c, *v, 2) for c, v in parts.items()], key=repr)
+    for c, v in parts.items():
+        assert rows(counts.count_values(df, [c])) == [(c, *v, 2)]
