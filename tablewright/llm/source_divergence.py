@@ -1,7 +1,7 @@
 """How the sources of each language differ in wording, from chunks that are tokenized once.
 
-Whitespace chunks are counted per document inside the tasks; only (language, source, chunk) totals are shuffled.  Every
-distinct chunk is then cut into terms once, and the terms are joined back to the totals.  A term is kept by the number of
+Whitespace chunks are counted per document inside the tasks; only (language, source, chunk) totals are shuffled.  The chunk of
+each total is then cut into terms once, in the task that holds it.  A term is kept by the number of
 distinct documents that hold it, over all its chunks: a row of totals with fewer than three documents carries them
 all (its first and its last), and one with three or more needs no list.  Hashed marks of the listed documents prove
 most terms; where they fall short of three, the listed documents themselves are counted.  Divergences between all sources of a
@@ -89,11 +89,11 @@ def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source:
             .groupBy("lang", "source", "chunk")
             .agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"), F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"))
         )
-        totals = materialise(totals, "chunk-totals")
-        cut = totals.select("chunk").distinct().select("chunk", F.explode(F.regexp_extract_all("chunk", F.lit(TERM), F.lit(1))).alias("term"))
-        return totals.join(cut, "chunk").drop("chunk")
+        # outer: Catalyst puts no filter on the terms below the grouping, where each chunk would be cut again for every task
+        terms = F.explode_outer(F.regexp_extract_all("chunk", F.lit(TERM), F.lit(1))).alias("term")
+        return totals.select(*totals.columns, terms).drop("chunk").filter("term IS NOT NULL")
 
-    found = settle(docs.sparkSession, chunks_and_terms, "chunk-terms")  # the totals are not needed beside it
+    found = materialise(chunks_and_terms(), "chunk-terms")
     bit = "shiftleft(1L, CAST(pmod(xxhash64({}), 64) AS INT))".format  # two bits never show more documents than there are
     marks = F.expr(f"CASE WHEN n_docs < {LEAST_DOCUMENTS} THEN {bit('first_doc')} | {bit('last_doc')} ELSE 0L END")
     listed = F.expr(f"CASE WHEN n_docs < {LEAST_DOCUMENTS} AND first_doc = last_doc THEN 1L WHEN n_docs < {LEAST_DOCUMENTS} THEN 2L ELSE n_docs END")
