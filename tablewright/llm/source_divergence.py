@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tablewright.llm.text import byte_slices
-from tablewright.session import materialise, settle
+from tablewright.session import materialise, settle, tidy_shuffles
 
 #: A run of ASCII letters and characters beyond ASCII.
 TERM = r"([^\x00-\x40\x5B-\x60\x7B-\x7F]+)"
@@ -176,7 +176,8 @@ def audit(
     terms has pairs of value 0.  ``tile`` sources and ``block_terms`` terms meet in one task.  Ties rank by item.  See ``term_counts`` for nulls, repeats, long texts, empty
     tables and other columns.  Whole numbers throughout.
     """
-    return settle(docs.sparkSession, lambda: _audit(docs, text, lang, source, ranks, tile, block_terms), "source-divergence")
+    with tidy_shuffles(docs.sparkSession):
+        return settle(docs.sparkSession, lambda: _audit(docs, text, lang, source, ranks, tile, block_terms), "source-divergence")
 
 
 def _audit(docs: DataFrame, text: str, lang: str, source: str, ranks: int, tile: int, block_terms: int) -> DataFrame:

@@ -217,3 +217,26 @@ def test_sql_and_numpy_probabilities_agree_beyond_64_bits(spark):
     df = spark.createDataFrame([(c, 10**15, 12345) for c in counts], "n long, total long, terms long")
     got = [r["p"] for r in df.orderBy("n").selectExpr(f"{source_divergence.chance('n', 'total', 'terms')} AS p").collect()]
     assert got == [1 + 10**9 * (c + 1) // (10**15 + 12345) for c in counts]
+
+
+def test_an_audit_joins_no_chunks_and_leaves_no_shuffle_files(spark, monkeypatch):
+    plans, write = {}, source_divergence.materialise
+
+    def noted(df, label):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, label)
+
+    def shuffled():
+        disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        files = disk.getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    monkeypatch.setattr(source_divergence, "materialise", noted)
+    docs = spark.createDataFrame([("a-b cat cat", "en", s) for s in "xyz"] + [("dog, dog", "en", "x")] * 3, "text string, lang string, source string")
+    before, setting = shuffled(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    source_divergence.audit(docs)
+    assert not shuffled() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    assert "Join" not in plans["chunk-terms"]
+    got = {(r["source"], r["term"]): (r["n"], r["m"]) for r in source_divergence.term_counts(docs).collect()}
+    assert got == {(s, t): (n, 3 * n) for s in "xyz" for t, n in (("a", 1), ("b", 1), ("cat", 2))} | {("x", "dog"): (6, 6)}
