@@ -1,222 +1,73 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-A context is a run of words before a position.  Frequent contexts of up to ``DEPTH``
-words are candidates, level by level: a longer one is looked at only if the shorter one is frequent.
+A context is a run of up to ``DEPTH`` words before a position; every one that a training text holds is a candidate.
 A candidate stays if the distribution of the word after it diverges from that of the context
 without its oldest word, or if a longer one stays.  Distributions are smoothed: stored words are discounted and
 the rest of the mass goes to the shorter context, in the end to the root, which knows
 every training word and keeps a part for unknown ones.  A position is scored by the longest
 suffix of its history that is in the tree.
 
-The root's counts are gathered from all training documents and grow with them.  Blocks of
-documents ask for the counts of just the tokens they hold; those come back to each block by a shuffle,
-so no task needs the whole vocabulary.  Contexts are made of words with at least ``WORD_SHARE`` of all tokens, and
-every other part of the tree has a least share too; those shares bound its size, and it is broadcast.
+The tree grows with the corpus and is nowhere whole.  Blocks of documents ask for what they hold: their words and
+n-grams, in lists sorted by hash, are dealt by hash to shards, which add up what all blocks know and answer
+each one.  Rounds do that for the counts of words, for those of n-grams up to the longest context, for the divergence
+test of contexts, and for whether a longer context stays.  What no other block holds needs no asking.  What follows the
+longest contexts is counted where a bound on the test, from how often they occur, leaves it open.
+Words are told apart as they are, n-grams by 64 bits of hash.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.text import SLICE, Numbers, blocks_for, lower_words, raw_texts, slices
-from tablewright.session import materialise
+from tablewright.llm.text import SLICE, Numbers, blocks_for, lower_words
+from tablewright.session import materialise, tidy_shuffles
 
 #: Bytes of text in a block; one task holds one block at a time.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
+#: Shards for each block: a shard holds about as many n-grams as a part of a block.
+SHARDS = 2
 #: Longest context in words.
 DEPTH = 3
-#: Least share of all training tokens: of a word that may be in a context, of a context, and of a word after a context.
-#: Their inverses bound the words, and at each depth the contexts and stored words, of the broadcast tree.
-WORD_SHARE = CONTEXT_SHARE = 1e-5
-STORED_SHARE = 1e-6
 #: Taken off every stored count and left to the shorter context.
 DISCOUNT = 0.5
 #: A context stays if N * divergence (nats) is at least so much for every word it stores.
 GAIN = 3.0
-#: Distinct pairs a counting task holds before it passes them on.
-HELD = 1_000_000
+#: Less than this for n * log(N / n) proves that a context seen n times does not stay by itself, if without its oldest word it is seen N
+#: times.  A word that follows it m times has a chance of at least (m - DISCOUNT) / N after the shorter one, so k stored
+#: words gain at most n * log(N / n) - k * log(1 - DISCOUNT), and k is at least 1.  A little is left for rounding.
+LEAST_GAIN = 2 * GAIN + math.log(1 - DISCOUNT) - 1e-3
 
 END = "\n"  # the token that ends every text; no word holds white space
 
 
-@dataclass
-class Level:
-    """Contexts of one length: sorted keys (shorter context, oldest word) and how often something follows each."""
-
-    keys: np.ndarray
-    totals: np.ndarray
-    first: int  # the nodes are numbered first, first + 1, ...
-
-
-@dataclass
-class Tree:
-    """Node 0 is the root.  A node's key is (node of its newer words) * base + its oldest word."""
-
-    words: dict[bytes, int]
-    base: int
-    levels: list[Level] = field(default_factory=list)
-    stored: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # sorted keys (node, next word)
-    chance: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    leave: np.ndarray = field(default_factory=lambda: np.ones(1))  # factor on the shorter context's chance, per node
-    parent: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-
-    def number(self, words: list[bytes]) -> np.ndarray:
-        get = self.words.get
-        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-
-    def states(self, ids: np.ndarray, place: np.ndarray, exact: int | None = None) -> np.ndarray:
-        """The longest context in the tree before each position; -1 unless of length ``exact``, if that is given.
-
-        ``place`` is the position in its own text, so no history crosses into another one.
-        """
-        state = np.zeros(len(ids), np.int64)
-        open_ = np.arange(len(ids))
-        for back, level in enumerate(self.levels, 1):
-            open_ = open_[place[open_] >= back]
-            older = ids[open_ - back]
-            found, at = find(level.keys, state[open_] * self.base + older, older >= 0)
-            if exact == back:
-                state = np.full(len(ids), -1, np.int64)
-            open_ = open_[found]
-            state[open_] = level.first + at
-        return state
-
-    def log10(self, ids: np.ndarray, place: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """log10 of every token's chance after its history; ``root`` holds the chances without one."""
-        state = self.states(ids, place)
-        out = np.log10(root)
-        open_ = np.flatnonzero(state)
-        while len(open_):
-            found, at = find(self.stored, state[open_] * self.base + ids[open_], ids[open_] >= 0)
-            # a stored word takes its chance; another one takes the factor and asks the shorter context
-            stop = open_[found]
-            out[stop] += np.log10(self.chance[at]) - np.log10(root[stop])
-            rest = np.delete(open_, found)
-            out[rest] += np.log10(self.leave[state[rest]])
-            state[rest] = self.parent[state[rest]]
-            open_ = rest[state[rest] > 0]
-        return out
-
-
-def find(table: np.ndarray, keys: np.ndarray, usable: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in ``keys`` that occur in the sorted ``table``, and where."""
-    if not len(table):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    hit = np.flatnonzero(usable & (table[at] == keys))
-    return hit, at[hit]
-
+def packed(values: np.ndarray) -> bytes:
+    """Numbers from 0 in as few bytes as the largest needs, one plane of bytes after another."""
+    wide = np.ascontiguousarray(values, "<u8")
+    width = max(1, -(-int(wide.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + wide.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
-def grow(tree: Tree, root: np.ndarray, counts: list[dict[int, np.ndarray]]) -> Tree:
-    """Chances, divergence test and pruning of the candidate ``tree``.
-
-    ``counts[depth]``: sorted ``keys`` (node, word) and ``n``; ``root``: chances of the tree's words.
-    """
-    base = tree.base
-    nodes = 1 + sum(len(level.keys) for level in tree.levels)
-    parent, leave = np.zeros(nodes, np.int64), np.ones(nodes)
-    keep = np.zeros(nodes, bool)
-    keep[0] = True
-    keys, chance = np.zeros(0, np.int64), np.zeros(0)
-    for depth, (level, found) in enumerate(zip(tree.levels, counts)):
-        size = len(level.keys)
-        parent[level.first : level.first + size] = level.keys // base
-        node, word, n = found["keys"] // base, found["keys"] % base, found["n"]
-        own = node - level.first
-        p = (n - DISCOUNT) / level.totals[own]
-        shorter = _chances(keys, chance, leave, parent, root, parent[node], word, base)
-        rest = 1 - np.bincount(own, p, size)
-        spare = np.maximum(1 - np.bincount(own, shorter, size), 1e-12)
-        left = level.totals - np.bincount(own, n, size)
-        leave[level.first : level.first + size] = rest / spare
-        gain = np.bincount(own, n * np.log(n / level.totals[own] / shorter), size)
-        gain += np.where(left > 0, left * np.log(np.maximum(left, 1) / level.totals / spare), 0)
-        keep[level.first : level.first + size] = gain >= GAIN * (np.bincount(own, minlength=size) + 1)
-        order = np.argsort(np.concatenate([keys, found["keys"]]))
-        keys, chance = np.concatenate([keys, found["keys"]])[order], np.concatenate([chance, p])[order]
-    for level in reversed(tree.levels):
-        mine = np.arange(level.first, level.first + len(level.keys))
-        keep[parent[mine[keep[mine]]]] = True
-    return _prune(tree, keep, keys, chance, leave, parent)
-
-
-def _chances(keys, chance, leave, parent, root, node, word, base) -> np.ndarray:
-    """Chance of ``word`` after ``node`` in the levels that are ready."""
-    out = np.ones(len(word))
-    node, open_ = node.copy(), np.arange(len(word))
-    while len(open_):
-        at_root = open_[node[open_] == 0]
-        out[at_root] *= root[word[at_root]]
-        open_ = open_[node[open_] > 0]
-        found, at = find(keys, node[open_] * base + word[open_], np.ones(len(open_), bool))
-        out[open_[found]] *= chance[at]
-        open_ = np.delete(open_, found)
-        out[open_] *= leave[node[open_]]
-        node[open_] = parent[node[open_]]
-    return out
-
-
-def _prune(tree: Tree, keep: np.ndarray, keys, chance, leave, parent) -> Tree:
-    """The kept nodes, numbered anew; each level stays sorted because numbering keeps the order."""
-    number = np.cumsum(keep) - 1
-    levels = []
-    for level in tree.levels:
-        mine = keep[level.first : level.first + len(level.keys)]
-        old = level.keys[mine]
-        levels.append(Level(number[old // tree.base] * tree.base + old % tree.base, level.totals[mine], 1 + sum(len(x.keys) for x in levels)))
-    stays = keep[keys // tree.base]
-    old = keys[stays]
-    return Tree(
-        tree.words, tree.base, levels, number[old // tree.base] * tree.base + old % tree.base,
-        chance[stays], leave[keep], number[parent[keep]],
-    )
-
-
-def _asked(table: pa.Table) -> pa.Table:
-    """A block's distinct tokens and how often each occurs in its training documents."""
-    number: Numbers = Numbers()
-    counts = np.zeros(1 << 16, np.int64)
-    ends = 0
-    for raw, train in zip(table.column("text").cast(pa.binary()).to_pylist(), table.column("train").to_pylist()):
-        ids = number.of(lower_words(raw or b""))
-        while len(number) > len(counts):
-            counts = np.concatenate([counts, np.zeros_like(counts)])
-        if train:
-            ends += 1
-            if len(ids):
-                np.add.at(counts, ids, 1)
-    tokens = [*number, END.encode()]
-    block = table.column("block")[0].as_py()
-    return pa.table(
-        {
-            "block": pa.array([block] * len(tokens), pa.int32()),
-            "token": pa.array(tokens, pa.binary()).cast(pa.string()),
-            "n": pa.array([*counts[: len(number)].tolist(), ends], pa.int64()),
-        }
-    )
 
+def unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, : raw[0]] = planes.T
+    return wide.view("<i8").ravel()
 
-def token_table(placed: DataFrame) -> DataFrame:
-    """``block, token, c, first``: every block's tokens with their count over all blocks; ``first`` marks one row per token.
 
-    A token has one row per block that holds it, however often it occurs there.
-    """
-    asked = placed.groupBy("block").applyInArrow(_asked, "block int, token string, n bigint")
-    same = Window.partitionBy("token")
-    return materialise(
-        asked.select(
-            "block", "token", F.sum("n").over(same).alias("c"),
-            (F.row_number().over(same.orderBy("block")) == 1).alias("first"),
-        ),
-        "lm-tokens",
-    )
+def _mixed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    key = context * np.uint64(0x9E3779B97F4A7C15) + word
+    key ^= key >> np.uint64(32)
+    key *= np.uint64(0xD6E8FEB86659FD93)
+    key ^= key >> np.uint64(29)
+    return key
 
 
 @dataclass
@@ -237,93 +88,356 @@ class Root:
         return np.where(counts > 0, counts - self.discount, self.discount * self.kinds) / self.total
 
 
-def _pair_counts(docs: DataFrame, tree: Tree, depth: int) -> DataFrame:
-    """``key, n`` over the contexts of length ``depth``: key is (node, next word), or -1 - node for all that follows a node."""
-    shared = docs.sparkSession.sparkContext.broadcast(tree)  # bounded by the shares
+class Grams:
+    """The distinct n-grams of a block, for each length, sorted by hash: the same whatever the order of the texts.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
-        held: list[np.ndarray] = []
+    ``context`` is an n-gram without its last word and ``shorter`` one without its first, as places in the
+    lists of the length below.  Index 0 is for length 1.
+    """
+
+    def __init__(self, words: np.ndarray, at: np.ndarray, sizes: np.ndarray, train: np.ndarray):
+        """``words``: sorted hashes; ``at``: which of them stands at each position of the texts laid end to end."""
+        self.place = np.arange(len(at), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
+        self.learnt = np.repeat(train, sizes)
+        size = len(words)
+        self.keys, self.at = [words], [at]  # ``at``: the n-gram that ends at each position, or -1
+        self.held = [np.bincount(at[self.learnt], minlength=size)]  # how often training texts of the block hold it
+        self.asked = [np.bincount(at, minlength=size) > self.held[0]]  # if another text of the block holds it
+        none = np.zeros(0, np.int32)
+        self.context, self.shorter = [none], [none]
+
+    def lengthen(self, contexts: np.ndarray | None = None) -> None:
+        """Adds the n-grams one word longer, of ``contexts`` (true or false for each of the longest so far) if given."""
+        last = self.at[-1]
+        open_ = self.place >= len(self.at)
+        if contexts is not None:
+            open_[1:] &= contexts[last[:-1]] if contexts.any() else False
+        ends = np.flatnonzero(open_).astype(np.int32)
+        key = _mixed(self.keys[-1][last[ends - 1]], self.keys[0][self.at[0][ends]])
+        order = np.argsort(key)
+        key, ends = key[order], ends[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        starts = np.flatnonzero(new)
+        first = ends[starts]
+        mine = np.full(len(last), -1, np.int32)
+        mine[ends] = np.cumsum(new, dtype=np.int32) - 1
+        held = np.add.reduceat(self.learnt[ends], starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
+        self.keys.append(key[starts])
+        self.at.append(mine)
+        self.held.append(held)
+        self.asked.append(np.diff(starts, append=len(key)) > held)
+        self.context.append(last[first - 1])
+        self.shorter.append(last[first])
+
+
+def _bounds(shards: int) -> np.ndarray:
+    """The least hash of each shard."""
+    return np.array([-(-(s << 64) // shards) for s in range(shards)], np.uint64)
+
+
+#: Rows of a block: its texts (round -1), lists for a shard, and the answers of a round to them.
+_ROWS = "block int, round int, shard int, keys binary, numbers binary, sums binary"
+_ROW = pa.schema(
+    [("block", pa.int32()), ("round", pa.int32()), ("shard", pa.int32())] + [(c, pa.binary()) for c in ("keys", "numbers", "sums")]
+)
+
+
+def _rows(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ROW)], schema=_ROW)
+
+
+def _deal(block: int, round_: int, shards: int, keys: list[np.ndarray], numbers: list[np.ndarray], *sums: list[np.ndarray]) -> pa.Table:
+    """Rows for the shards: hashes as differences, numbers, and sums (8 bytes each), all in the order of hashes."""
+    key = np.concatenate(keys)
+    order = np.argsort(key, kind="stable")
+    key, number, sums = key[order], np.concatenate(numbers)[order], [np.concatenate(s)[order] for s in sums]
+    low = _bounds(shards)
+    return _rows([
+        (block, round_, s, packed(np.diff(key[at], prepend=low[s])), packed(number[at]), b"".join(x[at].tobytes() for x in sums))
+        for s, at in _dealt(key, low)
+    ])
+
+
+def _dealt(key: np.ndarray, low: np.ndarray) -> list[tuple[int, slice]]:
+    cut = [*np.searchsorted(key, low).tolist(), len(key)]
+    return [(s, slice(cut[s], cut[s + 1])) for s in range(len(low)) if cut[s + 1] > cut[s]]
+
+
+def _answered(dealt: DataFrame, shards: int, answer: Callable) -> DataFrame:
+    """What the shards make of the rows dealt to them: an answer to each row.
+
+    ``answer(place, size, numbers, sums)`` gets all rows of a shard end to end in the order of blocks; ``place`` is the
+    place of each hash among ``size`` distinct ones.  It returns numbers and, or None, sums.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["block"])
+        low = _bounds(shards)[rows[0]["shard"]]
+        keys = [low + np.cumsum(unpacked(r["keys"]).view(np.uint64)) for r in rows]
+        sizes = [len(k) for k in keys]
+        numbers = np.concatenate([unpacked(r["numbers"]) for r in rows])
+        sums = np.concatenate([np.frombuffer(r["sums"]).reshape(-1, n) for r, n in zip(rows, sizes)], axis=1)
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        numbers, sums = answer(place, len(distinct), numbers, sums)
+        parts = [slice(end - n, end) for end, n in zip(np.cumsum(sizes), sizes)]
+        return _rows([
+            (r["block"], r["round"], r["shard"], None, packed(numbers[at]), b"" if sums is None else sums[at].tobytes())
+            for r, at in zip(rows, parts)
+        ])
+
+    return dealt.groupBy("shard").applyInArrow(run, _ROWS)
+
+
+def _count(place: np.ndarray, size: int, numbers: np.ndarray, sums: np.ndarray):
+    """Round 1, of counts: 4 * the count of all, + 2 if several blocks hold it, + 1 for the first that counted any."""
+    total = np.bincount(place, numbers, size).astype(np.int64)
+    several = np.bincount(place, minlength=size) > 1
+    counted = np.flatnonzero(numbers)[::-1]
+    first = np.zeros(size, np.int64)
+    first[place[counted]] = counted  # of equal places the last one assigned stays
+    mine = np.zeros(len(place), bool)
+    mine[first[total > 0]] = True
+    return 4 * total[place] + 2 * several[place] + mine, None
+
+
+def _diverge(place: np.ndarray, size: int, numbers: np.ndarray, sums: np.ndarray):
+    """Round 2, of 2 * stored words, + 1 if the block asks for chances: 2 * those of all, + 1 if the context stays by itself."""
+    kinds = np.bincount(place, numbers >> 1, size).astype(np.int64)
+    gain, spent = np.bincount(place, sums[0], size), np.bincount(place, sums[1], size)
+    return 2 * kinds[place] + (gain >= GAIN)[place], np.where(numbers & 1, spent[place], 0.0)
+
+
+def _follow(place: np.ndarray, size: int, numbers: np.ndarray, sums: np.ndarray):
+    """Round 3, of the words after the longest contexts, by context: 2 * the count in the block, + 1 if it asks for the factor;
+    the hash of the n-gram and the word's chance after the shorter context.
+
+    Answers 2 * the count of all, + 1 if the context stays by itself, and the factor on the shorter context's chance.
+    """
+    distinct, at, gram = np.unique(sums[0].view(np.uint64), return_index=True, return_inverse=True)
+    n = np.bincount(gram, numbers >> 1, len(distinct)).astype(np.int64)
+    context, chance = place[at], sums[1][at]
+    stored = np.flatnonzero(n)
+    context, m, chance = context[stored], n[stored], chance[stored]
+    total = np.bincount(context, m, size)
+    kinds, spent = np.bincount(context, minlength=size), np.bincount(context, chance, size)
+    gain = np.bincount(context, m * np.log(m / total[context] / chance), size)
+    stays = (kinds > 0) & (gain >= GAIN * (kinds + 1))
+    left = _left(kinds, total, spent)
+    return 2 * n[gram] + stays[place], np.where(numbers & 1, left[place], 0.0)
+
+
+def _left(kinds: np.ndarray, total: np.ndarray, spent: np.ndarray) -> np.ndarray:
+    """The factor on the shorter context's chance: what the discount frees, over what the stored words leave of it."""
+    return DISCOUNT * kinds / np.maximum(total, 1) / np.maximum(1 - spent, 1e-12)
+
+
+def _any(place: np.ndarray, size: int, numbers: np.ndarray, sums: np.ndarray):
+    """Round 4, of whether a longer context stays."""
+    return (np.bincount(place, numbers, size) > 0)[place], None
+
+
+class Block:
+    """A block's n-grams and, step by step, what the rounds answered; ``table`` holds its rows.  Index 0 is for length 1."""
+
+    def __init__(self, table: pa.Table, root: Root):
+        self.root = root
+        self.rows: dict[int, list[dict]] = {r: [] for r in range(-1, 5)}
+        for row in table.to_pylist():
+            self.rows[row["round"]].append(row)
+        (text,) = self.rows.pop(-1)
+        self.number = text["block"]
+        self.docs = pa.ipc.open_stream(text["sums"]).read_all()
+        self.sizes = self.docs.column("size").to_numpy()
+        known = self._found(0)[0]
+        self.n = [known >> 1]
+        at = unpacked(text["numbers"]).astype(np.int32)
+        train = self.docs.column("train").to_numpy().astype(bool)
+        self.grams = g = Grams(np.frombuffer(text["keys"], np.uint64), at, self.sizes, train)
+        alone = (known & 1).astype(bool)
+        self.open = [~alone]
+        for i in range(1, DEPTH):
+            g.lengthen()
+            # an n-gram with a word that no other block has is in no other block
+            self.open.append(self.open[-1][g.context[i]] & self.open[-1][g.shorter[i]])
+
+    def counts_dealt(self, shards: int) -> pa.Table:
+        g, at = self.grams, self.open[1:]
+        return _deal(self.number, 1, shards, _where(g.keys[1:], at), _where(g.held[1:], at))
+
+    def counted(self) -> None:
+        """Counts of all blocks; from them the chances of stored words, and this block's part in the test of its contexts."""
+        g = self.grams
+        self.several, self.chance = [self.open[0]], [self.root.chances(self.n[0])]
+        self.gain, self.kinds, self.spent = [], [], []
+        for i, (found, _) in enumerate(self._answers(1, self.open[1:], 1), 1):
+            n, several = g.held[i].copy(), np.zeros(len(g.keys[i]), bool)
+            mine = n > 0
+            at = self.open[i]
+            n[at], several[at], mine[at] = found >> 2, found & 2, found & 1
+            self.n.append(n)
+            self.several.append(several)
+            total = self.n[i - 1][g.context[i]]
+            self.chance.append(np.where(n > 0, (n - DISCOUNT) / np.maximum(total, 1), 0.0))
+            # every stored word counts in one block only
+            mine = np.flatnonzero(mine)
+            n, total, context = n[mine], total[mine], g.context[i][mine]
+            shorter = self.chance[i - 1][g.shorter[i][mine]]
+            size = len(g.keys[i - 1])
+            # of no rows at all, bincount makes whole numbers
+            self.gain.append(np.bincount(context, n * np.log(n / total / shorter) - GAIN, size).astype(float))
+            self.kinds.append(np.bincount(context, minlength=size))
+            self.spent.append(np.bincount(context, shorter, size).astype(float))
+        self.shared = [s & (n > 0) for s, n in zip(self.several[: DEPTH - 1], self.n)]
+        n = np.maximum(self.n[-1], 1)
+        self.longest = (self.n[-1] > 0) & (n * np.log(self.n[-2][g.shorter[-1]] / n, where=self.n[-1] > 0, out=np.zeros(len(n))) >= LEAST_GAIN)
+        g.lengthen(self.longest)
+
+    def tests_dealt(self, shards: int) -> pa.Table:
+        g, at = self.grams, self.shared
+        numbers = [2 * k + a for k, a in zip(self.kinds, g.asked)]
+        tests = _deal(self.number, 2, shards, *(_where(x, at) for x in (g.keys, numbers, self.gain, self.spent)))
+        after = _deal(
+            self.number, 3, shards, [g.keys[-2][g.context[-1]]], [2 * g.held[-1] + g.asked[-1]],
+            [g.keys[-1].view(np.float64)], [self.chance[-1][g.shorter[-1]]],
+        )
+        return pa.concat_tables([tests, after])
+
+    def tested(self) -> None:
+        """Which contexts stay by themselves, and which of this block's have a longer one that stays."""
+        g = self.grams
+        self.stays = [gain >= GAIN for gain in self.gain]
+        for i, (found, spent) in enumerate(self._answers(2, self.shared, 0)):
+            at = self.shared[i]
+            self.stays[i][at], self.kinds[i][at], self.spent[i][at] = found & 1, found >> 1, spent
+        self.left = [_left(k, n, s) for k, n, s in zip(self.kinds, self.n, self.spent)]
+        found, left = self._found(3)
+        order = np.argsort(g.keys[-2][g.context[-1]], kind="stable")
+        n = np.zeros(len(order), np.int64)
+        n[order] = found >> 1
+        self.n.append(n)
+        context = g.context[-1][order]
+        self.chance.append(np.where(n > 0, (n - DISCOUNT) / np.maximum(self.n[-2][g.context[-1]], 1), 0.0))
+        self.stays.append(np.zeros(len(g.keys[-2]), bool))
+        self.stays[-1][context] = found & 1
+        self.left.append(np.zeros(len(g.keys[-2])))
+        np.maximum.at(self.left[-1], context, left)  # those that the block asked for, the others are 0
+        self.longer = [np.zeros(len(s), bool) for s in self.stays]
+        for i in range(DEPTH - 1, 0, -1):
+            self.longer[i - 1][g.shorter[i][self.stays[i] | self.longer[i]]] = True
+
+    def longer_dealt(self, shards: int) -> pa.Table:
+        return _deal(self.number, 4, shards, _where(self.grams.keys, self.shared), _where(self.longer, self.shared))
+
+    def scores(self) -> pa.Table:
+        """The rows of the result without ``train_tokens``."""
+        g = self.grams
+        for i, (found, _) in enumerate(self._answers(4, self.shared, 0)):
+            self.longer[i][self.shared[i]] = found
+        chance = np.log10(self.chance[0])
+        value = chance[g.at[0]]
+        for i in range(1, DEPTH + 1):
+            kept = (self.stays[i - 1] | self.longer[i - 1])[g.context[i]]
+            # a stored word takes its chance; another one takes the factor and asks the shorter context
+            chance = chance[g.shorter[i]]
+            stored = kept & (self.n[i] > 0)
+            chance[stored] = np.log10(self.chance[i][stored])
+            asks = kept & (self.n[i] == 0)
+            chance[asks] += np.log10(self.left[i - 1][g.context[i][asks]])
+            there = np.flatnonzero(g.at[i] >= 0)
+            value[there] = chance[g.at[i][there]]
+        starts = np.cumsum(self.sizes) - self.sizes
+        even = math.log10(self.root.total + self.root.kinds + 1)
+        return pa.table({
+            "id": self.docs.column("id"),
+            "n_tokens": pa.array(self.sizes),
+            "n_known": pa.array(np.add.reduceat((self.n[0] > 0).astype(np.int64)[g.at[0]], starts)),
+            "base_score": pa.array(np.add.reduceat((np.log10(self.n[0] + 1.0) - even)[g.at[0]], starts)),
+            "score": pa.array(np.add.reduceat(value, starts)),
+        })
+
+    def _found(self, round_: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and sums that a round answered, in the order of hashes."""
+        rows = sorted(self.rows.pop(round_), key=lambda r: r["shard"])
+        numbers = [unpacked(r["numbers"]) for r in rows]
+        sums = [np.frombuffer(r["sums"]) for r in rows]
+        return np.concatenate([np.zeros(0, np.int64), *numbers]), np.concatenate([np.zeros(0), *sums])
+
+    def _answers(self, round_: int, wanted: list[np.ndarray], first: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Numbers and sums of the ``wanted`` n-grams, for each length from index ``first``."""
+        keys = _where(self.grams.keys[first:], wanted)
+        order = np.argsort(np.concatenate(keys), kind="stable")
+        parts = np.cumsum([len(k) for k in keys])[:-1]
+        out = []
+        for found in self._found(round_):
+            back = np.zeros(len(order), found.dtype)
+            if len(found):
+                back[order] = found
+            out.append(np.split(back, parts))
+        return list(zip(*out))
+
+
+def _where(lists: list[np.ndarray], at: list[np.ndarray]) -> list[np.ndarray]:
+    return [x[a] for x, a in zip(lists, at)]
+
+
+def _by_hash(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens' order by hash, by themselves where that is equal, and their hashes in it."""
+    held = np.empty(len(tokens), object)
+    held[:] = tokens
+    key = pd.util.hash_array(held, categorize=False)
+    order = np.argsort(key, kind="stable")
+    if (key[order][1:] == key[order][:-1]).any():
+        order = np.array(sorted(range(len(tokens)), key=lambda i: (key[i], tokens[i])))
+    return order, key[order]
+
+
+def _read(table: pa.Table, shards: int) -> pa.Table:
+    """A block's texts as numbers of its tokens, and for each shard the tokens with how often its training documents hold them."""
+    number: Numbers = Numbers()
+    end = END.encode()
+    ids, sizes = [], []
+    for part in _parts(table.column("text")):
+        words = [[*lower_words(raw or b""), end] for raw in part]
+        ids.append(number.of([w for t in words for w in t]).astype(np.int32))
+        sizes.extend(map(len, words))
+    tokens = list(number)
+    order, keys = _by_hash(tokens)
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    at = rank[np.concatenate(ids)]
+    train = table.column("train").combine_chunks()
+    counts = np.bincount(at[np.repeat(train.to_numpy(zero_copy_only=False), sizes)], minlength=len(order))
+    docs = pa.table({"id": table.column("id"), "size": pa.array(sizes, pa.int64()), "train": train.cast(pa.int8())})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, docs.schema) as stream:
+        stream.write_table(docs)
+    block = table.column("block")[0].as_py()
+    tokens = [tokens[i] for i in order.tolist()]
+    return _rows([
+        (block, -1, -1, keys.tobytes(), packed(at), sink.getvalue().to_pybytes()),
+        *((block, 0, s, b" ".join(tokens[part]), packed(counts[part]), None) for s, part in _dealt(keys, _bounds(shards))),
+    ])
 
-        def counted() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
 
-        for batch in slices(batches):
-            ids, place = _numbered(tree, [lower_words(r) for r in raw_texts(batch.column(0))])
-            state = tree.states(ids, place, exact=depth)
-            at = np.flatnonzero(state > 0)
-            held.append(-1 - state[at])
-            at = at[ids[at] >= 0]
-            held.append(state[at] * tree.base + ids[at])
-            if sum(map(len, held)) > HELD:
-                yield counted()
-        if held:
-            yield counted()
+_STATS = "total bigint, kinds bigint, once bigint"
 
-    pairs = docs.select("text").mapInArrow(run, "key bigint, n bigint")
-    return pairs.groupBy("key").agg(F.sum("n").alias("n"))
 
+def _words(table: pa.Table) -> pa.Table:
+    """Round 0, of the counts of words, told apart by themselves: 2 * the count of all, + 1 if no other block has it.
 
-def _numbered(tree: Tree, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """The tree's numbers of all tokens, each text closed by its end, and the place of each in its text."""
-    end = END.encode()
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    ids = tree.number([w for t in texts for w in (*t, end)])
-    return ids, np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-
-
-def learn(docs: DataFrame, tokens: DataFrame, root: Root) -> Tree:
-    """The tree over training rows ``docs`` (text), whose distinct tokens and counts are ``tokens``."""
-    # everything collected here has at least its share of all tokens: bounded whatever the corpus
-    frequent = tokens.filter(F.col("c") >= max(1.0, WORD_SHARE * root.total)).orderBy("token").collect()
-    tree = Tree({r["token"].encode(): i for i, r in enumerate(frequent)}, max(1, len(frequent)))
-    totals = np.array([r["c"] for r in frequent], np.int64)
-    words = root.chances(totals)
-    least, nodes = max(1.0, CONTEXT_SHARE * root.total), 1
-    candidates = np.flatnonzero(totals >= least)
-    candidates = candidates[[frequent[i]["token"] != END for i in candidates]] if len(candidates) else candidates
-    counts = []
-    for depth in range(1, DEPTH + 1):
-        if not len(candidates):
-            break
-        tree.levels.append(Level(np.sort(candidates), np.zeros(len(candidates), np.int64), nodes))
-        level = tree.levels[-1]
-        nodes += len(candidates)
-        found = _pair_counts(docs, tree, depth).filter(F.col("n") >= max(1.0, STORED_SHARE * root.total)).toArrow()
-        keys, n = found.column("key").to_numpy(), found.column("n").to_numpy()
-        level.totals[-1 - keys[keys < 0] - level.first] = n[keys < 0]
-        stored = keys >= 0
-        order = np.argsort(keys[stored])
-        counts.append({"keys": keys[stored][order], "n": n[stored][order]})
-        # a longer candidate (older words, newest word) is one of the pairs just counted
-        often = counts[-1]["keys"][counts[-1]["n"] >= least]
-        candidates = _longer(tree, often, tree.words.get(END.encode(), -1))
-    for level in tree.levels:
-        level.totals = np.maximum(level.totals, 1)
-    return grow(tree, words, counts)
-
-
-def _longer(tree: Tree, pairs: np.ndarray, end: int) -> np.ndarray:
-    """Keys of the contexts one word longer: for node (w1 .. wk) and word w, the context w1 .. wk w."""
-    node, word = pairs // tree.base, pairs % tree.base
-    node, word = node[word != end], word[word != end]
-    spelled = []
-    level = len(tree.levels) - 1
-    while level >= 0:  # the oldest word is in the node's own key, the newer ones in its parents'
-        own = tree.levels[level]
-        key = own.keys[node - own.first]
-        spelled.append(key % tree.base)
-        node, level = key // tree.base, level - 1
-    state = np.zeros(len(word), np.int64)
-    alive = np.ones(len(word), bool)
-    for level, newer in zip(tree.levels, [word, *reversed(spelled)]):
-        found, at = find(level.keys, state * tree.base + newer, alive)
-        alive = np.zeros(len(word), bool)
-        alive[found] = True
-        state[found] = level.first + at
-    return (state * tree.base + spelled[0])[alive]
+    Beside the first answer stands the shard's part of the root.
+    """
+    rows = sorted(table.to_pylist(), key=lambda r: r["block"])
+    number: Numbers = Numbers()
+    places = [number.of(r["keys"].split(b" ")) for r in rows]
+    place = np.concatenate(places)
+    c = np.bincount(place, np.concatenate([unpacked(r["numbers"]) for r in rows])).astype(np.int64)
+    answer = 2 * c + (np.bincount(place) == 1)
+    out = _rows([(r["block"], 0, r["shard"], None, packed(answer[p]), b"") for r, p in zip(rows, places)])
+    for name, n in (("total", c.sum()), ("kinds", (c > 0).sum()), ("once", (c == 1).sum())):
+        out = out.append_column(name, pa.array([int(n)] + [0] * (len(rows) - 1), pa.int64()))
+    return out
 
 
 def score_texts(
@@ -338,44 +452,55 @@ def score_texts(
     spark = docs.sparkSession
     kind = docs.schema[id_column].dataType.simpleString()
     blocks = blocks_for(docs, text, block_bytes)
+    shards = SHARDS * blocks
     placed = docs.select(
         F.pmod(F.xxhash64(F.col(id_column), F.octet_length(text)), F.lit(blocks)).cast("int").alias("block"),
         F.col(id_column).alias("id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"),
     )
-    tokens = token_table(placed)
-    once = tokens.filter("first AND c > 0")
-    total, kinds, single = once.agg(F.sum("c"), F.count("*"), F.count(F.when(F.col("c") == 1, 1))).first()
-    root = Root(total or 0, kinds, single)
-    shared = spark.sparkContext.broadcast(learn(placed.filter("train").select("text"), once.select("token", "c"), root))
-    even = math.log10(root.total + root.kinds + 1)
-    names = [id_column, "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-
-    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        tree = shared.value
-        tokens = answers.column("token").cast(pa.binary()).to_pylist()
-        c = answers.column("c").to_numpy()
-        base, alone, known, core = np.log10(c + 1.0) - even, root.chances(c), c > 0, tree.number(tokens)
-        row = {t: i for i, t in enumerate(tokens)}
-        end = END.encode()
-        out: list[np.ndarray] = []
-        for part in _parts(texts.column("text")):
-            words = [[*lower_words(raw or b""), end] for raw in part]
-            sizes = np.array([len(w) for w in words], np.int64)
-            starts = np.cumsum(sizes) - sizes
-            at = np.fromiter((row[w] for t in words for w in t), np.int64, int(sizes.sum()))
-            place = np.arange(len(at)) - np.repeat(starts, sizes)
-            chance = tree.log10(core[at], place, alone[at])
-            out.append(np.array([sizes, np.add.reduceat(known[at].astype(np.int64), starts), np.full(len(sizes), root.total),
-                                 np.add.reduceat(base[at], starts), np.add.reduceat(chance, starts)], dtype=object))
-        columns = [np.concatenate(c) for c in zip(*out)]
-        kinds_out = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.table(dict(zip(names, [texts.column("id"), *(pa.array(c.tolist(), k) for c, k in zip(columns, kinds_out))])))
-
-    return (
-        placed.groupBy("block")
-        .cogroup(tokens.select("block", "token", "c").groupBy("block"))
-        .applyInArrow(score, f"`{id_column}` {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
-    )
+    with tidy_shuffles(spark):
+        read = materialise(placed.groupBy("block").applyInArrow(lambda table: _read(table, shards), _ROWS), "lm-texts")
+        words = read.filter("round = 0").groupBy("shard").applyInArrow(_words, f"{_ROWS}, {_STATS}")
+        words = materialise(words, "lm-words")
+        found = words.agg(*(F.sum(c) for c in ("total", "kinds", "once"))).first()
+        root = Root(*(n or 0 for n in found))
+        rows = [read.filter("round = -1"), words.drop("total", "kinds", "once")]
+
+        def by_block(run: Callable, schema: str) -> DataFrame:
+            every = rows[0]
+            for more in rows[1:]:
+                every = every.union(more)
+            return every.groupBy("block").applyInArrow(run, schema)
+
+        def counts(table: pa.Table) -> pa.Table:
+            return Block(table, root).counts_dealt(shards)
+
+        def tests(table: pa.Table) -> pa.Table:
+            block = Block(table, root)
+            block.counted()
+            return block.tests_dealt(shards)
+
+        def longer(table: pa.Table) -> pa.Table:
+            block = Block(table, root)
+            block.counted()
+            block.tested()
+            return block.longer_dealt(shards)
+
+        rows.append(materialise(_answered(by_block(counts, _ROWS), shards, _count), "lm-counts"))
+        dealt = materialise(by_block(tests, _ROWS), "lm-tests")
+        after = _answered(dealt.filter("round = 3"), shards, _follow)
+        rows.append(materialise(_answered(dealt.filter("round = 2"), shards, _diverge).union(after), "lm-tested"))
+        rows.append(materialise(_answered(by_block(longer, _ROWS), shards, _any), "lm-longer"))
+
+    names = [id_column, "n_tokens", "n_known", "base_score", "score"]
+
+    def score(table: pa.Table) -> pa.Table:
+        block = Block(table, root)
+        block.counted()
+        block.tested()
+        return block.scores().rename_columns(names)
+
+    scored = by_block(score, f"`{id_column}` {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
+    return scored.select(id_column, "n_tokens", "n_known", F.lit(root.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def _parts(column: pa.ChunkedArray) -> Iterator[list[bytes | None]]:

@@ -117,6 +117,71 @@ def test_suffix_tree_counts_and_beats_the_base(spark, docs, none):
         assert r["score"] > r["base_score"] / 3  # each word follows from the one before
 
 
+def plain_tree_scores(made, learnt):
+    """Scores by a suffix tree in dictionaries: every context of up to three words, the divergence test, the longest suffix."""
+    tokens = lambda t: [*(t or "").encode().lower().split(), b"\n"]
+    after = collections.defaultdict(collections.Counter)
+    for t in (tokens(t) for i, t in made if learnt(i)):
+        for i, w in enumerate(t):
+            for back in range(min(i, lm_scoring.DEPTH) + 1):
+                after[tuple(t[i - back : i])][w] += 1
+    c = after[()]
+    n, once = sum(c.values()), sum(x == 1 for x in c.values())
+    freed = (once + 1) / (len(c) + 2)
+
+    def chance(context, w):  # in the tree of all candidates
+        if not context:
+            return (c[w] - freed if c[w] else freed * len(c)) / n
+        here = after[context]
+        total = sum(here.values())
+        if here[w]:
+            return (here[w] - 0.5) / total
+        spare = max(1 - sum(chance(context[1:], x) for x in here if here[x]), 1e-12)
+        return 0.5 * len(+here) / total / spare * chance(context[1:], w)
+
+    kept = {()}
+    for context in list(after):
+        here = after[context]
+        gain = sum(x * math.log(x / sum(here.values()) / chance(context[1:], w)) for w, x in here.items()) if context else 0
+        if context and gain >= lm_scoring.GAIN * (len(here) + 1):
+            kept |= {context[i:] for i in range(len(context))}
+    out = []
+    for i, t in made:
+        total, t = 0.0, tokens(t)
+        for at, w in enumerate(t):
+            context = next(x for back in range(min(at, lm_scoring.DEPTH), -1, -1) for x in [tuple(t[at - back : at])] if x in kept)
+            total += math.log10(chance(context, w))
+        out.append((repr(i), len(t), round(total, 6)))
+    return sorted(out), kept
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 24, 30_000])
+def test_suffix_tree_holds_what_is_rare(spark, block_bytes):
+    r = np.random.default_rng(5)
+    lines = [prose(100 + i, 9) for i in range(12)]
+    made = [(i, "\n".join(r.choice(lines, 4)) + f" only{i} " + prose(i, 25)) for i in range(40)]
+    made += TEXTS + [(50, f"{prose(1, 20)} only3 rare once"), (51, "only3 rare once"), (52, "rare once here"), (53, "a " * 300), (54, "a a b a a c")]
+    # 300,000 other tokens put each of the words above below a share of one in 100,000
+    made += [(1000 + i, f"w{i} " * 10_000) for i in range(30)]
+    learnt = lambda i: i is not None and i % 3 != 1
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    got = lm_scoring.score_texts(docs, F.col("doc_id") % 3 != 1, block_bytes=block_bytes).collect()
+    want, kept = plain_tree_scores(made, learnt)
+    assert {len(k) for k in kept} == {0, 1, 2, 3}
+    assert sorted((repr(x["doc_id"]), x["n_tokens"], round(x["score"], 6)) for x in got) == want
+
+
+def test_packed_numbers_and_hashes_come_back():
+    for top in (0, 1, 255, 256, 1 << 40, (1 << 63) - 1):
+        values = np.array([0, top, top // 2, top], np.int64)
+        assert lm_scoring.unpacked(lm_scoring.packed(values)).tolist() == values.tolist()
+    assert len(lm_scoring.unpacked(lm_scoring.packed(np.zeros(0, np.int64)))) == 0
+    keys = np.array([0, 1, 1 << 63, (1 << 64) - 1], np.uint64)
+    assert lm_scoring.unpacked(lm_scoring.packed(np.diff(keys, prepend=np.uint64(0)))).view(np.uint64).cumsum().tolist() == keys.tolist()
+    order, _ = lm_scoring._by_hash([b"x", b"y", b"z"])
+    assert sorted(order) == [0, 1, 2]
+
+
 def test_language_models_tell_languages_apart(spark, none):
     rows = [(i, lang, " ".join(np.random.default_rng(i).choice(words, 30))) for i in range(80)
             for lang, words in (("aa", ["banana", "panama", "cabana"]), ("oo", ["robot", "forgot", "bottom"]))]
