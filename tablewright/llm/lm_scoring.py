@@ -28,12 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.text import SLICE, Numbers, blocks_for, lower_words
-from tablewright.session import materialise, tidy_shuffles
+from tablewright.session import materialise, settle, tidy_shuffles
 
 #: Bytes of text in a block; one task holds one block at a time.
-BLOCK_BYTES = 12 << 20
-#: Shards for each block: a shard holds about as many n-grams as a part of a block.
-SHARDS = 2
+BLOCK_BYTES = 4 << 20
 #: Longest context in words.
 DEPTH = 3
 #: Taken off every stored count and left to the shorter context.
@@ -45,6 +43,9 @@ GAIN = 3.0
 #: words gain at most n * log(N / n) - k * log(1 - DISCOUNT), and k is at least 1.  A little is left for rounding.
 LEAST_GAIN = 2 * GAIN + math.log(1 - DISCOUNT) - 1e-3
 
+#: Rounds: 0 counts words, each up to ``DEPTH - 1`` the n-grams one word longer, these follow.
+TESTS, FOLLOW, LONGER = DEPTH, DEPTH + 1, DEPTH + 2
+
 END = "\n"  # the token that ends every text; no word holds white space
 
 
@@ -147,16 +148,19 @@ def _rows(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ROW)], schema=_ROW)
 
 
-def _deal(block: int, round_: int, shards: int, keys: list[np.ndarray], numbers: list[np.ndarray], *sums: list[np.ndarray]) -> pa.Table:
-    """Rows for the shards: hashes as differences, numbers, and sums (8 bytes each), all in the order of hashes."""
+def _deal(
+    block: int, round_: int, shards: int, keys: list[np.ndarray], numbers: list[np.ndarray], *sums: list[np.ndarray], least: int = 0
+) -> pa.Table:
+    """Rows for the shards: hashes as differences, numbers, and sums (8 bytes each) beside numbers from ``least``, all in the order of hashes."""
     key = np.concatenate(keys)
     order = np.argsort(key, kind="stable")
     key, number, sums = key[order], np.concatenate(numbers)[order], [np.concatenate(s)[order] for s in sums]
     low = _bounds(shards)
-    return _rows([
-        (block, round_, s, packed(np.diff(key[at], prepend=low[s])), packed(number[at]), b"".join(x[at].tobytes() for x in sums))
-        for s, at in _dealt(key, low)
-    ])
+    out = []
+    for s, at in _dealt(key, low):
+        beside = b"".join(x[at][number[at] >= least].tobytes() for x in sums)
+        out.append((block, round_, s, packed(np.diff(key[at], prepend=low[s])), packed(number[at]), beside))
+    return _rows(out)
 
 
 def _dealt(key: np.ndarray, low: np.ndarray) -> list[tuple[int, slice]]:
@@ -164,10 +168,10 @@ def _dealt(key: np.ndarray, low: np.ndarray) -> list[tuple[int, slice]]:
     return [(s, slice(cut[s], cut[s + 1])) for s in range(len(low)) if cut[s + 1] > cut[s]]
 
 
-def _answered(dealt: DataFrame, shards: int, answer: Callable) -> DataFrame:
-    """What the shards make of the rows dealt to them: an answer to each row.
+def _answered(dealt: DataFrame, shards: int, answers: dict[int, Callable]) -> DataFrame:
+    """What the shards make of the rows dealt to them in each round: an answer to each row.
 
-    ``answer(place, size, numbers, sums)`` gets all rows of a shard end to end in the order of blocks; ``place`` is the
+    ``answers[round](place, size, numbers, sums)`` gets all rows of a shard end to end in the order of blocks; ``place`` is the
     place of each hash among ``size`` distinct ones.  It returns numbers and, or None, sums.
     """
 
@@ -177,20 +181,20 @@ def _answered(dealt: DataFrame, shards: int, answer: Callable) -> DataFrame:
         keys = [low + np.cumsum(unpacked(r["keys"]).view(np.uint64)) for r in rows]
         sizes = [len(k) for k in keys]
         numbers = np.concatenate([unpacked(r["numbers"]) for r in rows])
-        sums = np.concatenate([np.frombuffer(r["sums"]).reshape(-1, n) for r, n in zip(rows, sizes)], axis=1)
+        sums = np.concatenate([np.frombuffer(r["sums"]).reshape(2, -1) for r in rows], axis=1)
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-        numbers, sums = answer(place, len(distinct), numbers, sums)
+        numbers, sums = answers[rows[0]["round"]](place, len(distinct), numbers, sums)
         parts = [slice(end - n, end) for end, n in zip(np.cumsum(sizes), sizes)]
         return _rows([
             (r["block"], r["round"], r["shard"], None, packed(numbers[at]), b"" if sums is None else sums[at].tobytes())
             for r, at in zip(rows, parts)
         ])
 
-    return dealt.groupBy("shard").applyInArrow(run, _ROWS)
+    return dealt.groupBy("round", "shard").applyInArrow(run, _ROWS)
 
 
 def _count(place: np.ndarray, size: int, numbers: np.ndarray, sums: np.ndarray):
-    """Round 1, of counts: 4 * the count of all, + 2 if several blocks hold it, + 1 for the first that counted any."""
+    """A round of counts: 4 * the count of all, + 2 if several blocks hold it, + 1 for the first that counted any."""
     total = np.bincount(place, numbers, size).astype(np.int64)
     several = np.bincount(place, minlength=size) > 1
     counted = np.flatnonzero(numbers)[::-1]
@@ -202,14 +206,15 @@ def _count(place: np.ndarray, size: int, numbers: np.ndarray, sums: np.ndarray):
 
 
 def _diverge(place: np.ndarray, size: int, numbers: np.ndarray, sums: np.ndarray):
-    """Round 2, of 2 * stored words, + 1 if the block asks for chances: 2 * those of all, + 1 if the context stays by itself."""
+    """Round ``TESTS``, of 2 * stored words, + 1 if the block asks for chances, with sums beside stored words: 2 * those of all, + 1 if the context stays by itself."""
     kinds = np.bincount(place, numbers >> 1, size).astype(np.int64)
-    gain, spent = np.bincount(place, sums[0], size), np.bincount(place, sums[1], size)
+    stored = place[numbers > 1]
+    gain, spent = np.bincount(stored, sums[0], size), np.bincount(stored, sums[1], size)
     return 2 * kinds[place] + (gain >= GAIN)[place], np.where(numbers & 1, spent[place], 0.0)
 
 
 def _follow(place: np.ndarray, size: int, numbers: np.ndarray, sums: np.ndarray):
-    """Round 3, of the words after the longest contexts, by context: 2 * the count in the block, + 1 if it asks for the factor;
+    """Round ``FOLLOW``, of the words after the longest contexts, by context: 2 * the count in the block, + 1 if it asks for the factor;
     the hash of the n-gram and the word's chance after the shorter context.
 
     Answers 2 * the count of all, + 1 if the context stays by itself, and the factor on the shorter context's chance.
@@ -232,8 +237,14 @@ def _left(kinds: np.ndarray, total: np.ndarray, spent: np.ndarray) -> np.ndarray
     return DISCOUNT * kinds / np.maximum(total, 1) / np.maximum(1 - spent, 1e-12)
 
 
+def _may_stay(n: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    """Contexts seen ``n`` times that the bound leaves open; without their oldest word they are seen ``shorter`` times."""
+    often = np.maximum(n, 1)
+    return (n > 0) & (often * np.log(np.maximum(shorter, 1) / often) >= LEAST_GAIN)
+
+
 def _any(place: np.ndarray, size: int, numbers: np.ndarray, sums: np.ndarray):
-    """Round 4, of whether a longer context stays."""
+    """Round ``LONGER``, of whether a longer context stays."""
     return (np.bincount(place, numbers, size) > 0)[place], None
 
 
@@ -242,7 +253,7 @@ class Block:
 
     def __init__(self, table: pa.Table, root: Root):
         self.root = root
-        self.rows: dict[int, list[dict]] = {r: [] for r in range(-1, 5)}
+        self.rows: dict[int, list[dict]] = {r: [] for r in range(-1, LONGER + 1)}
         for row in table.to_pylist():
             self.rows[row["round"]].append(row)
         (text,) = self.rows.pop(-1)
@@ -251,54 +262,65 @@ class Block:
         self.sizes = self.docs.column("size").to_numpy()
         known = self._found(0)[0]
         self.n = [known >> 1]
-        at = unpacked(text["numbers"]).astype(np.int32)
+        words = np.frombuffer(text["keys"], np.uint64)
+        order = np.argsort(words, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         train = self.docs.column("train").to_numpy().astype(bool)
-        self.grams = g = Grams(np.frombuffer(text["keys"], np.uint64), at, self.sizes, train)
-        alone = (known & 1).astype(bool)
-        self.open = [~alone]
-        for i in range(1, DEPTH):
-            g.lengthen()
-            # an n-gram with a word that no other block has is in no other block
-            self.open.append(self.open[-1][g.context[i]] & self.open[-1][g.shorter[i]])
+        self.grams = g = Grams(words[order], rank[unpacked(text["numbers"])], self.sizes, train)
+        self.several, self.chance = [known & 1 == 0], [self.root.chances(self.n[0])]
+        self.gain, self.kinds, self.spent = [], [], []
 
-    def counts_dealt(self, shards: int) -> pa.Table:
-        g, at = self.grams, self.open[1:]
-        return _deal(self.number, 1, shards, _where(g.keys[1:], at), _where(g.held[1:], at))
+    def _lengthened(self) -> np.ndarray:
+        """Adds the n-grams one word longer; true for those that another block may hold, as several hold both their shorter ones."""
+        g = self.grams
+        g.lengthen()
+        return self.several[-1][g.context[-1]] & self.several[-1][g.shorter[-1]]
+
+    def _counted(self, i: int) -> None:
+        """Counts of all blocks; from them the chances of stored words, and this block's part in the test of their contexts."""
+        at, g = self._lengthened(), self.grams
+        ((found, _),) = self._answers(i, [at], i)
+        n, several = g.held[i].copy(), np.zeros(len(at), bool)
+        mine = n > 0
+        n[at], several[at], mine[at] = found >> 2, found & 2, found & 1
+        self.n.append(n)
+        self.several.append(several)
+        total = self.n[i - 1][g.context[i]]
+        self.chance.append(np.where(n > 0, (n - DISCOUNT) / np.maximum(total, 1), 0.0))
+        # every stored word counts in one block only
+        mine = np.flatnonzero(mine)
+        n, total, context = n[mine], total[mine], g.context[i][mine]
+        shorter = self.chance[i - 1][g.shorter[i][mine]]
+        size = len(g.keys[i - 1])
+        # of no rows at all, bincount makes whole numbers
+        self.gain.append(np.bincount(context, n * np.log(n / total / shorter) - GAIN, size).astype(float))
+        self.kinds.append(np.bincount(context, minlength=size))
+        self.spent.append(np.bincount(context, shorter, size).astype(float))
+
+    def counts_dealt(self, i: int, shards: int) -> pa.Table:
+        for shorter in range(1, i):
+            self._counted(shorter)
+        at = self._lengthened()
+        return _deal(self.number, i, shards, [self.grams.keys[i][at]], [self.grams.held[i][at]])
 
     def counted(self) -> None:
-        """Counts of all blocks; from them the chances of stored words, and this block's part in the test of its contexts."""
+        """Counts of all lengths but the longest, and which contexts they leave open."""
         g = self.grams
-        self.several, self.chance = [self.open[0]], [self.root.chances(self.n[0])]
-        self.gain, self.kinds, self.spent = [], [], []
-        for i, (found, _) in enumerate(self._answers(1, self.open[1:], 1), 1):
-            n, several = g.held[i].copy(), np.zeros(len(g.keys[i]), bool)
-            mine = n > 0
-            at = self.open[i]
-            n[at], several[at], mine[at] = found >> 2, found & 2, found & 1
-            self.n.append(n)
-            self.several.append(several)
-            total = self.n[i - 1][g.context[i]]
-            self.chance.append(np.where(n > 0, (n - DISCOUNT) / np.maximum(total, 1), 0.0))
-            # every stored word counts in one block only
-            mine = np.flatnonzero(mine)
-            n, total, context = n[mine], total[mine], g.context[i][mine]
-            shorter = self.chance[i - 1][g.shorter[i][mine]]
-            size = len(g.keys[i - 1])
-            # of no rows at all, bincount makes whole numbers
-            self.gain.append(np.bincount(context, n * np.log(n / total / shorter) - GAIN, size).astype(float))
-            self.kinds.append(np.bincount(context, minlength=size))
-            self.spent.append(np.bincount(context, shorter, size).astype(float))
+        for i in range(1, DEPTH):
+            self._counted(i)
         self.shared = [s & (n > 0) for s, n in zip(self.several[: DEPTH - 1], self.n)]
-        n = np.maximum(self.n[-1], 1)
-        self.longest = (self.n[-1] > 0) & (n * np.log(self.n[-2][g.shorter[-1]] / n, where=self.n[-1] > 0, out=np.zeros(len(n))) >= LEAST_GAIN)
-        g.lengthen(self.longest)
+        for i in range(1, DEPTH - 1):
+            # n * log(N / n) is N / e at most, so seldom seen contexts have no longer ones that stay
+            self.shared[i] &= _may_stay(self.n[i], self.n[i - 1][g.shorter[i]]) | (self.n[i] >= math.e * LEAST_GAIN)
+        g.lengthen(_may_stay(self.n[-1], self.n[-2][g.shorter[-1]]))
 
     def tests_dealt(self, shards: int) -> pa.Table:
         g, at = self.grams, self.shared
         numbers = [2 * k + a for k, a in zip(self.kinds, g.asked)]
-        tests = _deal(self.number, 2, shards, *(_where(x, at) for x in (g.keys, numbers, self.gain, self.spent)))
+        tests = _deal(self.number, TESTS, shards, *(_where(x, at) for x in (g.keys, numbers, self.gain, self.spent)), least=2)
         after = _deal(
-            self.number, 3, shards, [g.keys[-2][g.context[-1]]], [2 * g.held[-1] + g.asked[-1]],
+            self.number, FOLLOW, shards, [g.keys[-2][g.context[-1]]], [2 * g.held[-1] + g.asked[-1]],
             [g.keys[-1].view(np.float64)], [self.chance[-1][g.shorter[-1]]],
         )
         return pa.concat_tables([tests, after])
@@ -307,11 +329,11 @@ class Block:
         """Which contexts stay by themselves, and which of this block's have a longer one that stays."""
         g = self.grams
         self.stays = [gain >= GAIN for gain in self.gain]
-        for i, (found, spent) in enumerate(self._answers(2, self.shared, 0)):
+        for i, (found, spent) in enumerate(self._answers(TESTS, self.shared, 0)):
             at = self.shared[i]
             self.stays[i][at], self.kinds[i][at], self.spent[i][at] = found & 1, found >> 1, spent
         self.left = [_left(k, n, s) for k, n, s in zip(self.kinds, self.n, self.spent)]
-        found, left = self._found(3)
+        found, left = self._found(FOLLOW)
         order = np.argsort(g.keys[-2][g.context[-1]], kind="stable")
         n = np.zeros(len(order), np.int64)
         n[order] = found >> 1
@@ -327,12 +349,12 @@ class Block:
             self.longer[i - 1][g.shorter[i][self.stays[i] | self.longer[i]]] = True
 
     def longer_dealt(self, shards: int) -> pa.Table:
-        return _deal(self.number, 4, shards, _where(self.grams.keys, self.shared), _where(self.longer, self.shared))
+        return _deal(self.number, LONGER, shards, _where(self.grams.keys, self.shared), _where(self.longer, self.shared))
 
     def scores(self) -> pa.Table:
         """The rows of the result without ``train_tokens``."""
         g = self.grams
-        for i, (found, _) in enumerate(self._answers(4, self.shared, 0)):
+        for i, (found, _) in enumerate(self._answers(LONGER, self.shared, 0)):
             self.longer[i][self.shared[i]] = found
         chance = np.log10(self.chance[0])
         value = chance[g.at[0]]
@@ -381,15 +403,10 @@ def _where(lists: list[np.ndarray], at: list[np.ndarray]) -> list[np.ndarray]:
     return [x[a] for x, a in zip(lists, at)]
 
 
-def _by_hash(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens' order by hash, by themselves where that is equal, and their hashes in it."""
+def hashes(tokens: list[bytes]) -> np.ndarray:
     held = np.empty(len(tokens), object)
     held[:] = tokens
-    key = pd.util.hash_array(held, categorize=False)
-    order = np.argsort(key, kind="stable")
-    if (key[order][1:] == key[order][:-1]).any():
-        order = np.array(sorted(range(len(tokens)), key=lambda i: (key[i], tokens[i])))
-    return order, key[order]
+    return pd.util.hash_array(held, categorize=False)
 
 
 def _read(table: pa.Table, shards: int) -> pa.Table:
@@ -402,22 +419,20 @@ def _read(table: pa.Table, shards: int) -> pa.Table:
         ids.append(number.of([w for t in words for w in t]).astype(np.int32))
         sizes.extend(map(len, words))
     tokens = list(number)
-    order, keys = _by_hash(tokens)
-    rank = np.empty(len(order), np.int32)
-    rank[order] = np.arange(len(order), dtype=np.int32)
-    at = rank[np.concatenate(ids)]
+    keys = hashes(tokens)
+    at = np.concatenate(ids)
     train = table.column("train").combine_chunks()
-    counts = np.bincount(at[np.repeat(train.to_numpy(zero_copy_only=False), sizes)], minlength=len(order))
+    counts = np.bincount(at[np.repeat(train.to_numpy(zero_copy_only=False), sizes)], minlength=len(tokens))
     docs = pa.table({"id": table.column("id"), "size": pa.array(sizes, pa.int64()), "train": train.cast(pa.int8())})
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, docs.schema) as stream:
         stream.write_table(docs)
     block = table.column("block")[0].as_py()
-    tokens = [tokens[i] for i in order.tolist()]
-    return _rows([
-        (block, -1, -1, keys.tobytes(), packed(at), sink.getvalue().to_pybytes()),
-        *((block, 0, s, b" ".join(tokens[part]), packed(counts[part]), None) for s, part in _dealt(keys, _bounds(shards))),
-    ])
+    texts = (block, -1, -1, keys.tobytes(), packed(at), sink.getvalue().to_pybytes())
+    order = np.argsort(keys, kind="stable")
+    tokens, counts = [tokens[i] for i in order.tolist()], counts[order]
+    parts = _dealt(keys[order], _bounds(shards))
+    return _rows([texts, *((block, 0, s, b" ".join(tokens[part]), packed(counts[part]), b"") for s, part in parts)])
 
 
 _STATS = "total bigint, kinds bigint, once bigint"
@@ -452,18 +467,21 @@ def score_texts(
     spark = docs.sparkSession
     kind = docs.schema[id_column].dataType.simpleString()
     blocks = blocks_for(docs, text, block_bytes)
-    shards = SHARDS * blocks
+    shards = -(-blocks // 2)  # each gets as many n-grams as two blocks hold
     placed = docs.select(
         F.pmod(F.xxhash64(F.col(id_column), F.octet_length(text)), F.lit(blocks)).cast("int").alias("block"),
         F.col(id_column).alias("id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"),
     )
     with tidy_shuffles(spark):
-        read = materialise(placed.groupBy("block").applyInArrow(lambda table: _read(table, shards), _ROWS), "lm-texts")
-        words = read.filter("round = 0").groupBy("shard").applyInArrow(_words, f"{_ROWS}, {_STATS}")
-        words = materialise(words, "lm-words")
-        found = words.agg(*(F.sum(c) for c in ("total", "kinds", "once"))).first()
+        def texts_and_words() -> DataFrame:
+            read = materialise(placed.groupBy("block").applyInArrow(lambda table: _read(table, shards), _ROWS), "lm-read")
+            words = read.filter("round = 0").groupBy("shard").applyInArrow(_words, f"{_ROWS}, {_STATS}")
+            return words.unionByName(read.filter("round = -1"), allowMissingColumns=True)
+
+        base = settle(spark, texts_and_words, "lm-texts")
+        found = base.agg(*(F.sum(c) for c in ("total", "kinds", "once"))).first()
         root = Root(*(n or 0 for n in found))
-        rows = [read.filter("round = -1"), words.drop("total", "kinds", "once")]
+        rows = [base.drop("total", "kinds", "once")]
 
         def by_block(run: Callable, schema: str) -> DataFrame:
             every = rows[0]
@@ -471,8 +489,8 @@ def score_texts(
                 every = every.union(more)
             return every.groupBy("block").applyInArrow(run, schema)
 
-        def counts(table: pa.Table) -> pa.Table:
-            return Block(table, root).counts_dealt(shards)
+        def counts(i: int) -> Callable:
+            return lambda table: Block(table, root).counts_dealt(i, shards)
 
         def tests(table: pa.Table) -> pa.Table:
             block = Block(table, root)
@@ -485,11 +503,9 @@ def score_texts(
             block.tested()
             return block.longer_dealt(shards)
 
-        rows.append(materialise(_answered(by_block(counts, _ROWS), shards, _count), "lm-counts"))
-        dealt = materialise(by_block(tests, _ROWS), "lm-tests")
-        after = _answered(dealt.filter("round = 3"), shards, _follow)
-        rows.append(materialise(_answered(dealt.filter("round = 2"), shards, _diverge).union(after), "lm-tested"))
-        rows.append(materialise(_answered(by_block(longer, _ROWS), shards, _any), "lm-longer"))
+        rounds = [(counts(i), {i: _count}) for i in range(1, DEPTH)]
+        for run, answers in (*rounds, (tests, {TESTS: _diverge, FOLLOW: _follow}), (longer, {LONGER: _any})):
+            rows.append(materialise(_answered(by_block(run, _ROWS), shards, answers), "lm-round"))
 
     names = [id_column, "n_tokens", "n_known", "base_score", "score"]
 
