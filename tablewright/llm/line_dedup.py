@@ -46,8 +46,8 @@ def _lines(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 
 def _rarity(docs: DataFrame, text: str) -> str:
     """A table of fixed size, as SQL: for every bucket the binary logarithm of how often its words occur."""
-    spaced = F.replace(_spaced(F.col(text)), F.lit("\n"), F.lit(" "))
-    words = docs.select(F.explode(F.split(spaced, " ")).alias("word")).filter("word <> ''")
+    # of whole texts one pass of a pattern costs less than a replacement for each character
+    words = docs.select(F.explode(F.split(text, "[ \t\n\u000b\f\r]+")).alias("word")).filter("word <> ''")
     counted = words.groupBy(F.xxhash64("word").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
     table = ["0"] * BUCKETS
     for bucket, n in counted.collect():  # at most BUCKETS rows
@@ -60,10 +60,12 @@ def _keyed(lines: DataFrame, rarity: str) -> DataFrame:
 
     No filter on what is computed here: Catalyst would move it down and compute the words twice.
     """
-    key = f"shiftleft(get({rarity}, cast(xxhash64(x) & {BUCKETS - 1} as int)), 58) | shiftrightunsigned(xxhash64(x), 6)"
-    # one lambda; what follows it is compiled for arrays of longs
-    keys = f"sort_array(array_distinct(transform(array_remove(split(value, ' '), ''), x -> {key})))"
-    return lines.withColumn("keys", F.expr(keys)).drop("value")
+    # each word is hashed once; what stands outside the lambdas is compiled for arrays of longs
+    words = F.array_remove(F.transform(F.split("value", " "), lambda x: F.xxhash64(x)), F.xxhash64(F.lit("")))
+    key = f"shiftleft(get({rarity}, cast(h & {BUCKETS - 1} as int)), 58) | shiftrightunsigned(h, 6)"
+    lines = lines.withColumn("words", words)
+    keys = f"sort_array(array_distinct(transform(words, h -> {key})))"
+    return lines.withColumn("keys", F.expr(keys)).drop("value", "words")
 
 
 #: 64 parity bits of a set.  Two sets differ in at least as many words as their bits differ.
@@ -191,6 +193,7 @@ def line_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -
     kept = F.expr("filter(_lines, (x, i) -> NOT array_contains(_gone, struct(i AS line, xxhash64(x) AS mark)))")
     lines = F.split(text, "\n")
     cut = joined.withColumn("_lines", lines).withColumn("_kept", F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(kept))
-    out = [F.array_join("_kept", "\n").alias(c) if c == text else F.col(c) for c in docs.columns]
+    left = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join("_kept", "\n"))
+    out = [left.alias(c) if c == text else F.col(c) for c in docs.columns]
     counts = [F.coalesce(F.size(c), F.lit(0)).cast("long") for c in ("_lines", "_kept")]
     return cut.select(*out, counts[0].alias("n_lines"), (counts[0] - counts[1]).alias("n_removed"))

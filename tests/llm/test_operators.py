@@ -415,6 +415,13 @@ def test_every_line_with_a_word_is_compared(spark, monkeypatch, few):
     assert got == want
 
 
+def test_words_of_lines_are_hashed_once(spark):
+    lines = spark.createDataFrame([(" b a  b\ta",)], "value string")
+    keyed = line_dedup._keyed(lines, f"array_repeat(0L, {line_dedup.BUCKETS})")
+    assert keyed._jdf.queryExecution().optimizedPlan().toString().count("xxhash64(") == 1
+    assert len(keyed.first()["keys"]) == 3  # a, b and what the tab joins; _lines puts a space for it
+
+
 def test_pipeline_takes_out_short_repeated_lines(spark):
     made = [(1, "Home\none"), (2, "two\nHome"), (None, "Home\nthree\tfour"), (None, "six\nHome")]
     docs = spark.createDataFrame([(i, t, len(t)) for i, t in made], "doc_id long, text string, n_chars long")
