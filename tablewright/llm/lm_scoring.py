@@ -43,8 +43,8 @@ GAIN = 3.0
 #: words gain at most n * log(N / n) - k * log(1 - DISCOUNT), and k is at least 1.  A little is left for rounding.
 LEAST_GAIN = 2 * GAIN + math.log(1 - DISCOUNT) - 1e-3
 
-#: Rounds: 0 counts words, each up to ``DEPTH - 1`` the n-grams one word longer, these follow.
-TESTS, FOLLOW, LONGER = DEPTH, DEPTH + 1, DEPTH + 2
+#: Rounds: 0 counts words, each up to ``DEPTH`` the n-grams one word longer, these follow.
+TESTS, LONGER = DEPTH + 1, DEPTH + 2
 
 END = "\n"  # the token that ends every text; no word holds white space
 
@@ -168,10 +168,10 @@ def _dealt(key: np.ndarray, low: np.ndarray) -> list[tuple[int, slice]]:
     return [(s, slice(cut[s], cut[s + 1])) for s in range(len(low)) if cut[s + 1] > cut[s]]
 
 
-def _answered(dealt: DataFrame, shards: int, answers: dict[int, Callable]) -> DataFrame:
-    """What the shards make of the rows dealt to them in each round: an answer to each row.
+def _answered(dealt: DataFrame, shards: int, answer: Callable) -> DataFrame:
+    """What the shards make of the rows dealt to them: an answer to each row.
 
-    ``answers[round](place, size, numbers, sums)`` gets all rows of a shard end to end in the order of blocks; ``place`` is the
+    ``answer(place, size, numbers, sums)`` gets all rows of a shard end to end in the order of blocks; ``place`` is the
     place of each hash among ``size`` distinct ones.  It returns numbers and, or None, sums.
     """
 
@@ -183,14 +183,14 @@ def _answered(dealt: DataFrame, shards: int, answers: dict[int, Callable]) -> Da
         numbers = np.concatenate([unpacked(r["numbers"]) for r in rows])
         sums = np.concatenate([np.frombuffer(r["sums"]).reshape(2, -1) for r in rows], axis=1)
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-        numbers, sums = answers[rows[0]["round"]](place, len(distinct), numbers, sums)
+        numbers, sums = answer(place, len(distinct), numbers, sums)
         parts = [slice(end - n, end) for end, n in zip(np.cumsum(sizes), sizes)]
         return _rows([
             (r["block"], r["round"], r["shard"], None, packed(numbers[at]), b"" if sums is None else sums[at].tobytes())
             for r, at in zip(rows, parts)
         ])
 
-    return dealt.groupBy("round", "shard").applyInArrow(run, _ROWS)
+    return dealt.groupBy("shard").applyInArrow(run, _ROWS)
 
 
 def _count(place: np.ndarray, size: int, numbers: np.ndarray, sums: np.ndarray):
@@ -213,25 +213,6 @@ def _diverge(place: np.ndarray, size: int, numbers: np.ndarray, sums: np.ndarray
     return 2 * kinds[place] + (gain >= GAIN)[place], np.where(numbers & 1, spent[place], 0.0)
 
 
-def _follow(place: np.ndarray, size: int, numbers: np.ndarray, sums: np.ndarray):
-    """Round ``FOLLOW``, of the words after the longest contexts, by context: 2 * the count in the block, + 1 if it asks for the factor;
-    the hash of the n-gram and the word's chance after the shorter context.
-
-    Answers 2 * the count of all, + 1 if the context stays by itself, and the factor on the shorter context's chance.
-    """
-    distinct, at, gram = np.unique(sums[0].view(np.uint64), return_index=True, return_inverse=True)
-    n = np.bincount(gram, numbers >> 1, len(distinct)).astype(np.int64)
-    context, chance = place[at], sums[1][at]
-    stored = np.flatnonzero(n)
-    context, m, chance = context[stored], n[stored], chance[stored]
-    total = np.bincount(context, m, size)
-    kinds, spent = np.bincount(context, minlength=size), np.bincount(context, chance, size)
-    gain = np.bincount(context, m * np.log(m / total[context] / chance), size)
-    stays = (kinds > 0) & (gain >= GAIN * (kinds + 1))
-    left = _left(kinds, total, spent)
-    return 2 * n[gram] + stays[place], np.where(numbers & 1, left[place], 0.0)
-
-
 def _left(kinds: np.ndarray, total: np.ndarray, spent: np.ndarray) -> np.ndarray:
     """The factor on the shorter context's chance: what the discount frees, over what the stored words leave of it."""
     return DISCOUNT * kinds / np.maximum(total, 1) / np.maximum(1 - spent, 1e-12)
@@ -271,15 +252,16 @@ class Block:
         self.several, self.chance = [known & 1 == 0], [self.root.chances(self.n[0])]
         self.gain, self.kinds, self.spent = [], [], []
 
-    def _lengthened(self) -> np.ndarray:
+    def _lengthened(self, i: int) -> np.ndarray:
         """Adds the n-grams one word longer; true for those that another block may hold, as several hold both their shorter ones."""
         g = self.grams
-        g.lengthen()
+        # of the longest contexts only those that the counts leave open
+        g.lengthen(_may_stay(self.n[i - 1], self.n[i - 2][g.shorter[i - 1]]) if i == DEPTH else None)
         return self.several[-1][g.context[-1]] & self.several[-1][g.shorter[-1]]
 
     def _counted(self, i: int) -> None:
         """Counts of all blocks; from them the chances of stored words, and this block's part in the test of their contexts."""
-        at, g = self._lengthened(), self.grams
+        at, g = self._lengthened(i), self.grams
         ((found, _),) = self._answers(i, [at], i)
         n, several = g.held[i].copy(), np.zeros(len(at), bool)
         mine = n > 0
@@ -301,60 +283,45 @@ class Block:
     def counts_dealt(self, i: int, shards: int) -> pa.Table:
         for shorter in range(1, i):
             self._counted(shorter)
-        at = self._lengthened()
+        at = self._lengthened(i)
         return _deal(self.number, i, shards, [self.grams.keys[i][at]], [self.grams.held[i][at]])
 
     def counted(self) -> None:
-        """Counts of all lengths but the longest, and which contexts they leave open."""
+        """Counts of all lengths, and which contexts they leave open."""
         g = self.grams
-        for i in range(1, DEPTH):
+        for i in range(1, DEPTH + 1):
             self._counted(i)
-        self.shared = [s & (n > 0) for s, n in zip(self.several[: DEPTH - 1], self.n)]
-        for i in range(1, DEPTH - 1):
+        self.shared = [s & (n > 0) for s, n in zip(self.several[:DEPTH], self.n)]
+        for i in range(1, DEPTH):
             # n * log(N / n) is N / e at most, so seldom seen contexts have no longer ones that stay
-            self.shared[i] &= _may_stay(self.n[i], self.n[i - 1][g.shorter[i]]) | (self.n[i] >= math.e * LEAST_GAIN)
-        g.lengthen(_may_stay(self.n[-1], self.n[-2][g.shorter[-1]]))
+            longer = self.n[i] >= math.e * LEAST_GAIN if i < DEPTH - 1 else False
+            self.shared[i] &= _may_stay(self.n[i], self.n[i - 1][g.shorter[i]]) | longer
 
     def tests_dealt(self, shards: int) -> pa.Table:
         g, at = self.grams, self.shared
         numbers = [2 * k + a for k, a in zip(self.kinds, g.asked)]
-        tests = _deal(self.number, TESTS, shards, *(_where(x, at) for x in (g.keys, numbers, self.gain, self.spent)), least=2)
-        after = _deal(
-            self.number, FOLLOW, shards, [g.keys[-2][g.context[-1]]], [2 * g.held[-1] + g.asked[-1]],
-            [g.keys[-1].view(np.float64)], [self.chance[-1][g.shorter[-1]]],
-        )
-        return pa.concat_tables([tests, after])
+        return _deal(self.number, TESTS, shards, *(_where(x, at) for x in (g.keys, numbers, self.gain, self.spent)), least=2)
 
     def tested(self) -> None:
         """Which contexts stay by themselves, and which of this block's have a longer one that stays."""
         g = self.grams
-        self.stays = [gain >= GAIN for gain in self.gain]
+        self.stays = [(gain >= GAIN) & ~several for gain, several in zip(self.gain, self.several)]  # others need the sums of all
         for i, (found, spent) in enumerate(self._answers(TESTS, self.shared, 0)):
             at = self.shared[i]
             self.stays[i][at], self.kinds[i][at], self.spent[i][at] = found & 1, found >> 1, spent
         self.left = [_left(k, n, s) for k, n, s in zip(self.kinds, self.n, self.spent)]
-        found, left = self._found(FOLLOW)
-        order = np.argsort(g.keys[-2][g.context[-1]], kind="stable")
-        n = np.zeros(len(order), np.int64)
-        n[order] = found >> 1
-        self.n.append(n)
-        context = g.context[-1][order]
-        self.chance.append(np.where(n > 0, (n - DISCOUNT) / np.maximum(self.n[-2][g.context[-1]], 1), 0.0))
-        self.stays.append(np.zeros(len(g.keys[-2]), bool))
-        self.stays[-1][context] = found & 1
-        self.left.append(np.zeros(len(g.keys[-2])))
-        np.maximum.at(self.left[-1], context, left)  # those that the block asked for, the others are 0
         self.longer = [np.zeros(len(s), bool) for s in self.stays]
         for i in range(DEPTH - 1, 0, -1):
             self.longer[i - 1][g.shorter[i][self.stays[i] | self.longer[i]]] = True
 
     def longer_dealt(self, shards: int) -> pa.Table:
-        return _deal(self.number, LONGER, shards, _where(self.grams.keys, self.shared), _where(self.longer, self.shared))
+        at = self.shared[:-1]
+        return _deal(self.number, LONGER, shards, _where(self.grams.keys, at), _where(self.longer, at))
 
     def scores(self) -> pa.Table:
         """The rows of the result without ``train_tokens``."""
         g = self.grams
-        for i, (found, _) in enumerate(self._answers(LONGER, self.shared, 0)):
+        for i, (found, _) in enumerate(self._answers(LONGER, self.shared[:-1], 0)):
             self.longer[i][self.shared[i]] = found
         chance = np.log10(self.chance[0])
         value = chance[g.at[0]]
@@ -503,9 +470,9 @@ def score_texts(
             block.tested()
             return block.longer_dealt(shards)
 
-        rounds = [(counts(i), {i: _count}) for i in range(1, DEPTH)]
-        for run, answers in (*rounds, (tests, {TESTS: _diverge, FOLLOW: _follow}), (longer, {LONGER: _any})):
-            rows.append(materialise(_answered(by_block(run, _ROWS), shards, answers), "lm-round"))
+        rounds = [(counts(i), _count) for i in range(1, DEPTH + 1)]
+        for run, answer in (*rounds, (tests, _diverge), (longer, _any)):
+            rows.append(materialise(_answered(by_block(run, _ROWS), shards, answer), "lm-round"))
 
     names = [id_column, "n_tokens", "n_known", "base_score", "score"]
 
