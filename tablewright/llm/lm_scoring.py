@@ -7,33 +7,39 @@ the rest of the mass goes to the shorter context, in the end to the root, which
 every training word and keeps a part for unknown ones.  A position is scored by the longest
 suffix of its history that is in the tree.
 
-The tree grows with the corpus and is nowhere whole.  Blocks of documents ask for what they hold: their words and
-n-grams, in lists sorted by hash, are dealt by hash to shards, which add up what all blocks know and answer
-each one.  Rounds do that for the counts of words, for those of n-grams up to the longest context, for the divergence
-test of contexts, and for whether a longer context stays.  What no other block holds needs no asking.  What follows the
-longest contexts is counted where a bound on the test, from how often they occur, leaves it open.
-Words are told apart as they are, n-grams by 64 bits of hash.
+The tree grows with the corpus and is nowhere whole.  It is cut into subtrees by the newest words of a history: a word that
+is not frequent has all contexts that end with it in one subtree, after a frequent word the word before decides as well, and
+so on.  Blocks of documents deal each position with its history to the shard of its subtree, once; the shard counts, tests
+and scores all contexts of its subtrees by itself.  Contexts of frequent words alone are the trunk above the subtrees; their
+counts, tests and whether a longer context stays come from all blocks by rounds, in which blocks ask shards for the n-grams
+they hold, dealt by hash, and shards add up.  So no subtree has more positions than its oldest word has.
+Words have numbers of their own; n-grams of the trunk are told apart by 64 bits of hash.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.text import SLICE, Numbers, blocks_for, lower_words
+from tablewright.llm.text import Numbers, blocks_for
 from tablewright.session import materialise, settle, tidy_shuffles
 
 #: Bytes of text in a block; one task holds one block at a time.
 BLOCK_BYTES = 4 << 20
 #: Longest context in words.
 DEPTH = 3
+#: A word is frequent if more than one position holds it for so many bytes of text in a block.
+FREQUENT = 8
+#: Positions are dealt to subtrees in so many parts, one after another, each with the disk of its part.
+PARTS = 2
 #: Taken off every stored count and left to the shorter context.
 DISCOUNT = 0.5
 #: A context stays if N * divergence (nats) is at least so much for every word it stores.
@@ -42,9 +48,11 @@ GAIN = 3.0
 #: times.  A word that follows it m times has a chance of at least (m - DISCOUNT) / N after the shorter one, so k stored
 #: words gain at most n * log(N / n) - k * log(1 - DISCOUNT), and k is at least 1.  A little is left for rounding.
 LEAST_GAIN = 2 * GAIN + math.log(1 - DISCOUNT) - 1e-3
+#: That is N / e at most: of what is seen less often no longer context stays.
+LEAST_SEEN = math.e * LEAST_GAIN
 
-#: Rounds: 0 counts words, each up to ``DEPTH`` the n-grams one word longer, these follow.
-TESTS, LONGER = DEPTH + 1, DEPTH + 2
+#: Rounds after that of words, which is 0.
+COUNTS, SUBTREES, TESTS, LONGER = 1, 2, 3, 4
 
 END = "\n"  # the token that ends every text; no word holds white space
 
@@ -63,6 +71,29 @@ def unpacked(raw: bytes) -> np.ndarray:
     return wide.view("<i8").ravel()
 
 
+def squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unsqueezed(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+
+
+def packed_lists(lists: list[np.ndarray]) -> bytes:
+    """Lists of one length."""
+    return squeezed(len(lists[0]).to_bytes(8, "little") + b"".join(map(packed, lists)))
+
+
+def unpacked_lists(raw: bytes) -> list[np.ndarray]:
+    raw = unsqueezed(raw)
+    size, at, out = int.from_bytes(raw[:8], "little"), 8, []
+    while at < len(raw):
+        end = at + 1 + raw[at] * size
+        out.append(unpacked(raw[at:end]))
+        at = end
+    return out
+
+
 def _mixed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     key = context * np.uint64(0x9E3779B97F4A7C15) + word
     key ^= key >> np.uint64(32)
@@ -90,29 +121,25 @@ class Root:
 
 
 class Grams:
-    """The distinct n-grams of a block, for each length, sorted by hash: the same whatever the order of the texts.
+    """The distinct n-grams of a block, for each length, sorted by hash from length 2 on: the same whatever the order of the texts.
 
     ``context`` is an n-gram without its last word and ``shorter`` one without its first, as places in the
     lists of the length below.  Index 0 is for length 1.
     """
 
     def __init__(self, words: np.ndarray, at: np.ndarray, sizes: np.ndarray, train: np.ndarray):
-        """``words``: sorted hashes; ``at``: which of them stands at each position of the texts laid end to end."""
+        """``words``: hashes; ``at``: which of them stands at each position of the texts laid end to end."""
         self.place = np.arange(len(at), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
         self.learnt = np.repeat(train, sizes)
-        size = len(words)
         self.keys, self.at = [words], [at]  # ``at``: the n-gram that ends at each position, or -1
-        self.held = [np.bincount(at[self.learnt], minlength=size)]  # how often training texts of the block hold it
-        self.asked = [np.bincount(at, minlength=size) > self.held[0]]  # if another text of the block holds it
         none = np.zeros(0, np.int32)
-        self.context, self.shorter = [none], [none]
+        self.held, self.context, self.shorter = [none], [none], [none]  # ``held``: how often training texts of the block hold it
 
-    def lengthen(self, contexts: np.ndarray | None = None) -> None:
-        """Adds the n-grams one word longer, of ``contexts`` (true or false for each of the longest so far) if given."""
+    def lengthen(self, contexts: np.ndarray) -> None:
+        """Adds the n-grams one word longer, of ``contexts`` (true or false for each of the longest so far)."""
         last = self.at[-1]
         open_ = self.place >= len(self.at)
-        if contexts is not None:
-            open_[1:] &= contexts[last[:-1]] if contexts.any() else False
+        open_[1:] &= np.append(contexts, False)[last[:-1]]  # -1 is none
         ends = np.flatnonzero(open_).astype(np.int32)
         key = _mixed(self.keys[-1][last[ends - 1]], self.keys[0][self.at[0][ends]])
         order = np.argsort(key)
@@ -127,7 +154,6 @@ class Grams:
         self.keys.append(key[starts])
         self.at.append(mine)
         self.held.append(held)
-        self.asked.append(np.diff(starts, append=len(key)) > held)
         self.context.append(last[first - 1])
         self.shorter.append(last[first])
 
@@ -148,19 +174,16 @@ def _rows(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ROW)], schema=_ROW)
 
 
-def _deal(
-    block: int, round_: int, shards: int, keys: list[np.ndarray], numbers: list[np.ndarray], *sums: list[np.ndarray], least: int = 0
-) -> pa.Table:
-    """Rows for the shards: hashes as differences, numbers, and sums (8 bytes each) beside numbers from ``least``, all in the order of hashes."""
+def _deal(block: int, round_: int, shards: int, keys: list[np.ndarray], numbers: list[np.ndarray], *sums: list[np.ndarray]) -> list[tuple]:
+    """Rows for the shards: hashes as differences, numbers and sums (8 bytes each), all in the order of hashes."""
     key = np.concatenate(keys)
     order = np.argsort(key, kind="stable")
     key, number, sums = key[order], np.concatenate(numbers)[order], [np.concatenate(s)[order] for s in sums]
     low = _bounds(shards)
-    out = []
-    for s, at in _dealt(key, low):
-        beside = b"".join(x[at][number[at] >= least].tobytes() for x in sums)
-        out.append((block, round_, s, packed(np.diff(key[at], prepend=low[s])), packed(number[at]), beside))
-    return _rows(out)
+    return [
+        (block, round_, s, packed(np.diff(key[at], prepend=low[s])), packed(number[at]), b"".join(x[at].tobytes() for x in sums))
+        for s, at in _dealt(key, low)
+    ]
 
 
 def _dealt(key: np.ndarray, low: np.ndarray) -> list[tuple[int, slice]]:
@@ -168,49 +191,55 @@ def _dealt(key: np.ndarray, low: np.ndarray) -> list[tuple[int, slice]]:
     return [(s, slice(cut[s], cut[s + 1])) for s in range(len(low)) if cut[s + 1] > cut[s]]
 
 
-def _answered(dealt: DataFrame, shards: int, answer: Callable) -> DataFrame:
+def _answered(dealt: DataFrame, shards: int, root: Root, answers: dict[int, Callable]) -> DataFrame:
     """What the shards make of the rows dealt to them: an answer to each row.
 
-    ``answer(place, size, numbers, sums)`` gets all rows of a shard end to end in the order of blocks; ``place`` is the
-    place of each hash among ``size`` distinct ones.  It returns numbers and, or None, sums.
+    Rows of subtrees are answered whole.  For other rounds ``answers`` has a function of ``place, size, numbers, sums``: of all rows
+    of a shard end to end in the order of blocks; ``place`` is the place of each hash among ``size`` distinct ones.
+    It returns numbers and, or None, sums.
     """
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["block"])
+        if rows[0]["round"] == SUBTREES:
+            return _rows(subtrees(rows, root))
         low = _bounds(shards)[rows[0]["shard"]]
         keys = [low + np.cumsum(unpacked(r["keys"]).view(np.uint64)) for r in rows]
         sizes = [len(k) for k in keys]
         numbers = np.concatenate([unpacked(r["numbers"]) for r in rows])
         sums = np.concatenate([np.frombuffer(r["sums"]).reshape(2, -1) for r in rows], axis=1)
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-        numbers, sums = answer(place, len(distinct), numbers, sums)
+        numbers, sums = answers[rows[0]["round"]](place, len(distinct), numbers, sums)
         parts = [slice(end - n, end) for end, n in zip(np.cumsum(sizes), sizes)]
         return _rows([
             (r["block"], r["round"], r["shard"], None, packed(numbers[at]), b"" if sums is None else sums[at].tobytes())
             for r, at in zip(rows, parts)
         ])
 
-    return dealt.groupBy("shard").applyInArrow(run, _ROWS)
+    return dealt.groupBy("round", "shard").applyInArrow(run, _ROWS)
 
 
 def _count(place: np.ndarray, size: int, numbers: np.ndarray, sums: np.ndarray):
-    """A round of counts: 4 * the count of all, + 2 if several blocks hold it, + 1 for the first that counted any."""
+    """Round ``COUNTS``: 2 * the count of all, + 1 for the first that counted any."""
     total = np.bincount(place, numbers, size).astype(np.int64)
-    several = np.bincount(place, minlength=size) > 1
     counted = np.flatnonzero(numbers)[::-1]
     first = np.zeros(size, np.int64)
     first[place[counted]] = counted  # of equal places the last one assigned stays
     mine = np.zeros(len(place), bool)
     mine[first[total > 0]] = True
-    return 4 * total[place] + 2 * several[place] + mine, None
+    return 2 * total[place] + mine, None
 
 
 def _diverge(place: np.ndarray, size: int, numbers: np.ndarray, sums: np.ndarray):
-    """Round ``TESTS``, of 2 * stored words, + 1 if the block asks for chances, with sums beside stored words: 2 * those of all, + 1 if the context stays by itself."""
-    kinds = np.bincount(place, numbers >> 1, size).astype(np.int64)
-    stored = place[numbers > 1]
-    gain, spent = np.bincount(stored, sums[0], size), np.bincount(stored, sums[1], size)
-    return 2 * kinds[place] + (gain >= GAIN)[place], np.where(numbers & 1, spent[place], 0.0)
+    """Round ``TESTS``, of stored words with their gains and chances: 2 * the words of all, + 1 if the context stays by itself, and the chances of all."""
+    kinds = np.bincount(place, numbers, size).astype(np.int64)
+    gain, spent = np.bincount(place, sums[0], size), np.bincount(place, sums[1], size)
+    return 2 * kinds[place] + (gain >= GAIN)[place], spent[place]
+
+
+def _any(place: np.ndarray, size: int, numbers: np.ndarray, sums: np.ndarray):
+    """Round ``LONGER``, of whether a longer context stays."""
+    return (np.bincount(place, numbers, size) > 0)[place], None
 
 
 def _left(kinds: np.ndarray, total: np.ndarray, spent: np.ndarray) -> np.ndarray:
@@ -218,19 +247,88 @@ def _left(kinds: np.ndarray, total: np.ndarray, spent: np.ndarray) -> np.ndarray
     return DISCOUNT * kinds / np.maximum(total, 1) / np.maximum(1 - spent, 1e-12)
 
 
-def _may_stay(n: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-    """Contexts seen ``n`` times that the bound leaves open; without their oldest word they are seen ``shorter`` times."""
-    often = np.maximum(n, 1)
-    return (n > 0) & (often * np.log(np.maximum(shorter, 1) / often) >= LEAST_GAIN)
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each key among the distinct ones, and where one of each stands."""
+    order = np.argsort(key)
+    new = np.ones(len(key), bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    rank = np.empty(len(key), np.int32)
+    rank[order] = np.cumsum(new, dtype=np.int32) - 1
+    return rank, order[new]
 
 
-def _any(place: np.ndarray, size: int, numbers: np.ndarray, sums: np.ndarray):
-    """Round ``LONGER``, of whether a longer context stays."""
-    return (np.bincount(place, numbers, size) > 0)[place], None
+def _gains(n: np.ndarray, total: np.ndarray, shorter: np.ndarray, context: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """For each context its part in the test, its stored words and their chances after the shorter one; ``n`` is 1 or more."""
+    # of no rows at all, bincount makes whole numbers
+    gain = np.bincount(context, n * np.log(n / total / shorter) - GAIN, size).astype(float)
+    return gain, np.bincount(context, minlength=size), np.bincount(context, shorter, size).astype(float)
+
+
+def subtrees(rows: list[dict], root: Root) -> list[tuple]:
+    """A shard's answers to ``Block.positions``, rows of one round in the order of blocks.
+
+    For each document of a row the sum of what its positions take from the subtrees; for each position below the trunk
+    1 if it also takes the trunk's value, + 2 if its shortest context in the subtree stays.
+    """
+    parts = []
+    for r in rows:
+        *words, m, total, flags, doc = unpacked_lists(r["numbers"])
+        words[-1] = np.cumsum(words[-1] >> 1 ^ -(words[-1] & 1))
+        trunk, value = flags > 1, root.chances(m)
+        shorter = np.where(trunk, (m - DISCOUNT) / np.maximum(total, 1), value)  # the chance of the word after the context one shorter
+        value = np.where(trunk, 0.0, np.log10(value))
+        parts.append((*(x.astype(np.uint32) for x in words), value, shorter, (flags >> 1).astype(np.int8), (flags & 1).astype(bool), doc.astype(np.int32)))
+    *history, word, value, shorter, level, learnt, doc = (np.concatenate(x) for x in zip(*parts))
+    sizes = [len(x[0]) for x in parts]
+    del parts
+    asks = level > 0
+    at, c = np.arange(len(word), dtype=np.int32), np.zeros(len(word), np.int64)
+    levels = []
+    for i, older in enumerate(history):
+        c, at = c[older[at] > 0], at[older[at] > 0]
+        parent = c
+        c, first = _ranked(c.astype(np.int64) << 32 | older[at])
+        parent, size = parent[first], len(first)
+        here = level[at] <= i
+        mine, context = at[here], c[here]
+        gram, first = _ranked(context.astype(np.int64) << 32 | word[mine])
+        n = np.bincount(gram, learnt[mine], len(first)).astype(np.int64)
+        total = np.bincount(context, learnt[mine], size).astype(np.int64)
+        of, held = context[first], n > 0
+        gain, kinds, spent = _gains(n[held], total[of[held]], shorter[mine[first[held]]], of[held], size)
+        chance = np.where(held, (n - DISCOUNT) / np.maximum(total[of], 1), 0.0)[gram]
+        shorter[mine] = chance
+        often = np.ones(len(at), bool)
+        often[here] = (total >= LEAST_SEEN)[context]  # others have no longer contexts that stay
+        at, c = at[often], c[often]
+        levels.append((mine, context, held[gram], chance, _left(kinds, total, spent), gain >= GAIN, parent))
+    for (*_, kept, _), (*_, longer, parent) in zip(levels[-2::-1], levels[:0:-1]):
+        kept[parent[longer]] = True
+    shortest = np.zeros(len(word), bool)
+    for i, (mine, context, stored, chance, left, kept, _) in enumerate(levels):
+        k = kept[context]
+        edge = level[mine] == i
+        shortest[mine[edge]] = k[edge]
+        # a stored word takes its chance; another one takes the factor and asks the shorter context
+        takes, passes = k & stored, k & ~stored
+        value[mine[takes]] = np.log10(chance[takes])
+        asks[mine[takes]] = False
+        value[mine[passes]] += np.log10(left[context[passes]])
+    answers = asks + 2 * shortest
+    out = []
+    for r, end, n in zip(rows, np.cumsum(sizes), sizes):
+        part = slice(end - n, end)
+        docs = np.flatnonzero(np.bincount(doc[part]))
+        sums = np.bincount(doc[part], value[part])[docs]
+        out.append((r["block"], SUBTREES, r["shard"], packed(np.diff(docs, prepend=0)), packed(answers[part][level[part] > 0]), sums.tobytes()))
+    return out
 
 
 class Block:
-    """A block's n-grams and, step by step, what the rounds answered; ``table`` holds its rows.  Index 0 is for length 1."""
+    """A block's positions, the n-grams of the trunk and, step by step, what the rounds answered; ``table`` holds its rows.
+
+    Index 0 is for length 1.
+    """
 
     def __init__(self, table: pa.Table, root: Root):
         self.root = root
@@ -239,95 +337,136 @@ class Block:
             self.rows[row["round"]].append(row)
         (text,) = self.rows.pop(-1)
         self.number = text["block"]
-        self.docs = pa.ipc.open_stream(text["sums"]).read_all()
+        self.docs = pa.ipc.open_stream(unsqueezed(text["sums"])).read_all()
         self.sizes = self.docs.column("size").to_numpy()
-        known = self._found(0)[0]
-        self.n = [known >> 1]
-        words = np.frombuffer(text["keys"], np.uint64)
-        order = np.argsort(words, kind="stable")
-        rank = np.empty(len(order), np.int32)
-        rank[order] = np.arange(len(order), dtype=np.int32)
+        words = self._sorted(0)
+        order = np.argsort(unpacked(unsqueezed(text["keys"])), kind="stable")
+        known, self.ids = np.empty((2, len(order)), np.int64)
+        known[order] = np.concatenate([unpacked(unsqueezed(r["numbers"])) for r in words])
+        self.ids[order] = np.concatenate([unpacked(unsqueezed(r["keys"])) for r in words])
+        self.n, self.frequent = [known >> 1], [known & 1 > 0]
         train = self.docs.column("train").to_numpy().astype(bool)
-        self.grams = g = Grams(words[order], rank[unpacked(text["numbers"])], self.sizes, train)
-        self.several, self.chance = [known & 1 == 0], [self.root.chances(self.n[0])]
-        self.gain, self.kinds, self.spent = [], [], []
-
-    def _lengthened(self, i: int) -> np.ndarray:
-        """Adds the n-grams one word longer; true for those that another block may hold, as several hold both their shorter ones."""
-        g = self.grams
-        # of the longest contexts only those that the counts leave open
-        g.lengthen(_may_stay(self.n[i - 1], self.n[i - 2][g.shorter[i - 1]]) if i == DEPTH else None)
-        return self.several[-1][g.context[-1]] & self.several[-1][g.shorter[-1]]
+        hashed = _mixed(self.ids.view(np.uint64), np.uint64(0))
+        self.grams = g = Grams(hashed, unpacked(unsqueezed(text["numbers"])).astype(np.int32), self.sizes, train)
+        for i in range(1, DEPTH + 1):
+            g.lengthen(self.frequent[-1])
+            self.frequent.append(self.frequent[-1][g.context[i]] & self.frequent[-1][g.shorter[i]])
 
-    def _counted(self, i: int) -> None:
-        """Counts of all blocks; from them the chances of stored words, and this block's part in the test of their contexts."""
-        at, g = self._lengthened(i), self.grams
-        ((found, _),) = self._answers(i, [at], i)
-        n, several = g.held[i].copy(), np.zeros(len(at), bool)
-        mine = n > 0
-        n[at], several[at], mine[at] = found >> 2, found & 2, found & 1
-        self.n.append(n)
-        self.several.append(several)
-        total = self.n[i - 1][g.context[i]]
-        self.chance.append(np.where(n > 0, (n - DISCOUNT) / np.maximum(total, 1), 0.0))
-        # every stored word counts in one block only
-        mine = np.flatnonzero(mine)
-        n, total, context = n[mine], total[mine], g.context[i][mine]
-        shorter = self.chance[i - 1][g.shorter[i][mine]]
-        size = len(g.keys[i - 1])
-        # of no rows at all, bincount makes whole numbers
-        self.gain.append(np.bincount(context, n * np.log(n / total / shorter) - GAIN, size).astype(float))
-        self.kinds.append(np.bincount(context, minlength=size))
-        self.spent.append(np.bincount(context, shorter, size).astype(float))
-
-    def counts_dealt(self, i: int, shards: int) -> pa.Table:
-        for shorter in range(1, i):
-            self._counted(shorter)
-        at = self._lengthened(i)
-        return _deal(self.number, i, shards, [self.grams.keys[i][at]], [self.grams.held[i][at]])
+    def counts_dealt(self, shards: int) -> list[tuple]:
+        return _deal(self.number, COUNTS, shards, self.grams.keys[1:], self.grams.held[1:])
 
     def counted(self) -> None:
-        """Counts of all lengths, and which contexts they leave open."""
+        """Counts of all blocks; from them the chances of stored words, and this block's part in the test of their contexts."""
         g = self.grams
-        for i in range(1, DEPTH + 1):
-            self._counted(i)
-        self.shared = [s & (n > 0) for s, n in zip(self.several[:DEPTH], self.n)]
+        found = self._answers(COUNTS, g.keys[1:])
+        self.chance = [self.root.chances(self.n[0])]
+        self.gain, self.kinds, self.spent = [], [], []
+        for i, (numbers, _) in enumerate(found, 1):
+            n, context = numbers >> 1, g.context[i]
+            self.n.append(n)
+            total = self.n[i - 1][context]
+            self.chance.append(np.where(n > 0, (n - DISCOUNT) / np.maximum(total, 1), 0.0))
+            mine = np.flatnonzero(numbers & 1)  # every stored word counts in one block only
+            parts = _gains(n[mine], total[mine], self.chance[i - 1][g.shorter[i][mine]], context[mine], len(g.keys[i - 1]))
+            for sums, part in zip((self.gain, self.kinds, self.spent), parts):
+                sums.append(part)
+
+    def positions(self, shards: int, part: int | None = None, below: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions that a subtree (of one of ``PARTS``, or ``below`` a frequent word) holds, with their shards, in the order of these; and of all positions how many of the newest words are frequent."""
+        g = self.grams
+        at = g.at[0]
+        self.history = [np.zeros(len(at), np.int64) for _ in range(DEPTH)]
+        for back, older in enumerate(self.history, 1):
+            older[back:] = self.ids[at[:-back]]
+            older[g.place < back] = 0
+            if back > 1:  # a word that training texts have too seldom ends the history
+                seen = np.zeros(len(at), np.int64)
+                seen[back - 1 :] = self.n[0][at[: 1 - back]]
+                older[(self.history[back - 2] == 0) | (seen < LEAST_SEEN)] = 0
+        level = sum((g.at[i] >= 0).astype(np.int64) for i in range(1, DEPTH + 1))
+        inside = np.zeros(len(at), bool)
+        for i, older in enumerate(self.history):
+            if i or not below:
+                inside |= (level == i) & (older > 0)
+        there = np.flatnonzero(inside)
+        deep = level[there]
+        key = np.zeros(len(there), np.uint64)
+        for i, older in enumerate(self.history):
+            key = _mixed(key, np.where(deep >= i, older[there], 0).view(np.uint64))
+        shard = ((key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+        if part is not None:
+            mine = np.flatnonzero(shard * PARTS // shards == part)
+            there, shard, deep = there[mine], shard[mine], deep[mine]
+        # equal words side by side pack well, below the trunk equal newest words as well
+        order = np.lexsort((self.ids[at[there]], shard << 32 | np.where(deep > 0, self.history[0][there], 0)))
+        return there[order], shard[order], level
+
+    def positions_dealt(self, shards: int, part: int) -> list[tuple]:
+        """For each shard the histories and words of its positions, the counts of the longest context in the trunk with and without the word, and whose they are."""
+        g = self.grams
+        there, shard, level = self.positions(shards, part)
+        deep = level[there]
+        m, total = self.n[0][g.at[0][there]], np.zeros(len(there), np.int64)
         for i in range(1, DEPTH):
-            # n * log(N / n) is N / e at most, so seldom seen contexts have no longer ones that stay
-            longer = self.n[i] >= math.e * LEAST_GAIN if i < DEPTH - 1 else False
-            self.shared[i] &= _may_stay(self.n[i], self.n[i - 1][g.shorter[i]]) | longer
-
-    def tests_dealt(self, shards: int) -> pa.Table:
-        g, at = self.grams, self.shared
-        numbers = [2 * k + a for k, a in zip(self.kinds, g.asked)]
-        return _deal(self.number, TESTS, shards, *(_where(x, at) for x in (g.keys, numbers, self.gain, self.spent)), least=2)
-
-    def tested(self) -> None:
-        """Which contexts stay by themselves, and which of this block's have a longer one that stays."""
+            below = np.flatnonzero(deep == i)
+            at = there[below]
+            m[below], total[below] = self.n[i][g.at[i][at]], self.n[i - 1][g.at[i - 1][at - 1]]
+        doc = np.repeat(np.arange(len(self.sizes)), self.sizes)[there]
+        words = self.ids[g.at[0][there]]
+        before = [older[there] for older in self.history]
+        after = [m, total, 2 * deep + g.learnt[there], doc]
+        out = []
+        cut = np.flatnonzero(np.diff(shard, prepend=-1, append=-1) if len(shard) else []).tolist()
+        for start, end in zip(cut, cut[1:]):
+            here = slice(start, end)
+            steps = np.diff(words[here], prepend=0)
+            lists = [*(x[here] for x in before), steps << 1 ^ steps >> 63, *(x[here] for x in after)]
+            out.append((self.number, SUBTREES, int(shard[start]), None, packed_lists(lists), b""))
+        return out
+
+    def tests_dealt(self, shards: int) -> list[tuple]:
+        keys, kinds, gain, spent = (_where(x, self.frequent[:DEPTH]) for x in (self.grams.keys, self.kinds, self.gain, self.spent))
+        return _deal(self.number, TESTS, shards, keys, kinds, gain, spent)
+
+    def tested(self, shards: int) -> None:
+        """Which contexts stay by themselves, and which of this block's have a longer one that stays; what the subtrees give."""
         g = self.grams
-        self.stays = [(gain >= GAIN) & ~several for gain, several in zip(self.gain, self.several)]  # others need the sums of all
-        for i, (found, spent) in enumerate(self._answers(TESTS, self.shared, 0)):
-            at = self.shared[i]
-            self.stays[i][at], self.kinds[i][at], self.spent[i][at] = found & 1, found >> 1, spent
+        below, _, level = self.positions(shards, below=True)
+        self.of_subtrees = np.zeros(len(self.sizes))
+        self.asks = (level > 0) | (self.history[0] == 0)
+        answers = self._sorted(SUBTREES)
+        for r in answers:
+            self.of_subtrees[np.cumsum(unpacked(r["keys"]))] += np.frombuffer(r["sums"])
+        found = np.concatenate([np.zeros(0, np.int64), *(unpacked(r["numbers"]) for r in answers)])
+        self.asks[below] = found & 1
+        self.stays = [np.zeros(len(k), bool) for k in g.keys[:DEPTH]]
+        tests = self._answers(TESTS, _where(g.keys, self.frequent[:DEPTH]))
+        for i, (numbers, spent) in enumerate(tests):
+            at = self.frequent[i]
+            self.stays[i][at], self.kinds[i][at], self.spent[i][at] = numbers & 1, numbers >> 1, spent
         self.left = [_left(k, n, s) for k, n, s in zip(self.kinds, self.n, self.spent)]
         self.longer = [np.zeros(len(s), bool) for s in self.stays]
+        stay = below[found > 1]
+        for i in range(1, DEPTH):
+            above = stay[level[stay] == i]
+            self.longer[i - 1][g.at[i - 1][above - 1]] = True
         for i in range(DEPTH - 1, 0, -1):
             self.longer[i - 1][g.shorter[i][self.stays[i] | self.longer[i]]] = True
 
-    def longer_dealt(self, shards: int) -> pa.Table:
-        at = self.shared[:-1]
+    def longer_dealt(self, shards: int) -> list[tuple]:
+        at = self.frequent[: DEPTH - 1]
         return _deal(self.number, LONGER, shards, _where(self.grams.keys, at), _where(self.longer, at))
 
     def scores(self) -> pa.Table:
         """The rows of the result without ``train_tokens``."""
         g = self.grams
-        for i, (found, _) in enumerate(self._answers(LONGER, self.shared[:-1], 0)):
-            self.longer[i][self.shared[i]] = found
+        for i, (found, _) in enumerate(self._answers(LONGER, _where(g.keys, self.frequent[: DEPTH - 1]))):
+            self.longer[i][self.frequent[i]] = found
         chance = np.log10(self.chance[0])
         value = chance[g.at[0]]
         for i in range(1, DEPTH + 1):
             kept = (self.stays[i - 1] | self.longer[i - 1])[g.context[i]]
-            # a stored word takes its chance; another one takes the factor and asks the shorter context
+            # as in the subtrees
             chance = chance[g.shorter[i]]
             stored = kept & (self.n[i] > 0)
             chance[stored] = np.log10(self.chance[i][stored])
@@ -342,23 +481,21 @@ class Block:
             "n_tokens": pa.array(self.sizes),
             "n_known": pa.array(np.add.reduceat((self.n[0] > 0).astype(np.int64)[g.at[0]], starts)),
             "base_score": pa.array(np.add.reduceat((np.log10(self.n[0] + 1.0) - even)[g.at[0]], starts)),
-            "score": pa.array(np.add.reduceat(value, starts)),
+            "score": pa.array(np.add.reduceat(np.where(self.asks, value, 0.0), starts) + self.of_subtrees),
         })
 
-    def _found(self, round_: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and sums that a round answered, in the order of hashes."""
-        rows = sorted(self.rows.pop(round_), key=lambda r: r["shard"])
-        numbers = [unpacked(r["numbers"]) for r in rows]
-        sums = [np.frombuffer(r["sums"]) for r in rows]
-        return np.concatenate([np.zeros(0, np.int64), *numbers]), np.concatenate([np.zeros(0), *sums])
+    def _sorted(self, round_: int) -> list[dict]:
+        return sorted(self.rows.pop(round_), key=lambda r: r["shard"])
 
-    def _answers(self, round_: int, wanted: list[np.ndarray], first: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Numbers and sums of the ``wanted`` n-grams, for each length from index ``first``."""
-        keys = _where(self.grams.keys[first:], wanted)
+    def _answers(self, round_: int, keys: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Numbers and sums that a round answered for the n-grams ``keys``, for each length."""
+        rows = self._sorted(round_)
         order = np.argsort(np.concatenate(keys), kind="stable")
         parts = np.cumsum([len(k) for k in keys])[:-1]
+        numbers = np.concatenate([np.zeros(0, np.int64), *(unpacked(r["numbers"]) for r in rows)])
+        sums = np.concatenate([np.zeros(0), *(np.frombuffer(r["sums"]) for r in rows)])
         out = []
-        for found in self._found(round_):
+        for found in (numbers, sums):
             back = np.zeros(len(order), found.dtype)
             if len(found):
                 back[order] = found
@@ -376,18 +513,29 @@ def hashes(tokens: list[bytes]) -> np.ndarray:
     return pd.util.hash_array(held, categorize=False)
 
 
+def _tokens(texts: pa.ChunkedArray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct tokens, the end first and words as they are first seen; which of them stands at each position; and the tokens of each text."""
+    words, counts = [], []
+    for part in texts.chunks:
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(part, "")))
+        flat = split.flatten()
+        there = pc.greater(pc.binary_length(flat), 0)  # white space at either end leaves an empty one
+        of = np.repeat(np.arange(len(split)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        words.append(flat.filter(there))
+        counts.append(np.bincount(of[there.to_numpy(zero_copy_only=False)], minlength=len(split)))
+    coded = pa.chunked_array(words, pa.string()).combine_chunks().dictionary_encode()
+    sizes = np.concatenate(counts) + 1
+    at = np.zeros(sizes.sum(), np.int32)
+    inside = np.ones(len(at), bool)
+    inside[np.cumsum(sizes) - 1] = False
+    at[inside] = coded.indices.to_numpy() + 1
+    return [END.encode(), *coded.dictionary.cast(pa.binary()).to_pylist()], at, sizes
+
+
 def _read(table: pa.Table, shards: int) -> pa.Table:
-    """A block's texts as numbers of its tokens, and for each shard the tokens with how often its training documents hold them."""
-    number: Numbers = Numbers()
-    end = END.encode()
-    ids, sizes = [], []
-    for part in _parts(table.column("text")):
-        words = [[*lower_words(raw or b""), end] for raw in part]
-        ids.append(number.of([w for t in words for w in t]).astype(np.int32))
-        sizes.extend(map(len, words))
-    tokens = list(number)
+    """A block's texts as numbers of its tokens, and for each shard the tokens with how often its training documents and all of them hold them."""
+    tokens, at, sizes = _tokens(table.column("text"))
     keys = hashes(tokens)
-    at = np.concatenate(ids)
     train = table.column("train").combine_chunks()
     counts = np.bincount(at[np.repeat(train.to_numpy(zero_copy_only=False), sizes)], minlength=len(tokens))
     docs = pa.table({"id": table.column("id"), "size": pa.array(sizes, pa.int64()), "train": train.cast(pa.int8())})
@@ -395,28 +543,33 @@ def _read(table: pa.Table, shards: int) -> pa.Table:
     with pa.ipc.new_stream(sink, docs.schema) as stream:
         stream.write_table(docs)
     block = table.column("block")[0].as_py()
-    texts = (block, -1, -1, keys.tobytes(), packed(at), sink.getvalue().to_pybytes())
-    order = np.argsort(keys, kind="stable")
-    tokens, counts = [tokens[i] for i in order.tolist()], counts[order]
-    parts = _dealt(keys[order], _bounds(shards))
-    return _rows([texts, *((block, 0, s, b" ".join(tokens[part]), packed(counts[part]), b"") for s, part in parts)])
+    shard = np.searchsorted(_bounds(shards), keys, "right") - 1
+    texts = (block, -1, -1, squeezed(packed(shard)), squeezed(packed(at)), squeezed(sink.getvalue().to_pybytes()))
+    order = np.argsort(shard, kind="stable")
+    tokens, counts, every = [tokens[i] for i in order.tolist()], counts[order], np.bincount(at)[order]
+    parts = _dealt(shard[order], np.arange(shards))
+    return _rows([texts, *((block, 0, s, b" ".join(tokens[part]), packed(counts[part]), packed(every[part])) for s, part in parts)])
 
 
 _STATS = "total bigint, kinds bigint, once bigint"
 
 
-def _words(table: pa.Table) -> pa.Table:
-    """Round 0, of the counts of words, told apart by themselves: 2 * the count of all, + 1 if no other block has it.
+def _words(table: pa.Table, shards: int, often: int) -> pa.Table:
+    """Round 0, of the counts of words, told apart by themselves: 2 * the count of all, + 1 if more than ``often`` positions hold the word.
 
+    Keys are numbers of the words, small ones for frequent words and 0 for those that no training text has.
     Beside the first answer stands the shard's part of the root.
     """
     rows = sorted(table.to_pylist(), key=lambda r: r["block"])
     number: Numbers = Numbers()
     places = [number.of(r["keys"].split(b" ")) for r in rows]
     place = np.concatenate(places)
-    c = np.bincount(place, np.concatenate([unpacked(r["numbers"]) for r in rows])).astype(np.int64)
-    answer = 2 * c + (np.bincount(place) == 1)
-    out = _rows([(r["block"], 0, r["shard"], None, packed(answer[p]), b"") for r, p in zip(rows, places)])
+    c, every = (np.bincount(place, np.concatenate([unpacked(r[k]) for r in rows])).astype(np.int64) for k in ("numbers", "sums"))
+    rank = np.empty(len(c), np.int64)
+    rank[np.argsort(-c, kind="stable")] = np.arange(len(c))
+    ids = np.where(c > 0, 1 + rank * shards + rows[0]["shard"], 0)
+    answer = 2 * c + ((c > 0) & (every > often))
+    out = _rows([(r["block"], 0, r["shard"], squeezed(packed(ids[p])), squeezed(packed(answer[p])), b"") for r, p in zip(rows, places)])
     for name, n in (("total", c.sum()), ("kinds", (c > 0).sum()), ("once", (c == 1).sum())):
         out = out.append_column(name, pa.array([int(n)] + [0] * (len(rows) - 1), pa.int64()))
     return out
@@ -434,7 +587,7 @@ def score_texts(
     spark = docs.sparkSession
     kind = docs.schema[id_column].dataType.simpleString()
     blocks = blocks_for(docs, text, block_bytes)
-    shards = -(-blocks // 2)  # each gets as many n-grams as two blocks hold
+    shards = -(-blocks // 2)  # each gets as much as two blocks hold
     placed = docs.select(
         F.pmod(F.xxhash64(F.col(id_column), F.octet_length(text)), F.lit(blocks)).cast("int").alias("block"),
         F.col(id_column).alias("id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"),
@@ -442,7 +595,8 @@ def score_texts(
     with tidy_shuffles(spark):
         def texts_and_words() -> DataFrame:
             read = materialise(placed.groupBy("block").applyInArrow(lambda table: _read(table, shards), _ROWS), "lm-read")
-            words = read.filter("round = 0").groupBy("shard").applyInArrow(_words, f"{_ROWS}, {_STATS}")
+            count = lambda table: _words(table, shards, block_bytes // FREQUENT)
+            words = read.filter("round = 0").groupBy("shard").applyInArrow(count, f"{_ROWS}, {_STATS}")
             return words.unionByName(read.filter("round = -1"), allowMissingColumns=True)
 
         base = settle(spark, texts_and_words, "lm-texts")
@@ -456,37 +610,39 @@ def score_texts(
                 every = every.union(more)
             return every.groupBy("block").applyInArrow(run, schema)
 
-        def counts(i: int) -> Callable:
-            return lambda table: Block(table, root).counts_dealt(i, shards)
+        def counts(table: pa.Table) -> pa.Table:
+            return _rows(Block(table, root).counts_dealt(shards))
 
-        def tests(table: pa.Table) -> pa.Table:
-            block = Block(table, root)
-            block.counted()
-            return block.tests_dealt(shards)
+        def positions(part: int) -> Callable:
+            def run(table: pa.Table) -> pa.Table:
+                block = Block(table, root)
+                block.counted()
+                return _rows(block.positions_dealt(shards, part) + ([] if part else block.tests_dealt(shards)))
+
+            return run
 
         def longer(table: pa.Table) -> pa.Table:
             block = Block(table, root)
             block.counted()
-            block.tested()
-            return block.longer_dealt(shards)
+            block.tested(shards)
+            return _rows(block.longer_dealt(shards))
 
-        rounds = [(counts(i), _count) for i in range(1, DEPTH + 1)]
-        for run, answer in (*rounds, (tests, _diverge), (longer, _any)):
-            rows.append(materialise(_answered(by_block(run, _ROWS), shards, answer), "lm-round"))
+        def round_of(*runs: Callable) -> None:
+            dealt = [by_block(run, _ROWS) for run in runs]
+            answers = {COUNTS: _count, TESTS: _diverge, LONGER: _any}
+            rows.extend([materialise(_answered(rows_dealt, shards, root, answers), "lm-round") for rows_dealt in dealt])
+
+        round_of(counts)
+        round_of(*map(positions, range(PARTS)))
+        round_of(longer)
 
     names = [id_column, "n_tokens", "n_known", "base_score", "score"]
 
     def score(table: pa.Table) -> pa.Table:
         block = Block(table, root)
         block.counted()
-        block.tested()
+        block.tested(shards)
         return block.scores().rename_columns(names)
 
     scored = by_block(score, f"`{id_column}` {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.select(id_column, "n_tokens", "n_known", F.lit(root.total).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def _parts(column: pa.ChunkedArray) -> Iterator[list[bytes | None]]:
-    raw = column.cast(pa.binary())
-    for start in range(0, len(raw), SLICE):
-        yield raw.slice(start, SLICE).to_pylist()

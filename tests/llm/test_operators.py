@@ -14,6 +14,7 @@ import corpus_pipeline
 from tablewright.llm import (
     chat, components, decontaminate, jaccard_join, language_id, line_dedup, lm_scoring, packing, quality, token_counts, warc,
 )
+from tablewright.session import materialise
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
@@ -171,6 +172,25 @@ def test_suffix_tree_holds_what_is_rare(spark, block_bytes):
     assert sorted((repr(x["doc_id"]), x["n_tokens"], round(x["score"], 6)) for x in got) == want
 
 
+def test_suffix_tree_deals_positions_once_below_a_trunk_of_frequent_words(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    often, seldom = [f"o{i}" for i in range(4)], [f"s{i}" for i in range(60)]
+    made = [(i, " ".join(r.choice(often if r.random() < 0.5 else seldom) for _ in range(60))) for i in range(60)]
+    made += [(100 + i, "o0 o1 o1 o2 o3 o2 " * 5 + " ".join(r.choice(often, 20))) for i in range(30)]
+    made += [(200 + i, " ".join([*r.choice(seldom, 6), "o1 o2 o3 s1 o0 o0 o0", *r.choice(often, 6)] * 3)) for i in range(30)]
+    made += [(300, None), (301, ""), (302, "x " * 50), (303, "o1"), (304, "new o1 new o1 o2 new o1 o2 o3 new")]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    written = []
+    monkeypatch.setattr(lm_scoring, "materialise", lambda df, label: (written.append(label), materialise(df, label))[1])
+    want, kept = plain_tree_scores(made, lambda i: i % 3 != 1)
+    assert any(len(k) == 3 and set(k) <= {b"o0", b"o1", b"o2", b"o3"} for k in kept)
+    for block_bytes in (1 << 10, 1 << 20):  # with the first, the o words are frequent; with the other, none
+        written.clear()
+        got = lm_scoring.score_texts(docs, F.col("doc_id") % 3 != 1, block_bytes=block_bytes).collect()
+        assert sorted((repr(x["doc_id"]), x["n_tokens"], round(x["score"], 6)) for x in got) == want
+        assert written.count("lm-round") == 2 + lm_scoring.PARTS  # the trunk's counts, the subtrees with its tests, its longer contexts
+
+
 def test_packed_numbers_and_hashes_come_back():
     for top in (0, 1, 255, 256, 1 << 40, (1 << 63) - 1):
         values = np.array([0, top, top // 2, top], np.int64)
