@@ -29,9 +29,11 @@ BUCKETS = 1 << 16
 
 def _spaced(column: Column) -> Column:
     """``column`` with a space for all other ASCII white space inside a line."""
+    spaced = column
     for other in "\t\v\f\r":
-        column = F.replace(column, F.lit(other), F.lit(" "))
-    return column
+        spaced = F.replace(spaced, F.lit(other), F.lit(" "))
+    # most lines have none; to see that, one pass of a pattern costs less than four replacements
+    return F.when(column.rlike("[\t\u000b\f\r]"), spaced).otherwise(column)
 
 
 def _lines(docs: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -40,14 +42,20 @@ def _lines(docs: DataFrame, id_column: str, text: str) -> DataFrame:
         docs.filter(F.col(id_column).isNotNull())
         .select(F.col(id_column).alias("doc"), F.posexplode(F.split(text, "\n")).alias("line", "value"))
         .filter(F.octet_length("value") > 0)
-        .select("doc", "line", F.xxhash64("value").alias("mark"), _spaced(F.col("value")).alias("value"))
+        .select("doc", "line", F.xxhash64("value").alias("mark"), "value")
     )
 
 
+def _with_spaces(lines: DataFrame) -> DataFrame:
+    """``lines`` with words that only spaces part; their hashes stay those of the texts."""
+    return lines.withColumn("value", _spaced(F.col("value")))
+
+
 def _rarity(docs: DataFrame, text: str) -> str:
     """A table of fixed size, as SQL: for every bucket the binary logarithm of how often its words occur."""
-    # of whole texts one pass of a pattern costs less than a replacement for each character
-    words = docs.select(F.explode(F.split(text, "[ \t\n\u000b\f\r]+")).alias("word")).filter("word <> ''")
+    # two splits at one character cost less than one at a pattern
+    lines = docs.select(F.explode(F.split(text, "\n")).alias("value"))
+    words = lines.select(F.explode(F.split(_spaced(F.col("value")), " ")).alias("word")).filter("word <> ''")
     counted = words.groupBy(F.xxhash64("word").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
     table = ["0"] * BUCKETS
     for bucket, n in counted.collect():  # at most BUCKETS rows
@@ -115,7 +123,7 @@ def _verified(pairs: DataFrame, one: DataFrame, lines: DataFrame, rarity: str) -
     pairs = materialise(pairs.selectExpr("least(u, v) AS u", "greatest(u, v) AS v").distinct(), "line-pairs")
     ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
     places = materialise(one.select("id", "at").join(_few(ids), "id", "left_semi"), "line-places")
-    keyed = _keyed(_narrowed(lines, places.select("at.*")), rarity).dropDuplicates(["doc", "line", "mark"])
+    keyed = _keyed(_with_spaces(_narrowed(lines, places.select("at.*"))), rarity).dropDuplicates(["doc", "line", "mark"])
     sets = places.join(keyed.select(F.struct("doc", "line", "mark").alias("at"), "keys"), "at")
     sets = materialise(sets.select("id", "keys"), "line-sets")
     both = (
@@ -135,7 +143,7 @@ def later_matches(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     """
     rarity, lines = _rarity(docs, text), _lines(docs, id_column, text)
     shaped = materialise(
-        _keyed(lines, rarity).select(
+        _keyed(_with_spaces(lines), rarity).select(
             F.struct("doc", "line", "mark").alias("at"), F.size("keys").alias("n"),
             F.struct(F.xxhash64("keys").alias("a"), F.xxhash64("keys", F.lit(1)).alias("b")).alias("set"), F.expr(PARITY).alias("bits"),
             F.expr(f"slice(keys, 1, size(keys) - cast(ceil(size(keys) * {PERCENT} / 100) as int) + 1)").alias("prefix"),

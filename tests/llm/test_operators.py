@@ -442,6 +442,14 @@ def test_words_of_lines_are_hashed_once(spark):
     assert len(keyed.first()["keys"]) == 3  # a, b and what the tab joins; _lines puts a space for it
 
 
+def test_white_space_is_replaced_in_wanted_lines_only(spark):
+    docs = spark.createDataFrame([(1, "a\tb\n\vb\fa\rc d\n\n"), (None, "x"), (2, None)], "doc_id long, text string")
+    lines = line_dedup._lines(docs, "doc_id", "text")
+    assert "replace(" not in lines._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["line"], r["value"]) for r in lines.collect()] == [(0, "a\tb"), (1, "\vb\fa\rc d")]
+    assert [r["value"] for r in line_dedup._with_spaces(lines).collect()] == ["a b", " b a c d"]
+
+
 def test_pipeline_takes_out_short_repeated_lines(spark):
     made = [(1, "Home\none"), (2, "two\nHome"), (None, "Home\nthree\tfour"), (None, "six\nHome")]
     docs = spark.createDataFrame([(i, t, len(t)) for i, t in made], "doc_id long, text string, n_chars long")
