@@ -105,6 +105,29 @@ def test_importances_belong_to_source_features(fitted):
     assert fitted.importances[-1][0] == "noise"
 
 
+def test_trees_of_cells_are_the_trees_of_their_rows(spark):
+    """12,000 rows in fewer cells: the same bins, splits, importances and predictions, also in bins that no training row fills."""
+    data = [(float(h % 97), (-1.0) ** i * (1 + h % 40), float(i % 5), 7.0, (h % 97) ** 2.0 + (50.0 if i % 5 > 2 else 0) * (h % 40)) for i, h in ((i, i * 7919 % 10007) for i in range(12000))]
+    columns = ["many", "signed", "few", "same"]
+    rows_ = spark.createDataFrame(data, [*columns, "actual"]).withColumn("features", regression.array_to_vector(F.array(*columns))).coalesce(1)
+    booster = regression.GBTRegressor(labelCol="actual", seed=42, maxIter=8, stepSize=0.3, maxDepth=5)
+    plain, cells = booster.fit(rows_), regression.boost(booster, rows_, columns)
+    assert cells.model.featureImportances.toArray() == pytest.approx(plain.featureImportances.toArray(), abs=1e-9)
+    assert cells.model.trees[0].depth == plain.trees[0].depth and [len(t) for t in cells.thresholds][0] == 31
+    new = spark.createDataFrame([(v, w, f, s) for v in (-5.0, 3.5, 96.0, 200.0) for w in (-99.0, -0.4, 0.0, 0.3, 12.0) for f in (0.0, 9.0) for s in (7.0, 8.0)], columns)
+    asked = rows_.select(*columns).union(new).withColumn("features", regression.array_to_vector(F.array(*columns)))
+    both = cells.predicted(plain.setPredictionCol("by_rows").transform(asked), "by_cells").select("by_rows", "by_cells").collect()
+    assert len(both) == 12080 and [r["by_cells"] for r in both] == pytest.approx([r["by_rows"] for r in both])
+
+
+def test_trees_are_fitted_on_cells(spark, monkeypatch):
+    fitted_on, fit = [], regression.GBTRegressor.fit
+    monkeypatch.setattr(regression.GBTRegressor, "fit", lambda self, df, *more: fitted_on.append(df.count()) or fit(self, df, *more))
+    df = spark.range(4000).selectExpr("id", "id % 10 AS x", "concat('k', id % 3) AS k", "CAST(id % 10 + id % 7 AS DOUBLE) AS y")
+    found = regression.train(df, "y", ["x", "k"], ["id"], {"n_estimators": 50})
+    assert found.predictions.count() == 4000 and len(fitted_on) == 1 and fitted_on[0] <= 10 * 3 * prepare.FOLDS
+
+
 def test_preparation_learns_from_train_only(spark):
     train = spark.createDataFrame([(1, 1.0, "a", 10.0), (2, 3.0, "b", 40.0), (3, None, "a", 22.0), (4, 2.0, None, 8.0)], "id int, x double, k string, y double")
     ready = prepare.fit(train, ["x", "k"], "y", ["id"], one_hot=True)
